@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 
 from sparkassay.functions import values as V
 
+from sparkassay.plans.cells import Cells
+
 from .registry import (
     DIRTY_ORDERS, DIRTY_PARTS, check, d_casefold, d_date, d_email, d_finite, d_kind, d_missing,
     d_number, d_strip, d_url, dirty_orders, dirty_parts, load,
@@ -123,8 +125,9 @@ def v12(spark, sf):
   WHEN {d_finite('total_amount')} OR {d_finite('flag')} THEN false
   ELSE encode(total_amount) > encode(flag) END AS satisfied FROM d""")
 def v13(spark, sf):
-    return dirty_orders(spark, sf).select(
-        "record_id", V.compare(F.col("total_amount"), F.col("flag"), "gt").alias("satisfied"))
+    cells = Cells(dirty_orders(spark, sf))
+    outcome = cells.compared("total_amount", "flag", "gt")
+    return cells.project().select("record_id", outcome.alias("satisfied"))
 
 
 @check("v14_regex_fullmatch", O + """CASE WHEN version IS NOT NULL THEN length(version) <= 10000 AND

@@ -67,12 +67,15 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def casefold(c: Column) -> Column:
     """Full Unicode case folding: ``lower`` plus the characters where folding goes further."""
     source, target, multiples = _fold_tables()
-    low = F.lower(c)
-    wide = "[" + source + "".join(a for a, _ in multiples) + "]"
-    folded = F.translate(low, source, target)
-    for a, b in multiples:
-        folded = F.replace(folded, F.lit(a), F.lit(b))
-    return F.when(low.rlike(wide), folded).otherwise(low)
+    # The one expanding letter in wide use is replaced directly.  The other ones are first
+    # turned into a mark by the same single pass that folds plain letters, and only text with
+    # a mark is expanded letter by letter.
+    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    rare = [(a, b) for a, b in multiples if a != "ß"]
+    marked = F.translate(low, source + "".join(a for a, _ in rare), target + "\uffff" * len(rare))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
+    expanded = F.aggregate(pairs, F.translate(low, source, target), lambda t, p: F.replace(t, p["a"], p["b"]))
+    return F.when(marked.contains("\uffff"), expanded).otherwise(marked)
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
@@ -155,53 +158,39 @@ def _number_order(left: Column, right: Column) -> tuple[Column, Column]:
 
 
 # ------------------------------------------------------------------ dates
-_CLOCK = (
-    r"(?:[ T]*(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+# Accepted notations are rewritten to ``y-m-d`` by one linear chain of replacements, so that the
+# generated code stays small; a clock and an offset may follow a full date.  Years are limited
+# to those a nanosecond time stamp covers.
+_DATE_TEXT = (
+    r"^((?:16(?:7[89]|[89]\d)|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+    r"(?:-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)?)?)"
+    r"\s*(?:(?<=:\d{2}(?:\.\d{1,9})?)\s*(?:Z|UTC|[+-]\d{2}:?\d{2}))?$"
 )
+_REWRITES = (
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?=$|[ T])", "$1-$2-$3"),
+    (r"^(0?[1-9]|1[0-2])/(\d{1,2})/(\d{4})(?=$|[ T])", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])", "$3-$2-$1"),
+)
+_NAMED = r"(?i)^(?:(\d{1,2}) )?([a-z]{3})[a-z]*\.?,? (?:(\d{1,2}),? )?(\d{4})(?=$|[ T])"
 
 
-def _canonical_date_text(s: Column) -> Column:
-    """Rewrite the accepted date notations to ``y-m-d h:m:s``; other text becomes null."""
-    tail = "$1-$2-$3 $4:$5:$6$7"
-    ymd = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK
-    packed = r"^(\d{4})(\d{2})(\d{2})" + _CLOCK
-    slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK
-    months = "|".join(fixed.MONTH_NAMES)
-    named = rf"(?i)^({months})[a-z]*\.? (\d{{1,2}}),? (\d{{4}})" + _CLOCK
-    named_day = rf"(?i)^(\d{{1,2}}) ({months})[a-z]*\.?,? (\d{{4}})" + _CLOCK
-
-    def month_number(word: Column) -> Column:
-        return F.expr("null") if word is None else F.element_at(
-            F.create_map(*[x for i, m in enumerate(fixed.MONTH_NAMES, 1)
-                           for x in (F.lit(m), F.lit(str(i)))]), F.lower(word))
-
-    month_first = F.regexp_extract(s, slashed, 1).try_cast("int") <= 12
-    return (
-        F.when(s.rlike(ymd), F.regexp_replace(s, ymd, tail))
-        .when(s.rlike(packed), F.regexp_replace(s, packed, tail))
-        .when(s.rlike(slashed), F.when(month_first, F.regexp_replace(s, slashed, "$3-$1-$2 $4:$5:$6$7"))
-              .otherwise(F.regexp_replace(s, slashed, "$3-$2-$1 $4:$5:$6$7")))
-        .when(s.rlike(r"^\d{4}-\d{1,2}$"), F.concat(s, F.lit("-1 ::")))
-        .when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-1-1 ::")))
-        .when(s.rlike(named), F.concat(
-            F.regexp_replace(s, named, "$3-"), month_number(F.regexp_extract(s, named, 1)),
-            F.regexp_replace(s, named, "-$2 $4:$5:$6$7")))
-        .when(s.rlike(named_day), F.concat(
-            F.regexp_replace(s, named_day, "$3-"), month_number(F.regexp_extract(s, named_day, 2)),
-            F.regexp_replace(s, named_day, "-$1 $4:$5:$6$7")))
-    )
+def _stamp(text: Column) -> Column:
+    return F.regexp_extract(text, _DATE_TEXT, 1).try_cast("timestamp_ntz")
 
 
 def _parse_date_text(s: Column) -> Column:
-    text = _canonical_date_text(s)
-    # An absent clock leaves " ::" behind, absent seconds leave a trailing ":".
-    text = F.regexp_replace(F.regexp_replace(text, r" ::$", ""), r":$", "")
-    stamp = text.try_cast("timestamp_ntz")
-    inside = (stamp >= F.lit("1677-09-21 00:12:43").cast("timestamp_ntz")) & (
-        stamp <= F.lit("2262-04-11 23:47:16").cast("timestamp_ntz"))
-    first = F.left(s, F.lit(1))
-    word = F.lower(F.left(s, F.lit(3))).isin(list(fixed.MONTH_NAMES))
-    return F.when((first.between("0", "9") | word) & inside, stamp)
+    text = s
+    for pattern, replacement in _REWRITES:
+        text = F.regexp_replace(text, pattern, replacement)
+    month = F.instr(F.lit("".join(fixed.MONTH_NAMES)), F.lower(F.regexp_extract(s, _NAMED, 2)))
+    named = F.concat(
+        F.regexp_extract(s, _NAMED, 4), F.lit("-"),
+        F.when(month % 3 == 1, ((month + 2) / 3).cast("int").cast("string")), F.lit("-"),
+        F.regexp_extract(s, _NAMED, 1), F.regexp_extract(s, _NAMED, 3), F.regexp_replace(s, _NAMED, ""))
+    # The first byte keeps ordinary text away from the regular expressions.
+    return F.when(F.left(s, F.lit(1)).between("0", "9") & ~s.rlike("[a-zA-SU-Y]{3}"), _stamp(text)).when(
+        s.rlike(_NAMED), _stamp(named))
 
 
 def parse_datetime(c: Column, dtype: T.DataType = TEXT) -> Column:
@@ -234,7 +223,7 @@ def value_type(c: Column, dtype: T.DataType = TEXT) -> Column:
         return F.when(~missing, F.lit("datetime"))
     s = strip(as_text(c, dtype))
     kind = (
-        F.when(F.lower(s).isin(list(fixed.BOOLEAN_WORDS)), F.lit("boolean"))
+        F.when((F.octet_length(s) <= 8) & F.lower(s).isin(list(fixed.BOOLEAN_WORDS)), F.lit("boolean"))
         .when(to_double(s).isNotNull(), F.lit("numeric"))
         .when(F.left(s, F.lit(1)).between("0", "9") & s.rlike(fixed.DATE_SHAPE)
               & _parse_date_text(s).isNotNull(), F.lit("datetime"))
@@ -363,11 +352,11 @@ def matches_any(c: Column, dtype: T.DataType, values: list) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def compare(
-    left: Column, right: Column, operator: str, kind: str = "auto",
-    left_type: T.DataType = TEXT, right_type: T.DataType = TEXT,
+def compare_parsed(
+    operator: str, kind: str, present: Column, numbers: tuple[Column, Column],
+    dates: tuple[Column, Column], texts: tuple[Column, Column],
 ) -> Column:
-    """Typed comparison; null when a side cannot be read as the wanted kind.
+    """Typed comparison of two parsed cells; null when a side cannot be read as the wanted kind.
 
     ``auto`` reads each side as number, else date, else text; sides of different classes do
     not satisfy any operator.
@@ -377,25 +366,20 @@ def compare(
             "lt": lt, "lte": lt | eq, "gt": ~(lt | eq), "gte": ~lt, "eq": eq, "neq": ~eq,
         }[operator]
 
-    ln, rn = parse_decimal(left, left_type), parse_decimal(right, right_type)
-    ld, rd = parse_datetime_strict(left, left_type), parse_datetime_strict(right, right_type)
-    lt_, rt_ = as_text(left, left_type), as_text(right, right_type)
-    present = ~is_missing(left, left_type) & ~is_missing(right, right_type)
-    by_number = outcome(*_number_order(ln, rn))
-    by_date, by_text = outcome(ld < rd, ld == rd), outcome(lt_ < rt_, lt_ == rt_)
+    (ln, rn), (ld, rd), (lt, rt) = numbers, dates, texts
     if kind == "numeric":
-        return F.when(present & ln.isNotNull() & rn.isNotNull(), by_number)
+        return F.when(present & ln.isNotNull() & rn.isNotNull(), outcome(*_number_order(ln, rn)))
     if kind == "datetime":
-        return F.when(present & ld.isNotNull() & rd.isNotNull(), by_date)
+        return F.when(present & ld.isNotNull() & rd.isNotNull(), outcome(ld < rd, ld == rd))
     if kind == "text":
-        return F.when(present, by_text)
+        return F.when(present, outcome(lt < rt, lt == rt))
     return F.when(
         present,
-        F.when(ln.isNotNull() & rn.isNotNull(), by_number)
+        F.when(ln.isNotNull() & rn.isNotNull(), outcome(*_number_order(ln, rn)))
         .when(ln.isNotNull() | rn.isNotNull(), F.lit(False))
-        .when(ld.isNotNull() & rd.isNotNull(), by_date)
+        .when(ld.isNotNull() & rd.isNotNull(), outcome(ld < rd, ld == rd))
         .when(ld.isNotNull() | rd.isNotNull(), F.lit(False))
-        .otherwise(by_text),
+        .otherwise(outcome(lt < rt, lt == rt)),
     )
 
 

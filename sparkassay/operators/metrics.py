@@ -360,3 +360,13 @@ def metric_frame(df: DataFrame, build, *args) -> DataFrame:
     """Result rows of one single-pass metric."""
     cells = Cells(df)
     return run_probes(cells, build(cells, *args))
+
+
+def file_parse_metric(files: DataFrame) -> DataFrame:
+    """Parse rate from one row per file with a ``readable`` flag."""
+    n, ok = F.col("files"), F.col("ok")
+    row = metric_row("file_parse_rate", value=ratio(ok, n), evidence=evidence_json(
+        attempted_file_count=n, successful_file_count=ok, failed_file_count=n - ok),
+        blockers=[(n == 0, "未提供文件。")])
+    one = files.agg(F.count(F.lit(1)).alias("files"), F.count_if("readable").alias("ok"))
+    return one.select(row.alias("m")).select("m.*")

@@ -181,11 +181,8 @@ def _conditional(cells: Cells, rule: Rule, i: int, ref_date: dt.date) -> list[Pr
 
 def _comparison(cells: Cells, rule: Rule, i: int, ref_date: dt.date) -> list[Probe]:
     left, right = rule.fields
-    (lc, lt), (rc, rt) = cells.raw(left), cells.raw(right)
     kind = rule.get("comparison_type", "auto")
-    outcome = cells.custom(
-        left, ("compare", right, rule.get("operator"), kind),
-        lambda *_: V.compare(lc, rc, rule.get("operator"), kind, lt, rt))
+    outcome = cells.compared(left, right, rule.get("operator"), kind)
     issue = F.when(outcome.isNull(), F.lit("rule_field_comparison_unparseable")).otherwise(
         F.lit("rule_field_comparison_violation"))
     probe = _compliance(rule, i, None, ~F.coalesce(outcome, F.lit(False)), issue, [_EMPTY],

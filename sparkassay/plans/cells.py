@@ -72,8 +72,15 @@ class Cells:
     def raw(self, column: str) -> tuple[Column, T.DataType]:
         return F.col(ref(column)), self.types[column]
 
-    def custom(self, column: str, label, build) -> Column:
-        return self._feature(("custom", column, label), build)
+    def compared(self, left: str, right: str, operator: str, kind: str = "auto") -> Column:
+        """Outcome of comparing two columns, built on their parsed values."""
+        (lc, lt), (rc, rt) = self.raw(left), self.raw(right)
+        none = (F.lit(None), F.lit(None))
+        return V.compare_parsed(
+            operator, kind, ~self.missing(left) & ~self.missing(right),
+            (self.decimal(left), self.decimal(right)) if kind in ("auto", "numeric") else none,
+            (self.date_strict(left), self.date_strict(right)) if kind in ("auto", "datetime") else none,
+            (V.as_text(lc, lt), V.as_text(rc, rt)))
 
     def project(self, df: DataFrame | None = None) -> DataFrame:
         base = self.df if df is None else df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkassay.functions import values as V
+from sparkassay.plans.cells import Cells
 
 
 def evaluate(spark, rows, build, dtype="string"):
@@ -80,9 +81,10 @@ def test_compare(spark):
     df = spark.createDataFrame(
         [("1.0", "1"), ("2", "10"), ("b", "a"), ("2026-01-02", "2026/1/3"), ("1", "x"), ("", "x"),
          ("1e30", "2e30"), ("1_0", "9")], "l string, r string")
-    cols = [V.compare(F.col("l"), F.col("r"), op, k).alias(f"{op}_{k}")
+    cells = Cells(df)
+    cols = [cells.compared("l", "r", op, k).alias(f"{op}_{k}")
             for op, k in (("eq", "auto"), ("lt", "auto"), ("lt", "numeric"), ("lt", "text"), ("neq", "auto"))]
-    got = [tuple(r) for r in df.select(*cols).collect()]
+    got = [tuple(r) for r in cells.project().select(*cols).collect()]
     assert got == [
         (True, False, False, False, False), (False, True, True, False, True),
         (False, False, None, False, True), (False, True, None, True, True),
