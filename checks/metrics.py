@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkassay.operators import locate as L
 from sparkassay.operators import metrics as M
 from sparkassay.operators import risks as R
-from sparkassay.operators import sinks_report as S
 from sparkassay.operators.profile import infer_types, profile
 from sparkassay.plans import catalog
 from sparkassay.plans.cells import Cells
@@ -107,7 +106,6 @@ SOURCE_FIELDS, VERSION_FIELDS = ("department", "source_url"), ("version", "updat
 BASE_SQL = union([
     d_metric("file_parse_rate", "", "1", "-1", "-1"), s_scale(), s_missing(), s_blank(), s_types(), s_formats(),
     s_duplicates("exact_duplicate_rate", False, "d", DIRTY_COLUMNS),
-    s_duplicates("normalized_duplicate_rate", True, "d", ()) if False else
     s_duplicates("normalized_duplicate_rate", False, "(SELECT " + ", ".join(
         (f"CASE WHEN NOT {d_missing(c)} THEN {c} END AS {c}" if c in ("source_url", "contact_email", "version")
          else f"{d_normal(c)} AS {c}") for c in DIRTY_COLUMNS) + " FROM d)", DIRTY_COLUMNS),
@@ -359,12 +357,13 @@ for _name, _sql in RISK_SQL.items():
 
 
 @check("rsk1_file_parse_failed", """SELECT 'file_parse_failed' AS risk_id, 'warning' AS level, 'file_parse_rate' AS metric_id,
-  round_even(count(*) FILTER (length(props) <> 9) / CAST(count(*) AS DOUBLE), 6) AS observed_value, CAST(1 AS DOUBLE) AS threshold FROM events""")
+  round_even(CAST(count(*) FILTER (ok) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS observed_value, CAST(1 AS DOUBLE) AS threshold
+  FROM (SELECT event_type, bool_and(event_type <> 'error') AS ok FROM events GROUP BY 1)""")
 def rsk1(spark, sf):
-    from sparkassay.sources.files import parse_rate_of_lines
-    rate = parse_rate_of_lines(load(spark, sf, "events").select(F.when(
-        F.length("props") != 9, F.col("props")).otherwise(F.expr("left(props, 5)")).alias("line")))
-    return shown_risks(R.generate_risks(rate))
+    from sparkassay.sources.files import parse_rate
+    lines = load(spark, sf, "events").select(F.col("event_type").alias("path"), F.when(
+        F.col("event_type") == "error", F.expr("left(props, 5)")).otherwise(F.col("props")).alias("value"))
+    return shown_risks(R.generate_risks(parse_rate(lines)))
 
 
 @check("rsk2_empty_dataset", """SELECT 'empty_dataset' AS risk_id, 'warning' AS level, 'dataset_scale' AS metric_id,

@@ -64,3 +64,14 @@ def join_back(
     )
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return marked.join(groups.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join many rows with the few entries of each key when a key may be hot among ``rows``.
+
+    Each lookup entry is copied ``salts`` times and the rows of a key are dealt over the copies,
+    so no task receives all rows of one key.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(ref(c)) for c in rows.columns if c != key]), F.lit(salts)).cast("int")
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"], how).drop("__salt")
