@@ -10,6 +10,7 @@ from sparkassay.operators import risks as R
 from sparkassay.operators.profile import infer_types, profile
 from sparkassay.plans import catalog
 from sparkassay.plans.cells import Cells
+from sparkassay.session import spread
 
 from .registry import (
     DIRTY_COLUMNS, DIRTY_ORDERS, DIRTY_PARTS, REFERENCE_DATE, check, d_date, d_email, d_finite,
@@ -163,7 +164,7 @@ def agg8(spark, sf):
 @check("agg8_exact_duplicate_rate_text", d_metric("exact_duplicate_rate", "", d_ratio("sum(n - 1)", "sum(n)"), "sum(n)", "sum(n - 1)")
        + " FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang)")
 def agg8_text(spark, sf):
-    return shown(M.duplicate_metrics(load(spark, sf, "documents").select("text", "lang"), ["exact_duplicate_rate"]))
+    return shown(M.duplicate_metrics(spread(load(spark, sf, "documents")).select("text", "lang"), ["exact_duplicate_rate"]))
 
 
 @check("agg9_normalized_duplicate_rate", P + s_duplicates("normalized_duplicate_rate", True))
@@ -174,7 +175,7 @@ def agg9(spark, sf):
 @check("agg9_normalized_duplicate_rate_text", d_metric("normalized_duplicate_rate", "", d_ratio("sum(n - 1)", "sum(n)"), "sum(n)", "sum(n - 1)")
        + f" FROM (SELECT count(*) AS n FROM documents GROUP BY {d_normal('text')}, {d_normal('lang')})")
 def agg9_text(spark, sf):
-    return shown(M.duplicate_metrics(load(spark, sf, "documents").select("text", "lang"), ["normalized_duplicate_rate"]))
+    return shown(M.duplicate_metrics(spread(load(spark, sf, "documents")).select("text", "lang"), ["normalized_duplicate_rate"]))
 
 
 @check("agg14_statistical_outlier_rate", s_outliers({"value": "value"}, "events"))
@@ -351,8 +352,10 @@ def risk_query(name):
     return query
 
 
+ELSEWHERE = ("rsk1_file_parse_failed", "rsk2_empty_dataset", "rsk8_normalized_duplicates_detected",
+             "rsk11_low_source_coverage", "rsk11b_low_version_coverage")
 for _name, _sql in RISK_SQL.items():
-    if _name not in ("rsk1_file_parse_failed", "rsk2_empty_dataset"):
+    if _name not in ELSEWHERE:
         check(_name, f"{M_SQL.rstrip(', ')} {_sql}")(risk_query(_name))
 
 
@@ -373,6 +376,21 @@ def rsk2(spark, sf):
     return shown_risks(R.generate_risks(M.calculate_metrics(none, REF, ["dataset_scale"])))
 
 
+@check("rsk8_normalized_duplicates_detected", f"{P}, m AS MATERIALIZED (" + union([
+    s_duplicates(), s_duplicates("normalized_duplicate_rate", True)]) + ") " + RISK_SQL["rsk8_normalized_duplicates_detected"])
+def rsk8(spark, sf):
+    metrics = M.calculate_metrics(dirty_parts(spark, sf), REF, ["exact_duplicate_rate", "normalized_duplicate_rate"])
+    return shown_risks(R.generate_risks(metrics).where("rule_id = 'normalized_duplicates_detected'"))
+
+
+@check("rsk11_low_coverage", f"{D}, m AS MATERIALIZED (" + union([
+    s_coverage("source_info_coverage", ("department",)), s_coverage("version_info_coverage", ("version",))]) + ") " + union([
+        RISK_SQL["rsk11_low_source_coverage"], RISK_SQL["rsk11b_low_version_coverage"]]))
+def rsk11(spark, sf):
+    df = dirty_orders(spark, sf).select("record_id", "department", "version")
+    return shown_risks(R.generate_risks(M.calculate_metrics(df, REF, ["source_info_coverage", "version_info_coverage"])))
+
+
 @check("rsk_all_risks", f"{M_SQL.rstrip(', ')} " + union(RISK_SQL.values()))
 def rsk_all(spark, sf):
     return shown_risks(R.generate_risks(M.calculate_metrics(dirty_orders(spark, sf), REF)))

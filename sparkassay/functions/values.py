@@ -1,7 +1,9 @@
 """Column builders for single cell values.
 
 Every builder takes a ``Column`` and, where cells of different types behave differently, the
-Spark data type of the column.  All expressions are built-ins, so they stay in generated code.
+Spark data type of the column.  Builders of text take ``s``, the stripped text of the cell, where
+the caller has it in a column already.  All expressions are built-ins, so they stay in generated
+code.
 """
 
 from __future__ import annotations
@@ -40,8 +42,13 @@ def is_variant(dtype: T.DataType) -> bool:
 
 # ------------------------------------------------------------------ text basics
 def strip(c: Column) -> Column:
-    """Remove Unicode white space at both ends (``trim`` alone removes ASCII space only)."""
-    return F.btrim(c, F.lit(fixed.SPACE_CHARS))
+    """Remove Unicode white space at both ends (``trim`` alone removes ASCII space only).
+
+    Text that starts and ends with a printable ASCII character, by far the most common case, is
+    returned as it is.
+    """
+    plain = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(fixed.SPACE_CHARS)))
 
 
 @cache
@@ -75,7 +82,8 @@ def casefold(c: Column) -> Column:
     marked = F.translate(low, source + "".join(a for a, _ in rare), target + "\uffff" * len(rare))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
     expanded = F.aggregate(pairs, F.translate(low, source, target), lambda t, p: F.replace(t, p["a"], p["b"]))
-    return F.when(marked.contains("\uffff"), expanded).otherwise(marked)
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_only, F.lower(c)).when(marked.contains("\uffff"), expanded).otherwise(marked)
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
@@ -90,13 +98,17 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
 
 
 # ------------------------------------------------------------------ missing values
-def is_missing(c: Column, dtype: T.DataType = TEXT) -> Column:
+def stripped(c: Column, dtype: T.DataType, s: Column | None = None) -> Column:
+    return strip(as_text(c, dtype)) if s is None else s
+
+
+def is_missing(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     if is_text(dtype):
-        return c.isNull() | (strip(c) == "")
+        return c.isNull() | (stripped(c, dtype, s) == "")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
     if is_variant(dtype):
-        return F.coalesce(strip(F.try_variant_get(c, "$", "string")) == "", F.lit(True))
+        return F.coalesce(stripped(c, dtype, s) == "", F.lit(True))
     return c.isNull()
 
 
@@ -106,14 +118,14 @@ def _starts_like_number(s: Column) -> Column:
     return F.left(s, F.lit(1)).isin(list("+-.0123456789iI"))
 
 
-def to_double(c: Column, dtype: T.DataType = TEXT) -> Column:
+def to_double(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     """Number in a cell as double, +-Infinity included; null when the cell is not a number."""
     if isinstance(dtype, T.BooleanType) or is_temporal(dtype):
         return F.lit(None).cast("double")
     if is_number(dtype):
         d = c.cast("double")
         return F.when(~F.isnan(d), d)
-    s = strip(as_text(c, dtype))
+    s = stripped(c, dtype, s)
     number = s.try_cast("double")
     return F.when(
         _starts_like_number(s),
@@ -131,7 +143,7 @@ def is_finite_number(c: Column, dtype: T.DataType = TEXT) -> Column:
     return is_finite(to_double(c, dtype))
 
 
-def parse_decimal(c: Column, dtype: T.DataType = TEXT) -> Column:
+def parse_decimal(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     """Exact number as ``struct(exact decimal(38,18), wide double)``; null if not a finite number.
 
     ``wide`` is filled for every number, ``exact`` only where the decimal type can hold it.
@@ -142,7 +154,7 @@ def parse_decimal(c: Column, dtype: T.DataType = TEXT) -> Column:
         text = c.cast("string")
         exact, wide = text.try_cast("decimal(38,18)"), c.cast("double")
     else:
-        s = F.replace(strip(as_text(c, dtype)), F.lit("_"), F.lit(""))
+        s = F.replace(stripped(c, dtype, s), F.lit("_"), F.lit(""))
         ok = _starts_like_number(s) & s.rlike(fixed.NUMBER_TEXT)
         exact = F.when(ok, s.try_cast("decimal(38,18)"))
         wide = F.when(ok, s.try_cast("double"))
@@ -161,11 +173,11 @@ def _number_order(left: Column, right: Column) -> tuple[Column, Column]:
 # Accepted notations are rewritten to ``y-m-d`` by one linear chain of replacements, so that the
 # generated code stays small; a clock and an offset may follow a full date.  Years are limited
 # to those a nanosecond time stamp covers.
-_DATE_TEXT = (
-    r"^((?:16(?:7[89]|[89]\d)|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
-    r"(?:-\d{1,2}(?:-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?)?)?)"
-    r"\s*(?:(?<=:\d{2}(?:\.\d{1,9})?)\s*(?:Z|UTC|[+-]\d{2}:?\d{2}))?$"
-)
+_YEAR = r"(?:16(?:7[89]|[89]\d)|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+_DATE = rf"{_YEAR}(?:-\d{{1,2}}(?:-\d{{1,2}}(?:[ T]\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,9}})?)?)?)?)?"
+_ISO_TEXT = rf"^{_DATE}$"
+_DATE_TEXT = rf"^({_DATE})\s*(?:(?<=:\d{{2}}(?:\.\d{{1,9}})?)\s*(?:Z|UTC|[+-]\d{{2}}:?\d{{2}}))?$"
+_OTHER_TEXT = r"^(?:\d{8}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}/\d{1,2}/\d{4})(?:$|[ T])"
 _REWRITES = (
     (r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3"),
     (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?=$|[ T])", "$1-$2-$3"),
@@ -175,56 +187,60 @@ _REWRITES = (
 _NAMED = r"(?i)^(?:(\d{1,2}) )?([a-z]{3})[a-z]*\.?,? (?:(\d{1,2}),? )?(\d{4})(?=$|[ T])"
 
 
-def _stamp(text: Column) -> Column:
-    return F.regexp_extract(text, _DATE_TEXT, 1).try_cast("timestamp_ntz")
-
-
 def _parse_date_text(s: Column) -> Column:
     text = s
     for pattern, replacement in _REWRITES:
         text = F.regexp_replace(text, pattern, replacement)
+    rewritten = F.regexp_extract(text, _DATE_TEXT, 1).try_cast("timestamp_ntz")
     month = F.instr(F.lit("".join(fixed.MONTH_NAMES)), F.lower(F.regexp_extract(s, _NAMED, 2)))
     named = F.concat(
         F.regexp_extract(s, _NAMED, 4), F.lit("-"),
         F.when(month % 3 == 1, ((month + 2) / 3).cast("int").cast("string")), F.lit("-"),
         F.regexp_extract(s, _NAMED, 1), F.regexp_extract(s, _NAMED, 3), F.regexp_replace(s, _NAMED, ""))
+    named = F.regexp_extract(named, _DATE_TEXT, 1).try_cast("timestamp_ntz")
     # The first byte keeps ordinary text away from the regular expressions.
-    return F.when(F.left(s, F.lit(1)).between("0", "9") & ~s.rlike("[a-zA-SU-Y]{3}"), _stamp(text)).when(
-        s.rlike(_NAMED), _stamp(named))
+    return F.when(
+        F.left(s, F.lit(1)).between("0", "9"),
+        F.when(s.rlike(_ISO_TEXT), s.try_cast("timestamp_ntz"))
+        .when(s.rlike(_OTHER_TEXT), rewritten).when(s.rlike(_NAMED), named),
+    ).when(F.lower(F.left(s, F.lit(3))).isin(list(fixed.MONTH_NAMES)) & s.rlike(_NAMED), named)
 
 
-def parse_datetime(c: Column, dtype: T.DataType = TEXT) -> Column:
+def parse_datetime(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     """Date and time as ``timestamp_ntz`` (offsets dropped, wall clock kept), else null."""
     if is_temporal(dtype):
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.BooleanType):
         return F.lit(None).cast("timestamp_ntz")
-    return _parse_date_text(strip(as_text(c, dtype)))
+    return _parse_date_text(stripped(c, dtype, s))
 
 
-def parse_datetime_strict(c: Column, dtype: T.DataType = TEXT) -> Column:
+def parse_datetime_strict(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     """As :func:`parse_datetime`, but numbers and booleans are never dates."""
     if is_number(dtype):
         return F.lit(None).cast("timestamp_ntz")
     if is_variant(dtype):
-        return F.when(F.schema_of_variant(c) == "STRING", parse_datetime(c, dtype))
-    return parse_datetime(c, dtype)
+        return F.when(F.schema_of_variant(c) == "STRING", parse_datetime(c, dtype, s))
+    return parse_datetime(c, dtype, s)
 
 
 # ------------------------------------------------------------------ logical types
-def value_type(c: Column, dtype: T.DataType = TEXT) -> Column:
+def value_type(
+    c: Column, dtype: T.DataType = TEXT, s: Column | None = None, number: Column | None = None,
+) -> Column:
     """Logical type of one cell: boolean, datetime, numeric or text; null when missing."""
-    missing = is_missing(c, dtype)
+    missing = is_missing(c, dtype, s)
     if isinstance(dtype, T.BooleanType):
         return F.when(~missing, F.lit("boolean"))
     if is_number(dtype):
         return F.when(~missing, F.lit("numeric"))
     if is_temporal(dtype):
         return F.when(~missing, F.lit("datetime"))
-    s = strip(as_text(c, dtype))
+    s = stripped(c, dtype, s)
+    number = to_double(s, TEXT, s) if number is None else number
     kind = (
         F.when((F.octet_length(s) <= 8) & F.lower(s).isin(list(fixed.BOOLEAN_WORDS)), F.lit("boolean"))
-        .when(to_double(s).isNotNull(), F.lit("numeric"))
+        .when(number.isNotNull(), F.lit("numeric"))
         .when(F.left(s, F.lit(1)).between("0", "9") & s.rlike(fixed.DATE_SHAPE)
               & _parse_date_text(s).isNotNull(), F.lit("datetime"))
         .otherwise(F.lit("text"))
@@ -240,37 +256,28 @@ def value_type(c: Column, dtype: T.DataType = TEXT) -> Column:
 
 
 # ------------------------------------------------------------------ formats
-def is_valid_url(c: Column, dtype: T.DataType = TEXT) -> Column:
-    s = strip(as_text(c, dtype))
+def is_valid_url(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
+    s = stripped(c, dtype, s)
     authority = F.regexp_extract(s, r"(?i)^https?://([^/?#]*)", 1)
     opened, closed = authority.contains("["), authority.contains("]")
     return F.coalesce((authority != "") & (opened == closed), F.lit(False))
 
 
-def is_valid_email(c: Column, dtype: T.DataType = TEXT) -> Column:
-    s = strip(as_text(c, dtype))
+def is_valid_email(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
+    s = stripped(c, dtype, s)
     return F.coalesce(s.contains("@") & s.rlike(fixed.EMAIL_TEXT), F.lit(False))
 
 
-def looks_structured(c: Column) -> Column:
+def looks_structured(c: Column, s: Column | None = None) -> Column:
     """Text whose punctuation carries meaning: address, version or code."""
-    s = strip(c)
+    s = strip(c) if s is None else s
     return F.coalesce(
-        is_valid_url(s) | is_valid_email(s) | s.rlike(fixed.VERSION_TEXT) | s.rlike(fixed.CODE_TEXT),
+        is_valid_url(s, TEXT, s) | is_valid_email(s, TEXT, s)
+        | s.rlike(f"{fixed.VERSION_TEXT}|{fixed.CODE_TEXT}"),
         F.lit(False),
     )
 
 
-def matches_format(c: Column, dtype: T.DataType, expected: str) -> Column:
-    if expected == "url":
-        return is_valid_url(c, dtype)
-    if expected == "email":
-        return is_valid_email(c, dtype)
-    if expected == "datetime":
-        return parse_datetime(c, dtype).isNotNull()
-    return is_finite_number(c, dtype)
-
-
 def regex_fullmatch(c: Column, pattern: str, dtype: T.DataType = TEXT) -> Column:
     s = as_text(c, dtype)
     return (F.char_length(s) <= fixed.MAX_REGEX_INPUT) & s.rlike(rf"(?U)\A(?:{pattern})\z")
@@ -291,17 +298,20 @@ def exact_key(c: Column, dtype: T.DataType = TEXT) -> Column:
     return c
 
 
-def normalized_key(c: Column, dtype: T.DataType, structured_name: bool = False) -> Column:
+def normalized_key(
+    c: Column, dtype: T.DataType, structured_name: bool = False,
+    s: Column | None = None, kind: Column | None = None,
+) -> Column:
     """Key that ignores case, white space and punctuation of natural text only."""
     if not (is_text(dtype) or is_variant(dtype)):
         return exact_key(c, dtype)
-    s = as_text(c, dtype)
-    exact = F.concat(F.lit("="), exact_key(c, dtype))
+    s = stripped(c, dtype, s)
+    exact = F.concat(F.lit("="), exact_key(c, dtype).cast("string"))
     if structured_name:
-        return F.when(~is_missing(c, dtype), exact)
-    natural = F.concat(F.lit("~"), F.regexp_replace(casefold(strip(s)), r"[^\p{L}\p{N}]+", ""))
-    keep = looks_structured(s) | (value_type(c, dtype) != "text")
-    return F.when(~is_missing(c, dtype), F.when(keep, exact).otherwise(natural))
+        return F.when(~is_missing(c, dtype, s), exact)
+    natural = F.concat(F.lit("~"), F.regexp_replace(casefold(s), r"[^\p{L}\p{N}]+", ""))
+    kind = value_type(c, dtype, s) if kind is None else kind
+    return F.when(kind.isNotNull(), F.when((kind != "text") | looks_structured(s, s), exact).otherwise(natural))
 
 
 def comparison_key(c: Column, dtype: T.DataType = TEXT) -> Column:

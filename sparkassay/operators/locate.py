@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import names
 from ..plans.cells import Cells, flat_columns, ref
 from ..plans.probes import Probe, Violation
-from ..plans.skew import HOT_ROWS, join_back, record_key
+from ..plans.skew import HOT_ROWS, join_back, with_record_key
 
 RN = "record_number"
 LOCATION_COLUMNS = ("metric_key", RN, "fields", "issue_type", "related_record_numbers")
@@ -67,7 +67,7 @@ def duplicate_locations(
     """Every later copy of a record, related to the first one."""
     content = names.content_columns(flat_columns(df))
     numbered = with_record_number(df) if numbered is None else numbered
-    rows = numbered.select(RN, record_key(df, content, normalized).alias("key"))
+    rows = with_record_key(numbered, content, normalized).select(RN, "key")
     groups = (
         rows.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(RN).alias("first_record"))
         .where("group_size > 1")

@@ -16,7 +16,7 @@ from ..plans.probes import (
     GROUP_COLUMNS, Probe, Violation, evidence_json, literal_empty, literal_metrics, metric_row,
     ratio, run_probes, union_all,
 )
-from ..plans.skew import count_groups, record_key
+from ..plans.skew import count_groups, with_record_key
 from .quantiles import quartiles
 
 NO_ROWS = "数据集不包含记录，无法计算。"
@@ -193,7 +193,7 @@ def version_info_coverage(cells: Cells) -> list[Probe]:
 def duplicate_summary(df: DataFrame, normalized: bool = False) -> DataFrame:
     """One row: records, later copies, groups with copies."""
     content = names.content_columns(flat_columns(df))
-    keyed = df.select(record_key(df, content, normalized).alias("key"))
+    keyed = with_record_key(df, content, normalized)
     return count_groups(keyed, "key").agg(
         F.coalesce(F.sum("group_size"), F.lit(0)).alias("checked_count"),
         F.coalesce(F.sum(F.col("group_size") - 1), F.lit(0)).alias("issue_count"),

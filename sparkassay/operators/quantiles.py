@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import values as V
-from ..plans.cells import ref, schema_types
+from ..plans.cells import Cells
 
 PER_OCTAVE = 8
 BUCKETS = 4096
@@ -93,26 +93,24 @@ def quartiles(df: DataFrame, fields: list[str]) -> list[Quartiles]:
     80 % of the non-missing cells)."""
     if not fields:
         return []
-    types = schema_types(df)
-    stats_columns, numbers = [], []
-    for i, c in enumerate(fields):
-        raw, dtype = F.col(ref(c)), types[c]
-        x = V.to_double(raw, dtype)
-        numbers.append(x)
+    cells = Cells(df)
+    stats_columns, numbers = [], [cells.number(c) for c in fields]
+    for i, (c, x) in enumerate(zip(fields, numbers)):
         stats_columns += [
-            F.count_if(~V.is_missing(raw, dtype)).alias(f"present_{i}"),
+            F.count_if(~cells.missing(c)).alias(f"present_{i}"),
             F.count(x).alias(f"numeric_{i}"), F.count_if(V.is_finite(x)).alias(f"finite_{i}")]
-    stats = df.agg(*stats_columns).first()
+    stats = cells.project().agg(*stats_columns).first()
     chosen = {
         c: stats[f"finite_{i}"] for i, c in enumerate(fields)
         if stats[f"finite_{i}"] >= 4 and stats[f"numeric_{i}"] >= 0.8 * stats[f"present_{i}"]
     }
     if not chosen:
         return []
+    cells = Cells(df)  # the following scans read and parse the chosen columns only
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("field"), x.alias("x")) for c, x in zip(fields, numbers) if c in chosen])
+        F.struct(F.lit(c).alias("field"), cells.number(c).alias("x")) for c in chosen])
     values = (
-        df.select(F.explode(pairs).alias("p")).select("p.field", "p.x").where(V.is_finite(F.col("x")))
+        cells.project().select(F.explode(pairs).alias("p")).select("p.field", "p.x").where(V.is_finite(F.col("x")))
     )
     wanted = {c: {p for q in (0.25, 0.75) for p in _positions(n, q)[:2]} for c, n in chosen.items()}
     at = order_statistics(values, wanted)

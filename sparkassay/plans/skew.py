@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.names import field_matches
-from .cells import ref, schema_types
+from .cells import Cells, ref
 
 # A group of this many rows or more is salted.  At most rows / HOT_ROWS groups can be hot, so
 # the broadcast list of hot keys stays small: one million entries for 5 * 10^12 rows.
@@ -16,24 +15,25 @@ HOT_ROWS = 5_000_000
 SALTS = 64
 
 
-def _part(c: Column, dtype: T.DataType, name: str, normalized: bool) -> Column:
-    if normalized:
-        return V.normalized_key(c, dtype, field_matches("structured", name))
-    return V.exact_key(c, dtype)
-
-
-def record_key(df: DataFrame, columns: list[str], normalized: bool = False) -> Column:
-    """One key per record over ``columns``.
+def with_record_key(
+    df: DataFrame, columns: list[str], normalized: bool = False, name: str = "key",
+) -> DataFrame:
+    """Add one key per record over ``columns``.
 
     A single fixed-width column is its own key.  Otherwise the key is the SHA-256 digest of the
     length-prefixed cell texts, so that 32 bytes per record are shuffled however wide the record.
     """
-    types = schema_types(df)
-    if len(columns) == 1 and not normalized and not (
-        V.is_text(types[columns[0]]) or V.is_variant(types[columns[0]])
-    ):
-        return F.struct(_part(F.col(ref(columns[0])), types[columns[0]], columns[0], False))
-    return digest([_part(F.col(ref(c)), types[c], c, normalized) for c in columns])
+    cells = Cells(df)
+    if len(columns) == 1 and cells.text(columns[0]) is None:
+        return df.withColumn(name, F.struct(V.exact_key(*cells.raw(columns[0]))))
+    if not normalized:
+        return df.withColumn(name, digest([V.exact_key(*cells.raw(c)) for c in columns]))
+    parts = []
+    for c in columns:
+        named, s = field_matches("structured", c), cells.text(c)
+        kind = None if named or s is None else cells.kind(c)
+        parts.append(V.normalized_key(*cells.raw(c), named, s, kind))
+    return cells.project().withColumn(name, digest(parts))
 
 
 def digest(parts: list[Column]) -> Column:

@@ -22,9 +22,30 @@ def local_session(cpus: int | str = 8, app: str = "sparkassay", memory: str = "1
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session options that suit wide sets of cell expressions.
+
+    The JVM does not compile methods above 8000 bytes; beyond that, Spark's split expression code
+    is faster than one fused method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 
+def spread(df):
+    """Deal a scan with fewer input splits than cores (one small file) over all cores.
+
+    Large inputs already have more splits than cores and are left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else (tests) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
