@@ -106,7 +106,7 @@ def summary_claims(summary: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ numbers
 def mention_rows(statements: DataFrame) -> DataFrame:
     """One row per number of a statement, with its place in the text."""
-    pattern = fixed.NUMBER_MENTION
+    pattern = X.MENTION
     found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split("text", pattern, -1)
     # A number starts after all gaps up to its own and all numbers before it.
@@ -153,7 +153,7 @@ def grounded_numbers(statements: DataFrame, claims: DataFrame, salts: int = 16)
         (F.col("best.distance") <= fixed.MAX_LABEL_DISTANCE) & ~F.col("best.wrong")).alias("ok"))
     supported = judged.groupBy("statement_id").agg(F.count_if("ok").alias("supported"))
     total = statements.select("statement_id", F.size(F.regexp_extract_all(
-        "text", F.lit(f"({fixed.NUMBER_MENTION})"), F.lit(1))).cast("bigint").alias("mentions"))
+        "text", F.lit(f"({X.MENTION})"), F.lit(1))).cast("bigint").alias("mentions"))
     return total.join(supported, "statement_id", "left").select(
         "statement_id", "mentions", (F.coalesce("supported", F.lit(0)) == F.col("mentions")).alias("grounded"))
 
