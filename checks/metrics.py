@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkassay.operators import locate as L
 from sparkassay.operators import metrics as M
 from sparkassay.operators import risks as R
+from sparkassay.operators.assess import assess, settle
 from sparkassay.operators.profile import infer_types, profile
 from sparkassay.plans import catalog
 from sparkassay.plans.cells import Cells
@@ -347,7 +348,7 @@ def risk_query(name):
     rules = RULES_OF[name]
 
     def query(spark, sf):
-        metrics = M.calculate_metrics(dirty_orders(spark, sf), REF, NEEDS[rules[0]])
+        metrics = settle(M.calculate_metrics(dirty_orders(spark, sf), REF, NEEDS[rules[0]]))
         return shown_risks(R.generate_risks(metrics).where(F.col("rule_id").isin(*rules)))
     return query
 
@@ -393,4 +394,4 @@ def rsk11(spark, sf):
 
 @check("rsk_all_risks", f"{M_SQL.rstrip(', ')} " + union(RISK_SQL.values()))
 def rsk_all(spark, sf):
-    return shown_risks(R.generate_risks(M.calculate_metrics(dirty_orders(spark, sf), REF)))
+    return shown_risks(assess(dirty_orders(spark, sf), REF).risks)
