@@ -140,7 +140,7 @@ def log2_stream(spark, sf):
 # Every order is a small workflow of three steps with faults in some.
 @check("log3_transition_audit", """SELECT o_orderkey AS id, p AS problem FROM orders, LATERAL (SELECT unnest(list_filter([
   CASE WHEN o_orderkey % 7 = 0 THEN 'gap in sequence' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN 'time goes back' END,
-  CASE WHEN o_orderkey % 13 = 0 THEN 'transition not allowed' END, CASE WHEN o_orderkey % 17 = 0 THEN 'last state differs' END], x -> x IS NOT NULL)) AS p)""")
+  CASE WHEN o_orderkey % 13 = 0 THEN 'transition not allowed' END, CASE WHEN o_orderkey % 17 = 0 THEN 'last state differs' END], lambda x: x IS NOT NULL)) AS p)""")
 def log3(spark, sf):
     k = F.col("o_orderkey")
     steps = F.array(

@@ -24,14 +24,17 @@ def src1(spark, sf):
     return S.read_csv(spark, path).checked()
 
 
-REC = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
-                         F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nation")))
+def rec():
+    return F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                              F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nation")))
+
+
 CUSTOMERS = "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_nationkey <> 3 THEN CAST(c_nationkey AS BIGINT) END AS nation FROM customer"
 
 
 def customer_groups(spark, sf):
     """A JSON array text per nation."""
-    return load(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(REC), ",").alias("items"))
+    return load(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(rec()), ",").alias("items"))
 
 
 def per_file(spark, df, label):
@@ -66,7 +69,7 @@ def src4(spark, sf):
 
 @check("src5_read_json_lines", CUSTOMERS)
 def src5(spark, sf):
-    return S.read_json_lines(spark, written(spark, load(spark, sf, "customer").select(REC.alias("value")), "lines")).checked()
+    return S.read_json_lines(spark, written(spark, load(spark, sf, "customer").select(rec().alias("value")), "lines")).checked()
 
 
 def point(x, y):

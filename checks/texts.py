@@ -86,7 +86,7 @@ def v25(spark, sf):
         "order", [F.col("o_orderkey").cast("string"), X.json_text(F.col("o_orderpriority")), F.lit(None).cast("string")], 12).alias("id"))
 
 
-D_TOKENS = "list_distinct(list_filter(regexp_extract_all({c}, '[A-Za-z0-9_./:-]+'), x -> length(x) >= 2))"
+D_TOKENS = "list_distinct(list_filter(regexp_extract_all({c}, '[A-Za-z0-9_./:-]+'), lambda x: length(x) >= 2))"
 
 
 @check("v26_tokens", f"SELECT doc_id, md5(array_to_string(list_sort({D_TOKENS.format(c=d_casefold('text'))}), ' ')) AS terms FROM documents")
@@ -102,7 +102,7 @@ def v27(spark, sf):
 
 
 @check("v28_metric_codes", r"""SELECT doc_id, coalesce((SELECT string_agg('db31_' || c, ',' ORDER BY c) FROM (SELECT DISTINCT unnest(list_filter(
-  regexp_extract_all(text || ' ' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || ' ' || (1000000 + doc_id), '[0-9]+'), x -> length(x) = 6)) AS c)), '') AS codes FROM documents""")
+  regexp_extract_all(text || ' ' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || ' ' || (1000000 + doc_id), '[0-9]+'), lambda x: length(x) = 6)) AS c)), '') AS codes FROM documents""")
 def v28(spark, sf):
     text = F.concat("text", F.lit(" "), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(" "), (F.col("doc_id") + 1000000).cast("string"))
     return docs(spark, sf).select("doc_id", F.array_join(X.metric_codes(text), ",").alias("codes"))

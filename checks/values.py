@@ -24,8 +24,9 @@ def v1(spark, sf):
 
 @check("v2_value_type", O + ", ".join(f"{d_kind(c)} AS {c}" for c in ("total_amount", "update_time", "flag")) + " FROM d")
 def v2(spark, sf):
-    return dirty_orders(spark, sf).select(
-        "record_id", *[V.value_type(F.col(c)).alias(c) for c in ("total_amount", "update_time", "flag")])
+    cells = Cells(dirty_orders(spark, sf))
+    kinds = [cells.kind(c).alias(c) for c in ("total_amount", "update_time", "flag")]
+    return cells.project().select("record_id", *kinds)
 
 
 def _stamp(c):

@@ -198,12 +198,13 @@ def _parse_date_text(s: Column) -> Column:
         F.when(month % 3 == 1, ((month + 2) / 3).cast("int").cast("string")), F.lit("-"),
         F.regexp_extract(s, _NAMED, 1), F.regexp_extract(s, _NAMED, 3), F.regexp_replace(s, _NAMED, ""))
     named = F.regexp_extract(named, _DATE_TEXT, 1).try_cast("timestamp_ntz")
-    # The first byte keeps ordinary text away from the regular expressions.
-    return F.when(
-        F.left(s, F.lit(1)).between("0", "9"),
-        F.when(s.rlike(_ISO_TEXT), s.try_cast("timestamp_ntz"))
-        .when(s.rlike(_OTHER_TEXT), rewritten).when(s.rlike(_NAMED), named),
-    ).when(F.lower(F.left(s, F.lit(3))).isin(list(fixed.MONTH_NAMES)) & s.rlike(_NAMED), named)
+    # The first bytes keep ordinary text away from the regular expressions.
+    digit = F.left(s, F.lit(1)).between("0", "9")
+    word = F.lower(F.left(s, F.lit(3))).isin(list(fixed.MONTH_NAMES))
+    return (
+        F.when(digit & s.rlike(_ISO_TEXT), s.try_cast("timestamp_ntz"))
+        .when(digit & s.rlike(_OTHER_TEXT), rewritten)
+        .when((digit | word) & s.rlike(_NAMED), named))
 
 
 def parse_datetime(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
