@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from sparkassay.operators import documents as D
 from sparkassay.operators import retrieval as R
 
+from sparkassay.session import spread
+
 from .registry import check, d_casefold, load
 from .texts import D_TOKENS
 
@@ -18,7 +20,7 @@ FROM documents"""
 
 
 def framed(spark, sf):
-    return spark.sql(FRAME.replace("FROM documents", "FROM {documents}"), documents=load(spark, sf, "documents"))
+    return spark.sql(FRAME.replace("FROM documents", "FROM {documents}"), documents=spread(load(spark, sf, "documents")))
 
 
 def ingested(spark, sf):
@@ -69,7 +71,7 @@ def doc5(spark, sf):
 
 # Knowledge base for the SQL checks: each document is one chunk of its whole text.
 def whole_documents(spark, sf):
-    d = load(spark, sf, "documents")
+    d = spread(load(spark, sf, "documents"))
     documents = d.select(
         F.format_string("%09d", "doc_id").alias("document_id"), F.concat(F.lit("Notes from "), "source").alias("title"),
         F.concat(F.lit("N "), (F.col("doc_id") % 50).cast("string")).alias("standard_number"),

@@ -13,7 +13,7 @@ from sparkassay.operators import risks as R
 from sparkassay.operators import rules as U
 from sparkassay.operators.assess import assess, settle
 from sparkassay.plans.rulebook import Rule
-from sparkassay.session import scratch_path
+from sparkassay.session import scratch_path, spread
 from sparkassay.sources import sinks as K
 
 from .metrics import (
@@ -308,7 +308,7 @@ FROM orders"""
 
 
 def statements(spark, sf):
-    df = spark.sql(STATEMENTS.replace("FROM orders", "FROM {orders}"), orders=load(spark, sf, "orders"))
+    df = spark.sql(STATEMENTS.replace("FROM orders", "FROM {orders}"), orders=spread(load(spark, sf, "orders")))
     return df.select("statement_id", "text", F.array("cited").alias("citation_ids"))
 
 
@@ -316,7 +316,7 @@ def order_claims(spark, sf):
     pairs = F.array(
         F.struct(F.col("o_totalprice").alias("value"), F.array(F.lit("price")).alias("labels")),
         F.struct(F.col("o_custkey").cast("double").alias("value"), F.array(F.lit("Customer"), F.lit("client")).alias("labels")))
-    return load(spark, sf, "orders").select(
+    return spread(load(spark, sf, "orders")).select(
         F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("citation_id"), F.explode(pairs).alias("c")).select(
             "citation_id", "c.value", "c.labels")
 

@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from sparkassay.functions import text as X
 
+from sparkassay.session import spread
+
 from .registry import check, d_casefold, d_strip, load
 
 DOCS = "SELECT doc_id, "
 
 
 def docs(spark, sf):
-    return load(spark, sf, "documents")
+    return spread(load(spark, sf, "documents"))
 
 
 UNSAFE = r"[\x{061c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"

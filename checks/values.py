@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from sparkassay.functions import values as V
 
 from sparkassay.plans.cells import Cells
+from sparkassay.session import spread
 
 from .registry import (
     DIRTY_ORDERS, DIRTY_PARTS, check, d_casefold, d_date, d_email, d_finite, d_kind, d_missing,
@@ -96,7 +97,7 @@ def d_normal(c):
        f"UNION ALL SELECT -1 - doc_id, md5({d_normal('text')}) FROM documents")
 def v10(spark, sf):
     return dirty_parts(spark, sf).select("part_id", V.normalized_key(F.col("title"), TEXT).alias("k")).unionByName(
-        load(spark, sf, "documents").select(
+        spread(load(spark, sf, "documents")).select(
             (-1 - F.col("doc_id")).alias("part_id"), F.md5(V.normalized_key(F.col("text"), TEXT)).alias("k")))
 
 

@@ -80,7 +80,7 @@ def casefold(c: Column) -> Column:
     low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
     rare = [(a, b) for a, b in multiples if a != "ß"]
     marked = F.translate(low, source + "".join(a for a, _ in rare), target + "\uffff" * len(rare))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
+    pairs = F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in rare) + ")")
     expanded = F.aggregate(pairs, F.translate(low, source, target), lambda t, p: F.replace(t, p["a"], p["b"]))
     ascii_only = F.octet_length(c) == F.char_length(c)
     return F.when(ascii_only, F.lower(c)).when(marked.contains("\uffff"), expanded).otherwise(marked)
@@ -402,11 +402,6 @@ def any_of(parts: list[Column]) -> Column:
     return reduce(or_, parts, F.lit(False))
 
 
-def safe_ratio(part: Column, whole: Column) -> Column:
-    """part / whole as double; null for an empty denominator."""
-    return F.when(whole > 0, part.cast("double") / whole.cast("double"))
-
-
 def round_value(c: Column) -> Column:
     """Six places, half to even: the precision of every reported metric."""
     return F.bround(c, 6)

@@ -63,32 +63,43 @@ def metric_row(
     checked: Column | None = None, issues: Column | None = None, evidence: Column | None = None,
     blockers: list[tuple[Column, str]] = (), name: str | None = None, category: str | None = None,
     unit: str | None = None, position: int | None = None, key: str | None = None,
-    scope_when_blocked: str | None = None,
 ) -> Column:
     """One metric as a struct.  ``blockers`` are (condition, reason) pairs checked in order."""
     known = METRICS.get(metric_id)
-    reason = F.lit(None).cast("string")
-    for condition, text in reversed(list(blockers)):
-        reason = F.when(condition, F.lit(text)).otherwise(reason)
-    open_ = reason.isNull()
-    none = F.lit(None)
-    fields = {
-        "metric_id": F.lit(metric_id),
-        "name": F.lit(name or known.name),
-        "category": F.lit(category or (known.category if known else "业务规则")),
-        "status": F.when(open_, F.lit("evaluated")).otherwise(F.lit("not_assessable")),
-        "value": F.when(open_, value.cast("double")),
-        "unit": F.when(open_, F.lit(unit or (known.unit if known else "ratio"))),
-        "scope": F.lit(scope),
-        "field": F.lit(field_name).cast("string"),
-        "metric_key": F.lit(key or names.metric_key(metric_id, field_name if scope == "field" else None)),
-        "checked_count": F.when(open_, (none if checked is None else checked).cast("long")),
-        "issue_count": F.when(open_, (none if issues is None else issues).cast("long")),
-        "evidence": F.when(open_, none.cast("string") if evidence is None else evidence),
-        "reason": reason,
-        "position": F.lit((known.position if position is None else position)).cast("long"),
-    }
-    return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in METRIC_SCHEMA])
+    open_, reason = None, _constant("reason", None)
+    if blockers:
+        text = F.lit(None)
+        for condition, why in reversed(list(blockers)):
+            text = F.when(condition, F.lit(why)).otherwise(text)
+        reason = text.cast("string").alias("reason")
+        open_ = text.isNull()
+
+    def if_open(column: Column | None, name: str, kind: str) -> Column:
+        if column is None:
+            return _constant(name, None, kind)
+        return (column if open_ is None else F.when(open_, column)).cast(kind).alias(name)
+
+    status = _constant("status", "evaluated") if open_ is None else F.when(
+        open_, F.lit("evaluated")).otherwise(F.lit("not_assessable")).alias("status")
+    return F.struct(
+        _constant("metric_id", metric_id), _constant("name", name or known.name),
+        _constant("category", category or (known.category if known else "业务规则")), status,
+        if_open(value, "value", "double"), if_open(_constant("unit", unit or (known.unit if known else "ratio")), "unit", "string"),
+        _constant("scope", scope), _constant("field", field_name),
+        _constant("metric_key", key or names.metric_key(metric_id, field_name if scope == "field" else None)),
+        if_open(checked, "checked_count", "bigint"), if_open(issues, "issue_count", "bigint"),
+        if_open(evidence, "evidence", "string"), reason,
+        _constant("position", known.position if position is None else position, "bigint"))
+
+
+def _constant(name: str, value, kind: str = "string") -> Column:
+    """A typed literal; one call to the JVM instead of three."""
+    if value is None:
+        return F.expr(f"cast(null as {kind}) as {name}")
+    if isinstance(value, str):
+        quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+        return F.expr(f"'{quoted}' as {name}")
+    return F.expr(f"cast({value} as {kind}) as {name}")
 
 
 def literal_metrics(spark, rows: list[Column]) -> DataFrame:
@@ -115,4 +126,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    return V.round_value(V.safe_ratio(part, whole))
+    return V.round_value(F.try_divide(part.cast("double"), whole.cast("double")))

@@ -19,6 +19,9 @@ def local_session(cpus: int | str = 8, app: str = "sparkassay", memory: str = "1
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Plans here hold thousands of expressions; recording a call site for each costs more
+        # than running them on small data.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
