@@ -52,9 +52,25 @@ def line_rows(spark, sf):
     return D.lines(framed(spark, sf).select(F.col("doc_id").cast("string").alias("document_id"), "text"))
 
 
-@check("doc3_blocks")
+D_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+BLOCKS = rf"""WITH f AS MATERIALIZED ({FRAME}), l AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i AS n, {D_LINES}[i] AS raw
+  FROM (SELECT doc_id, text, unnest(range(1, len({D_LINES}) + 1)) AS i FROM f)),
+t AS (SELECT *, rtrim(raw, {D_SPACES}) AS tidy FROM l),
+h AS (SELECT *, nullif(regexp_extract(tidy, '^\s*#{{1,6}}\s+(.+?)\s*$', 1), '') AS heading, tidy = '' AS blank, starts_with(ltrim(tidy, {D_SPACES}), '|') AS tab,
+  nullif(trim(regexp_extract(tidy, '(?i)^\s*(第\s*[0-9一二三四五六七八九十百]+\s*[章节条款项]?|[0-9]+(?:\.[0-9]+){{0,6}}|表\s*[0-9]+|附录\s*[A-Z])(?:[、.．：:\s]|$)', 1)), '') AS found FROM t),
+c AS (SELECT *, CASE WHEN heading IS NULL THEN found END AS own FROM h),
+o AS (SELECT *, heading IS NOT NULL OR own IS NOT NULL AS opens, lag(blank, 1, true) OVER d AS after_blank, lag(tab) OVER d AS tab_before FROM c WINDOW d AS (PARTITION BY document_id ORDER BY n)),
+r AS (SELECT *, sum(CASE WHEN NOT blank AND (opens OR after_blank OR coalesce(tab_before <> tab, false)) THEN 1 ELSE 0 END) OVER d AS run,
+  last_value(heading IGNORE NULLS) OVER d AS section, count(heading) OVER d AS part_no FROM o WINDOW d AS (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY document_id, part_no ORDER BY n ROWS UNBOUNDED PRECEDING) AS clause FROM r)
+SELECT document_id, CAST(n AS INTEGER) AS line_number, CAST(run AS BIGINT) AS run, section, clause, tab AS "table",
+  CAST(CASE WHEN tab THEN floor((row_number() OVER (PARTITION BY document_id, run ORDER BY n) - 1) / 8) ELSE 0 END AS BIGINT) AS part,
+  md5(CASE WHEN opens THEN raw ELSE tidy END) AS line FROM g WHERE NOT blank"""
+
+
+@check("doc3_blocks", BLOCKS)
 def doc3(spark, sf):
-    return D.line_blocks(line_rows(spark, sf))
+    return D.line_blocks(line_rows(spark, sf)).withColumn("line", F.md5("line"))
 
 
 @check("doc4_split_oversized")

@@ -166,11 +166,17 @@ def log4(spark, sf):
     return L.bounded_turns(load(spark, sf, "conversations")).withColumn("text", F.md5("text"))
 
 
-@check("src13_chat_rules", "SELECT conv_id, count(*) AS turns, md5(string_agg(trim(text, chr(10) || ' ' || chr(9)), chr(10) ORDER BY turn)) AS request FROM conversations WHERE role = 'user' AND trim(text, chr(10) || ' ' || chr(9)) <> '' GROUP BY 1")
+@check("src13_chat_rules", "SELECT conv_id, count(*) AS turns, CASE WHEN sum(length(trim(text, chr(10) || ' ' || chr(9))) + 1) - 1 <= 4000 THEN md5(string_agg(trim(text, chr(10) || ' ' || chr(9)), chr(10) ORDER BY turn)) END AS request FROM conversations WHERE role = 'user' AND trim(text, chr(10) || ' ' || chr(9)) <> '' GROUP BY 1")
 def src13_chat(spark, sf):
     return T.chat_rules(load(spark, sf, "conversations")).withColumn("request", F.md5("request"))
 
 
-@check("src13_dialog_rules")
+SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+LINES = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+
+
+@check("src13_dialog_rules", rf"""SELECT doc_id, md5(rule) AS rule, CAST(min(n) AS INTEGER) AS line_number FROM (SELECT doc_id, n,
+  trim(regexp_replace(regexp_replace(trim({LINES}[n], {SPACE}), '^\s*(?:[-*+]\s+|[0-9]{{1,3}}[.)、]\s*)', ''), '^\s*(?:规则|要求)\s*[0-9]*\s*[:：]\s*', ''), {SPACE}) AS rule
+  FROM (SELECT doc_id, text, unnest(range(1, len({LINES}) + 1)) AS n FROM documents)) WHERE rule <> '' GROUP BY doc_id, rule""")
 def src13_dialog(spark, sf):
-    return T.dialog_rules(load(spark, sf, "documents"), "doc_id", "text")
+    return T.dialog_rules(load(spark, sf, "documents"), "doc_id", "text").withColumn("rule", F.md5("rule"))

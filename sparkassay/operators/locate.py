@@ -82,22 +82,16 @@ def duplicate_locations(
 
 
 def type_locations(cells: Cells, metrics: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
-    """Cells whose type is not the dominant one recorded in the metric rows (a row per column)."""
-    numbered = with_record_number(cells.df) if numbered is None else numbered
-    kinds = F.array(*[
-        F.struct(F.lit(c).alias("field"), cells.kind(c).alias("kind")) for c in cells.columns])
-    cell_rows = cells.project(numbered).select(RN, F.explode(
-        F.filter(kinds, lambda k: k["kind"].isNotNull())).alias("cell"))
-    dominant = metrics.where(
-        (F.col("metric_id") == "field_type_consistency") & (F.col("status") == "evaluated")
-    ).select(F.col("field").alias("of_field"), "metric_key",
-             F.get_json_object("evidence", "$.dominant_type").alias("dominant"))
-    return (
-        cell_rows.join(F.broadcast(dominant), F.col("cell.field") == F.col("of_field"))
-        .where(F.col("cell.kind") != F.col("dominant"))
-        .select("metric_key", RN, F.array("of_field").alias("fields"),
-                F.lit("inconsistent_type").alias("issue_type"),
-                F.expr("cast(array() as array<bigint>)").alias("related_record_numbers")))
+    """Cells whose type is not the dominant one of their column.
+
+    The dominant types are read from the metric rows (one per column); the table is then passed
+    once, and only violating cells are emitted.
+    """
+    rows = metrics.where("metric_id = 'field_type_consistency' and status = 'evaluated'").select(
+        "field", "metric_key", F.get_json_object("evidence", "$.dominant_type").alias("dominant")).collect()
+    violations = [
+        Violation(r.metric_key, "inconsistent_type", [r.field], cells.kind(r.field) != r.dominant) for r in rows]
+    return locate(cells, violations, with_record_number(cells.df) if numbered is None else numbered)
 
 
 def first_n_locations(locations: DataFrame, n: int = 20) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from ..functions import fixed
 from ..functions import text as X
 from ..functions import values as V
+from ..session import scratch_path
 
 # One pass handles this many queries: their terms are what each task receives.
 QUERIES_PER_PASS = 200
@@ -139,17 +140,24 @@ def rank(prepared: DataFrame, candidates: DataFrame, limit: int = 5) -> DataFram
     if not 1 <= limit <= fixed.MAX_RESULTS:
         raise ValueError(f"limit must be 1 to {fixed.MAX_RESULTS}")
     folded = _folded(candidates)
-    block_rows = prepared.count()
-    blocks = max(1, -(-block_rows // QUERIES_PER_PASS))
-    hits = None
-    for b in range(blocks):  # each block holds a bounded number of bounded queries
-        block = prepared if blocks == 1 else prepared.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        local = block.select("query_id", "terms", "phrase").toPandas()
-        found = folded.mapInPandas(_score_batches(local, limit), _HIT)
-        hits = found if hits is None else hits.unionByName(found)
-    keyed = hits.join(candidates.select("chunk_id", "document_id", "ordinal"), "chunk_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
-    return keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    places = candidates.select("chunk_id", "document_id", "ordinal")
+    blocks = max(1, -(-prepared.count() // QUERIES_PER_PASS))
+
+    def best(block: DataFrame) -> DataFrame:
+        local = block.select("query_id", "terms", "phrase").toPandas()  # a bounded block of bounded queries
+        hits = folded.mapInPandas(_score_batches(local, limit), _HIT)
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
+        return hits.join(places, "chunk_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+    if blocks == 1:
+        return best(prepared)
+    # Each block is finished and written before the next, so plans stay small and a lost executor
+    # repeats one block at most.
+    spark = prepared.sparkSession
+    path = scratch_path(spark, "ranked")
+    for b in range(blocks):
+        best(prepared.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.parquet(f"{path}/block={b}")
+    return spark.read.parquet(path).drop("block")
 
 
 def text_budget(ranked: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..plans.cells import ref
 # --- fixed values: accepted column names --------------------------------------------------
 RULE_COLUMNS = ("规则描述", "规则", "评判规则", "评价规则", "要求", "description", "rule", "user_intent")
 METRIC_COLUMNS = ("指标id", "指标名称", "metric_id", "metric")
-MAX_RULES = 100
+MAX_REQUEST_CHARS = 4000
 
 
 def _column(df: DataFrame, names: tuple[str, ...]) -> str | None:
@@ -59,11 +59,19 @@ def dialog_rules(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chat_rules(conversations: DataFrame) -> DataFrame:
-    """All user turns of a conversation as one request: (conv_id, turns, request)."""
+    """All user turns of a conversation as one request: (conv_id, turns, request).
+
+    A request may have 4000 characters.  Lengths are summed first, so the text of a longer
+    conversation is never brought together; its request is null.
+    """
     said = conversations.where(F.col("role") == "user")
     if "kind" in conversations.columns:
         said = said.where(F.coalesce("kind", F.lit("")) != "attachment")
     said = said.select("conv_id", "turn", V.strip(F.col("text")).alias("text")).where("text <> ''")
-    return said.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"),
-    ).select("conv_id", "turns", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("request"))
+    sizes = said.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"), (F.sum(F.char_length("text") + 1) - 1).alias("chars"))
+    short = sizes.where(F.col("chars") <= MAX_REQUEST_CHARS).select("conv_id")
+    parts = said.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"))
+    return sizes.join(parts, "conv_id", "left").select(
+        "conv_id", "turns", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("request"))
