@@ -196,6 +196,16 @@ def agg14_text(spark, sf):
     return shown(M.metric_frame(dirty_orders(spark, sf), M.outlier_probes, ["total_amount"]))
 
 
+@check("agg15_file_parse_rate", """SELECT 'file_parse_rate' AS metric_id, '' AS field, 'evaluated' AS status,
+  round_even(CAST(count(*) FILTER (ok) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS value, CAST(-1 AS BIGINT) AS checked_count, CAST(-1 AS BIGINT) AS issue_count
+  FROM (SELECT user_id, bool_and(value <= 40) AS ok FROM events GROUP BY 1)""")
+def agg15(spark, sf):
+    from sparkassay.sources.files import parse_rate
+    lines = load(spark, sf, "events").select(F.col("user_id").alias("path"), F.when(
+        F.col("value") > 40, F.expr("left(props, 5)")).otherwise(F.col("props")).alias("value"))
+    return shown(parse_rate(lines))
+
+
 @check("agg17_calculate_all_metrics", D + BASE_SQL)
 def agg17(spark, sf):
     return shown(M.calculate_metrics(dirty_orders(spark, sf), REF))

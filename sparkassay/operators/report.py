@@ -123,6 +123,14 @@ def top_not_assessable(items: DataFrame, limit: int = 10) -> DataFrame:
     return items.orderBy("metric_key").limit(limit)
 
 
+def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The row of one metric (``metric_key``) or risk (``risk_id``); an error if there is none."""
+    found = table.where(F.col(key) == value)
+    if found.isEmpty():
+        raise KeyError(value)
+    return found
+
+
 def risk_metric_links(risks: DataFrame, metrics: DataFrame) -> DataFrame:
     """(risk_id, metric_key) for risks that name keys, else for all metrics with a named id.
 
