@@ -23,7 +23,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
-from sparkassay.llm import line_rules, quality  # noqa: E402
+from public_tokenizers import PATTERN  # noqa: E402
+from public_tokenizers import path as tokenizer_path  # noqa: E402
+
+from sparkassay.llm import bpe, line_rules, quality, token_files, url_cascade  # noqa: E402
+from sparkassay.llm.storage import new_path  # noqa: E402
 
 
 @_query("op1_quality_classifier")
@@ -34,3 +38,20 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op2_quality_rules", line_rules.SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.measure(_load(spark, sf, "documents"))
+
+
+@_query("op3_byte_bpe")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digest(_load(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+@_query("op4_token_files")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write(_load(spark, sf, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, path, "crc")
+
+
+@_query("op5_url_filters", url_cascade.SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return url_cascade.judge(_load(spark, sf, "pages"))
