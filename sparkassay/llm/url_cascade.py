@@ -50,7 +50,7 @@ def _positions(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("bigint")) for i in range(HASHES)]
 
 
-def _words(keys: DataFrame, level: int, bits: int) -> DataFrame:
+def bit_words(keys: DataFrame, level: int, bits: int) -> DataFrame:
     """One row: the level's bits as an array of 64-bit words. Bits of equal words meet map-side first."""
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("bit"))
     set_bits = at.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
@@ -61,7 +61,7 @@ def _words(keys: DataFrame, level: int, bits: int) -> DataFrame:
     return filled.agg(F.transform(in_order, lambda x: x["value"]).alias("words"))
 
 
-def _passes(key: Column, level: int, bits: int, words: Column) -> Column:
+def passes(key: Column, level: int, bits: int, words: Column) -> Column:
     hit = F.lit(True)
     for bit in _positions(key, level, bits):
         word = F.get(words, F.floor(bit / 64).cast("int"))
@@ -80,12 +80,12 @@ class Cascade:
             bits = max(64, -(-n * BITS // 64) * 64)
             if bits // 8 > MAX_BYTES:
                 raise OverflowError(f"level {len(self.levels) + 1} needs {bits // 8} bytes; use listed_by_join")
-            words = staged(_words(left[encoded], len(self.levels), bits), "bloom-level")
+            words = staged(bit_words(left[encoded], len(self.levels), bits), "bloom-level")
             self.levels.append((bits, words))
             # Of the other side, those that come through are the next level.
             other = left[not encoded]
             left[not encoded] = staged(
-                other.where(_passes(F.col("key"), len(self.levels) - 1, bits, words.scalar())), "bloom-through")
+                other.where(passes(F.col("key"), len(self.levels) - 1, bits, words.scalar())), "bloom-through")
             encoded = not encoded
 
     def contains(self, key: Column) -> Column:
@@ -94,7 +94,7 @@ class Cascade:
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             bits, words = self.levels[level]
-            answer = F.when(_passes(key, level, bits, words.scalar()), answer).otherwise(F.lit(level % 2 == 1))
+            answer = F.when(passes(key, level, bits, words.scalar()), answer).otherwise(F.lit(level % 2 == 1))
         return answer
 
 
