@@ -26,7 +26,7 @@ def _query(name: str, sql: str | None = None):
 from public_tokenizers import PATTERN  # noqa: E402
 from public_tokenizers import path as tokenizer_path  # noqa: E402
 
-from sparkassay.llm import bpe, line_rules, lsh_forest, quality, token_files, url_cascade  # noqa: E402
+from sparkassay.llm import bpe, decontaminate, line_rules, lsh_forest, quality, token_files, url_cascade  # noqa: E402
 from sparkassay.llm.storage import new_path  # noqa: E402
 
 
@@ -60,3 +60,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op6_jaccard_join")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return lsh_forest.join_classes(_load(spark, sf, "documents"))
+
+
+@_query("op7_decontamination")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(_load(spark, sf, "documents"), _load(spark, sf, "benchmark"))
