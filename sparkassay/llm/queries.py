@@ -26,7 +26,9 @@ def _query(name: str, sql: str | None = None):
 from public_tokenizers import PATTERN  # noqa: E402
 from public_tokenizers import path as tokenizer_path  # noqa: E402
 
-from sparkassay.llm import bpe, decontaminate, line_rules, lsh_forest, quality, token_files, url_cascade  # noqa: E402
+from sparkassay.llm import (  # noqa: E402
+    bpe, decontaminate, license_scan, line_rules, lsh_forest, page_template, quality, token_files, url_cascade,
+)
 from sparkassay.llm.storage import new_path  # noqa: E402
 
 
@@ -65,3 +67,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op7_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(_load(spark, sf, "documents"), _load(spark, sf, "benchmark"))
+
+
+@_query("op8_license_scan")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(_load(spark, sf, "documents"))
+
+
+@_query("op9_page_text")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return page_template.extract(_load(spark, sf, "pages"))
