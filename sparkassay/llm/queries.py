@@ -27,7 +27,7 @@ from public_tokenizers import PATTERN  # noqa: E402
 from public_tokenizers import path as tokenizer_path  # noqa: E402
 
 from sparkassay.llm import (  # noqa: E402
-    bpe, decontaminate, license_scan, line_rules, lsh_forest, page_template, quality, token_files, url_cascade,
+    bpe, decontaminate, license_scan, line_rules, lsh_forest, page_template, quality, token_files, toxicity, url_cascade,
 )
 from sparkassay.llm.storage import new_path  # noqa: E402
 
@@ -77,3 +77,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_page_text")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return page_template.extract(_load(spark, sf, "pages"))
+
+
+@_query("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(_load(spark, sf, "documents"), _load(spark, sf, "labels"))

@@ -75,7 +75,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def _runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of word bytes; a run ends where a text does."""
     before = np.empty_like(inside)
     before[0] = False
@@ -89,12 +89,16 @@ def _runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans of data, which has at most 2 * PIECE bytes."""
+def hasher(data: np.ndarray):
+    """A function of starts and ends of byte spans of data (2 * PIECE bytes at most) to their hashes."""
     up, down = _powers()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hasher(data)(starts, ends)
 
 
 def _long_run_hash(data: np.ndarray) -> np.uint64:
@@ -138,7 +142,7 @@ def hashed(texts: pa.Array, fold: np.ndarray, members: np.ndarray) -> Iterator[W
                     continue
                 part, inside = part[: stop - at], inside[: stop - at]
             cuts = offsets[first:last] - at
-            s, e = _runs(part, inside, cuts[(cuts >= 0) & (cuts < stop - at)])
+            s, e = runs(part, inside, cuts[(cuts >= 0) & (cuts < stop - at)])
             hashes.append(span_hashes(part, s, e))
             starts.append(s + at)
             ends.append(e + at)
