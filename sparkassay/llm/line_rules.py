@@ -110,20 +110,27 @@ def measure(docs: DataFrame) -> DataFrame:
     return judgement.select("doc_id", *(F.col("judgement")[c].alias(c) for c in columns))
 
 
+def _kept(docs: DataFrame) -> DataFrame:
+    """The kept rows with their judgement.
+
+    The verdict goes through a one-element array: a filter on a generated column stays where it is, while one on the
+    expression itself would be pushed below the steps and compute all of them again for each mention.
+    """
+    table = judged(docs).withColumn("__kept", F.explode(F.array(F.col("judgement")["kept"])))
+    return table.where("__kept").drop("__kept")
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept rows with their clean lines as text (joined by one line break); other columns as they were."""
-    columns = docs.columns
-    table = judged(docs.withColumnRenamed("judgement", "__judgement") if "judgement" in columns else docs)
-    table = table.where(F.col("judgement")["kept"]).withColumn("text", F.array_join(F.col("judgement")["clean"], "\n")).drop("judgement")
-    return table.withColumnRenamed("__judgement", "judgement").select(columns) if "judgement" in columns else table.select(columns)
+    table = _kept(docs.withColumnRenamed("judgement", "__judgement"))
+    table = table.withColumn("text", F.array_join(F.col("judgement")["clean"], "\n")).drop("judgement")
+    return table.withColumnRenamed("__judgement", "judgement").select(docs.columns)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows, all columns as they were."""
-    columns = docs.columns
-    plain = docs.withColumnRenamed("judgement", "__judgement")
-    out = judged(plain).where(F.col("judgement")["kept"]).drop("judgement")
-    return out.withColumnRenamed("__judgement", "judgement").select(columns)
+    table = _kept(docs.withColumnRenamed("judgement", "__judgement")).drop("judgement")
+    return table.withColumnRenamed("__judgement", "judgement").select(docs.columns)
 
 
 _MARKS = "length(regexp_replace(l, '[^#*$%&|<>!]', '', 'g'))"
