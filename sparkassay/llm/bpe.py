@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16  # characters that are split into matches at once
-MEMO = 250_000  # entries of each memo of a worker; a full one starts anew
+MEMO = 100_000  # entries of each memo of a worker; a full one starts anew
 LEAF = 5  # bytes that are merged directly
 SHORT = 12  # bytes whose encoding is remembered
 #: The characters that the pattern's white space class matches.

@@ -35,7 +35,7 @@ TREES = 40
 MAX_DEPTH = 12
 POOL = 128
 TARGET = 0.999
-BLOCK = 512
+BLOCK = 384
 FILTER_BITS = 1 << 24  # a fixed two MB, however many keys: it only spares shuffles, joins decide
 SEED = 7
 
@@ -101,7 +101,7 @@ def _verified(key: tuple, table: pa.Table) -> pa.Table:
     common = np.zeros((n, n), np.float32)
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
-    width = 4096
+    width = 2048
     for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
         a, b = np.searchsorted(ids, (at, at + width))
         part = np.zeros((n, width), np.float32)

@@ -35,7 +35,7 @@ DICTIONARY_BYTES = 65536
 LEVEL = 3
 BLOB = 4 << 20
 END = 2
-MEMO = 250_000
+MEMO = 150_000
 
 _BLOB_FIELDS = pa.schema([
     ("shard", pa.int32()), ("blob", pa.int32()), ("dictionary", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()),

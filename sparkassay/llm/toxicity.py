@@ -12,7 +12,7 @@ stand or as restored; isotonic regression on the training documents makes it the
 Labels: at most MAX_LABELLED labelled documents are learned from (chosen by a hash of doc_id beyond that); at most MAX_FEATURES features, those of
 the most toxic documents, are weighed. Scores, the language model and all counts cover whole texts. Null and empty texts score
 like any text without a listed feature; without labels of both kinds every score is BASE. Repeated rows score alike; of labels that repeat a
-doc_id the largest counts. A run of letters beyond a megabyte is no word.
+doc_id the largest counts. A run of letters longer than a piece (words.PIECE bytes) is no word.
 """
 
 from __future__ import annotations
