@@ -71,7 +71,9 @@ def sketch(text: Column) -> Column:
                 out.append(None)
                 continue
             low = (shingles >> np.uint64(32)).astype(np.uint32)
-            signature = np.array([((low ^ m) * f).min() for m, f in zip(masks, factors, strict=True)], np.uint64)
+            # All hash functions at once, some shingles at a time.
+            signature = np.min([((low[None, at : at + 4096] ^ masks[:, None]) * factors[:, None]).min(axis=1)
+                                for at in range(0, len(low), 4096)], axis=0).astype(np.uint64)
             labels = signature[picks]
             bucket = np.arange(TREES, dtype=np.uint64)
             for column in range(level):
