@@ -35,7 +35,9 @@ DICTIONARY_BYTES = 65536
 LEVEL = 3
 BLOB = 4 << 20
 END = 2
-MEMO = 150_000
+MEMO = 300_000  # chunks that a worker remembers; beyond, it starts anew
+TOGETHER = 500  # texts
+CLOSING = ".,;:!?"
 
 _BLOB_FIELDS = pa.schema([
     ("shard", pa.int32()), ("blob", pa.int32()), ("dictionary", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()),
@@ -46,7 +48,11 @@ _BLOB_TYPES = ("shard int, blob int, dictionary string, first_id bigint, last_id
 
 
 class _Tokenizer:
-    """The tokenizers library behind a memo of chunks; see bpe.chunks for why chunks may be encoded apart."""
+    """The tokenizers library behind a memo of chunks; see bpe.chunks for why chunks may be encoded apart.
+
+    Unknown chunks go to the library as one text, a blank in front of each. No chunk has a blank inside, so the tokens that begin
+    with one are the first of their chunks.
+    """
 
     def __init__(self, path: str):
         import os
@@ -57,29 +63,45 @@ class _Tokenizer:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self._library.get_vocab()
+        self._begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self._begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the file writes a blank
         self._memo: dict[str, bytes] = {}
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _library_ids(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a whole text, each of width bytes."""
-        if not text:
-            return b""
-        cut = chunks(text)
-        if cut is None:
-            return self._library_ids([text])[0]
+    def _learn(self, unknown: set[str]) -> None:
         memo = self._memo
-        if missing := [c for c in dict.fromkeys(cut[1:]) if c not in memo]:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(cut[1:]))
-            memo.update(zip(missing, self._library_ids([" " + c for c in missing]), strict=True))
-        first = self._library_ids([cut[0]])[0] if cut[0] else b""
-        return first + b"".join(map(memo.__getitem__, cut[1:]))
+        ended = [c for c in unknown if c[-1:] in CLOSING and c[:-1].isalpha()]  # a word, then a match of one sign
+        plain = (unknown.difference(ended) | {c[:-1] for c in ended} | {""}).difference(memo)
+        alone = [c for c in plain if not c or c[-1].isspace()]
+        joined = list(plain.difference(alone))
+        memo.update(zip(alone, (i.tobytes() for i in self._ids([" " + c for c in alone])), strict=True))
+        if joined:
+            ids = self._ids([" " + " ".join(joined)])[0]
+            data, at = ids.tobytes(), (np.flatnonzero(self._begins[ids]) * self.width).tolist()
+            memo.update(zip(joined, (data[x:y] for x, y in zip(at, [*at[1:], len(data)], strict=True)), strict=True))
+        if ended:
+            signs = dict(zip(CLOSING, (i.tobytes() for i in self._ids(list(CLOSING))), strict=True))
+            memo.update((c, memo[c[:-1]] + signs[c[-1]]) for c in ended)
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, each of width bytes."""
+        if len(self._memo) > MEMO:
+            self._memo.clear()
+        cuts = [chunks(t) for t in texts]
+        if unknown := set().union(*(c[1:] for c in cuts if c is not None)).difference(self._memo):
+            self._learn(unknown)
+        get = self._memo.__getitem__
+        # What stands before the first cut, or the whole text where there is none.
+        heads = self._ids([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)])
+        return [h.tobytes() + b"".join(map(get, c[1:])) if c else h.tobytes() for h, c in zip(heads, cuts, strict=True)]
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Some texts at a time."""
+        for at in range(0, len(texts), TOGETHER):
+            yield from self.packed([t or "" for t in texts.slice(at, TOGETHER).to_pylist()])
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +118,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> t
 
     def ids(batch: pa.Array) -> pa.Array:
         own = _tokenizer(tokenizer)
-        return pa.array([own.packed(t.as_py() or "")[:SAMPLE_BYTES] for t in batch], pa.binary())
+        return pa.array([ids[:SAMPLE_BYTES] for ids in own.each(batch)], pa.binary())
 
     samples = [bytes(r[0]) for r in chosen.select(F.arrow_udf(ids, "binary")("text")).collect()]
     try:
@@ -133,8 +155,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
 
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = own.packed(text.as_py() or "") + last
+            for doc, packed in zip(batch.column(0).to_pylist(), own.each(batch.column(1)), strict=True):
+                packed += last
                 ids.append(doc)
                 starts.append(before)
                 sizes.append(len(packed) // width)
