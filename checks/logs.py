@@ -16,9 +16,12 @@ from .rules import ROW_RULES
 # some documents and lacks others.
 GOLD = """SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'draft' ELSE 'refused' END AS expected_status, toxic FROM labels"""
 RUN = """SELECT doc_id AS case_id, lang AS label, doc_id % 5 <> 0 AS schema_valid, CASE WHEN doc_id % 3 = 0 THEN 'refused' ELSE 'draft' END AS status,
-  n_chars % 2 = 0 AS even, doc_id % 4 <> 0 AS replay FROM documents WHERE length(source) > 0"""
+  n_chars % 2 = 0 AS even, doc_id % 4 <> 0 AS replay FROM documents"""
 J = f"""SELECT g.*, r.label, coalesce(schema_valid, false) AS s, coalesce(status = expected_status, false) AS o, coalesce(even, false) AS f,
   coalesce(toxic = 0, false) AND r.case_id IS NOT NULL AS p, coalesce(replay, false) AS y FROM ({GOLD}) g LEFT JOIN ({RUN}) r USING (case_id)"""
+# Every label is judged on every golden case, whether it answered it or not.
+EACH = J.replace("g.*, r.label", "g.*, l.label").replace(f"({GOLD}) g", f"({GOLD}) g CROSS JOIN (SELECT DISTINCT label FROM ({RUN})) l").replace(
+    "USING (case_id)", "ON r.case_id = g.case_id AND r.label = l.label")
 CARD = """count(*) AS case_count, coalesce(avg(CAST(s AS INT)), 1.0) AS schema_valid_rate, coalesce(avg(CAST(o AS INT)), 1.0) AS outcome_accuracy,
   coalesce(avg(CAST(f AS INT)) FILTER (expected_status = 'draft'), 1.0) AS field_accuracy, coalesce(avg(CAST(p AS INT)) FILTER (expected_status = 'draft'), 1.0) AS parameter_accuracy,
   coalesce(avg(CAST(y AS INT)) FILTER (expected_status = 'draft'), 1.0) AS execution_consistency, coalesce(avg(CAST(y AS INT)), 1.0) AS replay_rate"""
@@ -31,7 +34,7 @@ def goldens(spark, sf):
 
 
 def run(spark, sf):
-    d = load(spark, sf, "documents").where("length(source) > 0")
+    d = load(spark, sf, "documents")
     return d.select(
         F.col("doc_id").alias("case_id"), F.col("lang").alias("label"), (F.col("doc_id") % 5 != 0).alias("schema_valid"),
         F.when(F.col("doc_id") % 3 == 0, "refused").otherwise("draft").alias("status"),
@@ -59,7 +62,7 @@ def evl3(spark, sf):
     return S.dry_run_matches(summary, final).agg(F.count(F.lit(1)).alias("metrics"), F.count_if("matches").alias("matching"))
 
 
-@check("evl4_compare_runs", f"SELECT label, {CARD} FROM ({J}) WHERE label IS NOT NULL GROUP BY label")
+@check("evl4_compare_runs", f"SELECT label, {CARD} FROM ({EACH}) GROUP BY label")
 def evl4(spark, sf):
     return S.compare_runs(run(spark, sf), goldens(spark, sf))
 
@@ -148,7 +151,7 @@ def log3(spark, sf):
         F.struct(F.when(k % 7 == 0, 4).otherwise(2).alias("seq"), F.when(k % 13 == 0, "odd").otherwise("draft").alias("from_state"), F.lit("done").alias("to_state")))
     base = load(spark, sf, "orders")
     log = base.select(k.alias("id"), "o_orderdate", F.explode(steps).alias("s")).select(
-        "id", "s.seq", "s.from_state", "s.to_state", (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.when(
+        "id", "s.seq", "s.from_state", "s.to_state", F.lit("step").alias("reason"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.when(
             (F.col("id") % 11 == 0), -F.col("s.seq")).otherwise(F.col("s.seq")))).alias("at"))
     allowed = spark.createDataFrame([("new", "draft"), ("draft", "done"), ("odd", "done")], "from_state string, to_state string")
     current = base.select(k.alias("id"), F.when(k % 17 == 0, "draft").otherwise("done").alias("state"), F.lit(0).alias("retries"))

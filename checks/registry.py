@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkassay.functions import fixed
-from sparkassay.session import spread, tune
+from sparkassay.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,11 +62,11 @@ REFERENCE_DATE = "2026-07-17"
 
 
 def dirty_orders(spark, sf):
-    return spark.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {orders}"), orders=spread(load(spark, sf, "orders")))
+    return spark.sql(DIRTY_ORDERS.replace("FROM orders", "FROM {orders}"), orders=load(spark, sf, "orders"))
 
 
 def dirty_parts(spark, sf):
-    return spark.sql(DIRTY_PARTS.replace("FROM part", "FROM {part}"), part=spread(load(spark, sf, "part")))
+    return spark.sql(DIRTY_PARTS.replace("FROM part", "FROM {part}"), part=load(spark, sf, "part"))
 
 
 # ------------------------------------------------------------------ DuckDB fragments

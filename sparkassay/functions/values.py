@@ -143,20 +143,34 @@ def is_finite_number(c: Column, dtype: T.DataType = TEXT) -> Column:
     return is_finite(to_double(c, dtype))
 
 
+def _lossless(text: Column) -> Column:
+    """Number text as decimal(38,18); null where that rounds.
+
+    Rounding shows in the significant digits: without exponent, sign, point and outer zeros they are
+    those of the text only if nothing was cut.
+    """
+    value = text.try_cast("decimal(38,18)")
+    plain = F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), "[^0-9]", "")
+    digits = lambda t: F.regexp_replace(F.regexp_replace(t, "^0+", ""), "0+$", "")
+    kept = F.regexp_replace(value.cast("string"), "[eE].*$", "")
+    return F.when(digits(plain) == digits(F.regexp_replace(kept, "[^0-9]", "")), value)
+
+
 def parse_decimal(c: Column, dtype: T.DataType = TEXT, s: Column | None = None) -> Column:
     """Exact number as ``struct(exact decimal(38,18), wide double)``; null if not a finite number.
 
-    ``wide`` is filled for every number, ``exact`` only where the decimal type can hold it.
+    ``wide`` is filled for every number, ``exact`` only where the decimal type holds it without
+    rounding: one more place would be zero, and the double is not lost beside it.
     """
     if isinstance(dtype, T.BooleanType) or is_temporal(dtype):
         exact, wide = F.lit(None).cast("decimal(38,18)"), F.lit(None).cast("double")
     elif is_number(dtype):
         text = c.cast("string")
-        exact, wide = text.try_cast("decimal(38,18)"), c.cast("double")
+        exact, wide = _lossless(text), c.cast("double")
     else:
         s = F.replace(stripped(c, dtype, s), F.lit("_"), F.lit(""))
         ok = _starts_like_number(s) & s.rlike(fixed.NUMBER_TEXT)
-        exact = F.when(ok, s.try_cast("decimal(38,18)"))
+        exact = F.when(ok, _lossless(s))
         wide = F.when(ok, s.try_cast("double"))
     return F.when(is_finite(wide), F.struct(exact.alias("exact"), wide.alias("wide")))
 
@@ -315,15 +329,26 @@ def normalized_key(
     return F.when(kind.isNotNull(), F.when((kind != "text") | looks_structured(s, s), exact).otherwise(natural))
 
 
+def _shortest(text: Column) -> Column:
+    """Decimal text without trailing zeros behind the point."""
+    return F.when(F.contains(text, F.lit(".")) & ~F.lower(text).contains("e"),
+                  F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")).otherwise(text)
+
+
+def _decimal_text(c: Column, dtype: T.DataType) -> Column:
+    """Exact text of a whole or decimal number, of its own scale: no narrowing cast."""
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(c.cast("string"), r"\.?0+$", "")
+    return c.cast("string")
+
+
 def comparison_key(c: Column, dtype: T.DataType = TEXT) -> Column:
     """Text key in which equal numbers agree, and cells of different classes never do."""
     if isinstance(dtype, T.BooleanType):
         return F.concat(F.lit("boolean:"), c.cast("string"))
     if is_number(dtype):
         return F.concat(F.lit("number:"), (c.cast("double") + F.lit(0.0)).cast("string")) if isinstance(
-            dtype, (T.FloatType, T.DoubleType)) else F.concat(
-            F.lit("number:"), F.regexp_replace(
-                F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ""))
+            dtype, (T.FloatType, T.DoubleType)) else F.concat(F.lit("number:"), _decimal_text(c, dtype))
     if is_temporal(dtype):
         return F.concat(F.lit("datetime:"), c.cast("timestamp_ntz").cast("string"))
     if is_variant(dtype):
@@ -331,8 +356,11 @@ def comparison_key(c: Column, dtype: T.DataType = TEXT) -> Column:
         return (
             F.when(tag == "BOOLEAN", F.concat(F.lit("boolean:"), F.try_variant_get(c, "$", "string")))
             .when(tag == "STRING", F.concat(F.lit("text:"), F.try_variant_get(c, "$", "string")))
-            .when(tag != "VOID", F.concat(F.lit("number:"), (
-                F.try_variant_get(c, "$", "double") + F.lit(0.0)).cast("string")))
+            # Whole numbers keep all digits: as doubles those above 2^53 would meet.
+            .when(F.startswith(tag, F.lit("BIGINT")) | F.startswith(tag, F.lit("DECIMAL")),
+                  F.concat(F.lit("number:"), _shortest(F.try_variant_get(c, "$", "string"))))
+            .when(tag != "VOID", F.concat(F.lit("number:"), _shortest((
+                F.try_variant_get(c, "$", "double") + F.lit(0.0)).cast("string"))))
         )
     return F.concat(F.lit("text:"), c)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,23 +17,29 @@ LOCATION_COLUMNS = ("metric_key", RN, "fields", "issue_type", "related_record_nu
 
 
 def with_record_number(df: DataFrame, name: str = RN) -> DataFrame:
-    """1-based position of every record of a scan.
-
-    The row id of Spark already counts inside each input partition; adding the number of rows
-    in the partitions before it needs one narrow count and a list of one entry per partition
-    (metadata size), and no shuffle of the data.  Use it directly on a scan, before any shuffle
-    or filter, because only then are both reads split alike.
+    """1-based position of every record of a scan: files in the order of their paths, records as they stand.
+
+    Spark's row id counts inside each input split.  A split holds blocks of files, each in one
+    piece, so a record's place in its block is its row id less the block's smallest.  Adding the
+    rows of earlier blocks (by path and block start) needs one narrow count and a list of one entry
+    per block, and no shuffle of the data; the numbers do not depend on how files were dealt into
+    splits.  Use it directly on a scan, before any shuffle or filter.  Frames that are no file scan
+    are numbered split by split.
     """
     row_id = F.monotonically_increasing_id()
-    sizes = df.groupBy(F.spark_partition_id().alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__offset"))
-    numbered = df.withColumn("__row_id", row_id).withColumn(
-        "__scan_part", F.shiftright("__row_id", 33).cast("int"))
-    low = F.col("__row_id").bitwiseAND(F.lit((1 << 33) - 1))
+    try:
+        df.select("_metadata.file_path").schema  # noqa: B018
+        block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                         F.spark_partition_id().alias("part"))  # a path may be given twice
+    except AnalysisException:
+        block = F.struct(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("start"), F.spark_partition_id().alias("part"))
+    marked = df.withColumn("__block", block).withColumn("__row_id", row_id)
+    sizes = marked.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__row_id").alias("__first"))
+    before = F.sum("__n").over(W.orderBy("__at").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.withColumnRenamed("__block", "__at").select("__at", "__first", F.coalesce(before, F.lit(0)).alias("__offset"))
     return (
-        numbered.join(F.broadcast(offsets), F.col("__scan_part") == F.col("__part"))
-        .select(*[F.col(ref(c)) for c in df.columns], (F.col("__offset") + low + 1).alias(name))
+        marked.join(F.broadcast(offsets), F.col("__block") == F.col("__at"))
+        .select(*[F.col(ref(c)) for c in df.columns], (F.col("__offset") + F.col("__row_id") - F.col("__first") + 1).alias(name))
     )
 
 

@@ -15,6 +15,7 @@ RATE_WINDOW_SECONDS = 60
 MAX_TURNS = 20
 MAX_TURN_CHARS = 4000
 MAX_USER_CHARS = 4000
+RETRY_REASON = "retry_same_request"
 
 
 def usage_measures() -> list:
@@ -38,7 +39,7 @@ def trailing_rate(
     calls: DataFrame, key: str, ts: str, limit: int = RATE_LIMIT, seconds: int = RATE_WINDOW_SECONDS,
 ) -> DataFrame:
     """Calls with the number of calls of their key in the last ``seconds``, and whether that
-    exceeds the limit.
+    exceeds the limit.  Calls without a time are in no window: both answers are null.
 
     A window over a whole key would gather a hot key's history in one task.  Each call is dealt
     to its own time slot and, as history, to the next one, so a window spans two slots of a key.
@@ -47,28 +48,37 @@ def trailing_rate(
     micros = F.unix_micros(F.to_timestamp(stamp))
     width = seconds * 1_000_000
     slotted = calls.withColumn("__micros", micros).withColumn("__slot", F.floor(F.col("__micros") / width))
-    dealt = slotted.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+    copies = F.when(F.col("__micros").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    dealt = slotted.withColumn("__own", F.explode(copies)).withColumn(
         "__slot", F.when(F.col("__own"), F.col("__slot")).otherwise(F.col("__slot") + 1))
     recent = W.partitionBy(key, "__slot").orderBy("__micros").rangeBetween(-(width - 1), 0)
-    counted = dealt.withColumn("calls_in_window", F.count(F.lit(1)).over(recent)).where("__own")
+    in_window = F.when(F.col("__micros").isNotNull(), F.count(F.lit(1)).over(recent))
+    counted = dealt.withColumn("calls_in_window", in_window).where("__own")
     return counted.withColumn("over_limit", F.col("calls_in_window") > limit).drop("__micros", "__slot", "__own")
 
 
 def transition_audit(log: DataFrame, allowed: DataFrame, start: str, current: DataFrame) -> DataFrame:
     """(id, problem) for every break in a state log.
 
-    ``log``: id, seq, from_state, to_state, at; ``allowed``: from_state, to_state;
+    ``log``: id, seq, from_state, to_state, at, reason; ``allowed``: from_state, to_state;
     ``current``: id, state, retries.  Each entry is joined with its predecessor by (id, seq), so a
-    log of any length is spread over all tasks.
+    log of any length is spread over all tasks.  A retry is an entry whose reason says so.  A state
+    other than ``start`` needs a log, and a log needs a state.  Of entries with one number the
+    smallest counts; the repeat itself is a problem.
     """
-    before = log.select(
+    entry = F.struct("from_state", "to_state", "at")
+    numbered = log.groupBy("id", "seq").agg(
+        F.min(entry).alias("e"), F.count(F.lit(1)).alias("copies"),
+        F.count_if(F.col("reason") == RETRY_REASON).alias("retries_here")).select("id", "seq", "copies", "retries_here", "e.*")
+    before = numbered.select(
         "id", (F.col("seq") + 1).alias("seq"), F.col("to_state").alias("prev_state"), F.col("at").alias("prev_at"),
         F.lit(True).alias("has_prev"))
     pairs = allowed.select("from_state", "to_state", F.lit(True).alias("is_allowed")).distinct()
-    entries = log.join(before, ["id", "seq"], "left").join(F.broadcast(pairs), ["from_state", "to_state"], "left")
+    entries = numbered.join(before, ["id", "seq"], "left").join(F.broadcast(pairs), ["from_state", "to_state"], "left")
     first = F.col("seq") == 1
     checks = {
         "gap in sequence": ~first & F.col("has_prev").isNull(),
+        "repeated sequence number": F.col("copies") > 1,
         "wrong first state": first & (F.col("from_state") != start),
         "broken chain": ~first & F.col("has_prev").isNotNull() & (F.col("from_state") != F.col("prev_state")),
         "transition not allowed": F.col("is_allowed").isNull(),
@@ -76,14 +86,16 @@ def transition_audit(log: DataFrame, allowed: DataFrame, start: str, current: Da
     }
     found = entries.select("id", F.explode(F.array_compact(F.array(*[
         F.when(F.coalesce(c, F.lit(False)), F.lit(p)) for p, c in checks.items()]))).alias("problem"))
-    ends = log.groupBy("id").agg(
-        F.max_by("to_state", "seq").alias("last_state"), F.min("seq").alias("first_seq"),
-        F.count_if(F.col("from_state") == "failed").alias("retried"))
-    ended = ends.join(current, "id", "left")
+    ends = numbered.groupBy("id").agg(
+        F.max_by("to_state", "seq").alias("last_state"), F.sum("retries_here").alias("retried"), F.lit(True).alias("logged"))
+    known = current.select("id", "state", "retries", F.lit(True).alias("known"))
+    ended = ends.join(known, "id", "full")
+    logged, known_state = F.col("logged").isNotNull(), F.col("known").isNotNull()
     end_checks = {
-        "gap in sequence": F.col("first_seq") != 1,
-        "last state differs": ~F.col("last_state").eqNullSafe(F.col("state")),
-        "retry count differs": ~F.col("retried").eqNullSafe(F.col("retries").cast("bigint")),
+        "no log": ~logged & ~F.col("state").eqNullSafe(F.lit(start)),
+        "no current state": ~known_state,
+        "last state differs": logged & known_state & ~F.col("last_state").eqNullSafe(F.col("state")),
+        "retry count differs": known_state & ~F.coalesce("retried", F.lit(0)).eqNullSafe(F.col("retries").cast("bigint")),
     }
     late = ended.select("id", F.explode(F.array_compact(F.array(*[
         F.when(c, F.lit(p)) for p, c in end_checks.items()]))).alias("problem"))
@@ -93,6 +105,7 @@ def transition_audit(log: DataFrame, allowed: DataFrame, start: str, current: Da
 def bounded_turns(conversations: DataFrame) -> DataFrame:
     """Recent valid turns of each conversation within the character budget.
 
+    Turns whose optional ``kind`` is ``attachment`` are kept without being charged to the budget.
     Only the newest twenty valid turns of a conversation reach its group; going back in time, a
     user turn that does not fit is skipped while older, shorter ones may still fit.
     """
@@ -100,12 +113,15 @@ def bounded_turns(conversations: DataFrame) -> DataFrame:
     valid = (
         F.col("role").isin("user", "assistant") & (F.char_length(body) > 0)
         & (F.char_length(body) <= MAX_TURN_CHARS) & ~X.has_unsafe(body))
+    charged = F.col("role") == "user"
+    if "kind" in conversations.columns:
+        charged = charged & ~F.col("kind").eqNullSafe(F.lit("attachment"))
     newest = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     recent = (
-        conversations.where(valid).select("conv_id", "turn", "role", body.alias("text"))
+        conversations.where(valid).select("conv_id", "turn", "role", body.alias("text"), charged.alias("charged"))
         .withColumn("age", F.row_number().over(newest)).where(F.col("age") <= MAX_TURNS))
     grouped = recent.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "age", "turn", (F.col("role") == "user").alias("user"), F.char_length("text").alias("n")))).alias("turns"))
+        "age", "turn", F.col("charged").alias("user"), F.char_length("text").alias("n")))).alias("turns"))
 
     def step(state, t):
         cost = t["n"] + F.when(state["used"] > 0, 1).otherwise(0)
@@ -116,4 +132,4 @@ def bounded_turns(conversations: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<bigint>)").alias("kept"))
     kept = grouped.select("conv_id", F.explode(F.aggregate("turns", start, step, lambda s: s["kept"])).alias("turn"))
-    return recent.drop("age").join(kept, ["conv_id", "turn"], "left_semi")
+    return recent.drop("age", "charged").join(kept, ["conv_id", "turn"], "left_semi")

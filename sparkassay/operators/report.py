@@ -204,3 +204,21 @@ def report_fingerprint(metrics: DataFrame) -> DataFrame:
         F.to_json(F.struct(*[c for c in _METRIC_COLUMNS]), {"ignoreNullFields": "false"}).alias("row")).alias("r"))
     return rows.agg(F.sha2(F.array_join(F.transform(
         F.array_sort(F.collect_list("r")), lambda r: r["row"]), "\n"), 256).alias("report_sha256"))
+
+
+def rows_fingerprint(df: DataFrame) -> DataFrame:
+    """One row: a hash of the multiset of rows, in any order, summed map-side."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(ref(c)) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("string")
+    return df.select(part(1).alias("h"), part(16).alias("l")).agg(
+        F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total("h"), total("l")), 256).alias("sha256"))
+
+
+def whole_report_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
+    """SHA-256 that changes with any row of any table of the report, risks and open items included."""
+    parts = report_fingerprint(tables["metrics"]).select(F.lit("metrics").alias("name"), F.col("report_sha256").alias("sha256"))
+    for name in sorted(set(tables) - {"metrics"}):
+        parts = parts.unionByName(rows_fingerprint(tables[name]).select(F.lit(name).alias("name"), "sha256"))
+    lines = F.array_sort(F.collect_list(F.concat_ws("=", "name", "sha256")))
+    return parts.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("report_sha256"))

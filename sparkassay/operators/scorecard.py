@@ -47,12 +47,26 @@ def scorecard(results: DataFrame, goldens: DataFrame) -> DataFrame:
 
 
 def compare_runs(results: DataFrame, goldens: DataFrame) -> DataFrame:
-    """One scorecard per ``label`` of the results."""
-    labels = results.select("label").distinct()
-    # Every label is judged on every golden case; the flags are aggregated map-side per label.
-    flags = judged(results, goldens)
-    seen = flags.where(F.col("label").isNotNull()).groupBy("label").agg(*_card())
-    return labels.join(seen, "label")
+    """One scorecard per ``label`` of the results, over all golden cases.
+
+    A case that a label did not answer fails every check.  So the rates are the label's passed
+    checks over the number of golden cases (or of drafts among them): no case is paired with
+    each label.
+    """
+    of = {"schema_valid_rate": ("schema_valid", False), "outcome_accuracy": ("outcome_ok", False), "field_accuracy": ("fields_ok", True),
+          "parameter_accuracy": ("parameters_ok", True), "execution_consistency": ("execution_ok", True), "replay_rate": ("replay_ok", False)}
+    answered = judged(results.where(F.col("label").isNotNull()), goldens).where(F.col("label").isNotNull())
+    passed = answered.groupBy("label").agg(*[
+        F.count_if(F.col(flag) & F.col("is_draft") if drafts else F.col(flag)).alias(name) for name, (flag, drafts) in of.items()])
+    totals = goldens.agg(F.count(F.lit(1)).alias("case_count"), F.count_if(F.col("expected_status") == "draft").alias("__drafts"))
+    per_label = results.where(F.col("label").isNotNull()).select("label").distinct().join(passed, "label", "left")
+    both = per_label.crossJoin(F.broadcast(totals))  # one row
+
+    def rate(name: str, drafts: bool) -> Column:
+        total = F.col("__drafts" if drafts else "case_count")
+        return F.when(total == 0, 1.0).otherwise(F.coalesce(name, F.lit(0)) / total).alias(name)
+
+    return both.select("label", "case_count", *[rate(name, drafts) for name, (_, drafts) in of.items()])
 
 
 def replay_consistency(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:

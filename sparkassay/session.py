@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -18,6 +17,7 @@ def local_session(cpus: int | str = 8, app: str = "sparkassay", memory: str = "1
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.minPartitionNum", str(cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Plans here hold thousands of expressions; recording a call site for each costs more
         # than running them on small data.
@@ -40,13 +40,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df):
-    """Deal a scan with fewer input splits than cores (one small file) over all cores.
-
-    Large inputs already have more splits than cores and are left alone: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Folders of local sessions that name none, by application.
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,11 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.environ.get("SPARKASSAY_LOCAL_SCRATCH")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        os.environ["SPARKASSAY_LOCAL_SCRATCH"] = folder
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="sparkassay-")
+    return _local_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.report import metric_rows, report_fingerprint, risk_level_counts, rule_diff
+from ..operators.report import metric_rows, risk_level_counts, rule_diff, whole_report_fingerprint
 
 # --- fixed values: display names of issue types --------------------------------------------
 ISSUE_LABELS = {
@@ -74,7 +74,7 @@ def write_rule_issue_locations(locations, base_metrics, enhanced, path: str) ->
 
 
 def write_report(tables: dict[str, DataFrame], path: str, file_format: str = "json") -> None:
-    """One folder per result table plus the report's hash.
+    """One folder per result table plus a hash over all of them.
 
     Numbers that JSON cannot hold never reach the files: metric values are finite or null.
     """
@@ -82,7 +82,7 @@ def write_report(tables: dict[str, DataFrame], path: str, file_format: str = "js
         raise ValueError("a report needs its metrics table")
     for name, df in tables.items():
         df.write.mode("errorifexists").format(file_format).save(f"{path}/{name}")
-    report_fingerprint(tables["metrics"]).write.mode("errorifexists").json(f"{path}/fingerprint")
+    whole_report_fingerprint(tables).write.mode("errorifexists").json(f"{path}/fingerprint")
 
 
 def summary_tables(metrics: DataFrame, profile: DataFrame, risks: DataFrame) -> dict[str, DataFrame]:

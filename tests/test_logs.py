@@ -50,16 +50,27 @@ def test_bounded_turns(spark):
 def test_transition_audit(spark):
     t = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
     log = spark.createDataFrame([
-        ("ok", 1, "new", "draft", t(1)), ("ok", 2, "draft", "done", t(2)),
-        ("gap", 1, "new", "draft", t(1)), ("gap", 3, "draft", "done", t(2)),
-        ("chain", 1, "draft", "done", t(5)), ("chain", 2, "draft", "nowhere", t(4)),
-    ], "id string, seq int, from_state string, to_state string, at timestamp")
+        ("ok", 1, "new", "draft", t(1), None), ("ok", 2, "draft", "done", t(2), "retry_same_request"),
+        ("gap", 1, "new", "draft", t(1), "x"), ("gap", 3, "draft", "done", t(2), "x"),
+        ("chain", 1, "draft", "done", t(5), "x"), ("chain", 2, "draft", "nowhere", t(4), "x"),
+        ("twice", 1, "new", "draft", t(1), "x"), ("twice", 1, "new", "draft", t(1), "x"), ("twice", 2, "draft", "done", t(2), "x"),
+        ("lost", 1, "new", "draft", t(1), "x"),
+    ], "id string, seq int, from_state string, to_state string, at timestamp, reason string")
     allowed = spark.createDataFrame([("new", "draft"), ("draft", "done")], "from_state string, to_state string")
-    current = spark.createDataFrame([("ok", "done", 0), ("gap", "done", 1), ("chain", "x", 0)], "id string, state string, retries int")
+    current = spark.createDataFrame([("ok", "done", 1), ("gap", "done", 1), ("chain", "x", 0), ("twice", "done", 0), ("fresh", "new", 0), ("bare", "done", 0)], "id string, state string, retries int")
     got = sorted(tuple(r) for r in L.transition_audit(log, allowed, "new", current).collect())
-    assert got == [("chain", "broken chain"), ("chain", "last state differs"), ("chain", "time goes back"),
+    assert got == [("bare", "no log"), ("chain", "broken chain"), ("chain", "last state differs"), ("chain", "time goes back"),
                    ("chain", "transition not allowed"), ("chain", "wrong first state"),
-                   ("gap", "gap in sequence"), ("gap", "retry count differs")]
+                   ("gap", "gap in sequence"), ("gap", "retry count differs"), ("lost", "no current state"), ("twice", "repeated sequence number")]
+
+
+def test_calls_without_time_and_attachments(spark):
+    calls = spark.createDataFrame([(1, "k", None), (2, "k", None), (3, "k", dt.datetime(2026, 1, 1))], "id int, k string, ts timestamp")
+    assert {r.id: (r.calls_in_window, r.over_limit) for r in L.trailing_rate(calls, "k", "ts", 0).collect()} == {1: (None, None), 2: (None, None), 3: (1, True)}
+    turns = spark.createDataFrame([(1, 1, "user", "x" * 3000, None), (1, 2, "user", "y" * 3500, "attachment"), (1, 3, "user", "z" * 900, None)],
+                                  "conv_id int, turn bigint, role string, text string, kind string")
+    assert sorted(r.turn for r in L.bounded_turns(turns).collect()) == [1, 2, 3]
+    assert sorted(r.turn for r in L.bounded_turns(turns.drop("kind")).collect()) == [1, 3]
 
 
 def test_scorecard(spark):
@@ -72,7 +83,8 @@ def test_scorecard(spark):
     assert (row.outcome_accuracy, row.field_accuracy, row.replay_rate) == (2 / 3, 0.5, 1 / 3)
     empty = S.scorecard(results, goldens.limit(0)).first()
     assert empty.outcome_accuracy == empty.field_accuracy == 1.0
-    assert S.compare_runs(results, goldens).first().case_count == 2
+    compared = S.compare_runs(results, goldens).first()
+    assert (compared.case_count, compared.outcome_accuracy, compared.field_accuracy) == (3, 2 / 3, 0.5)
     assert {r.case_id: r.consistent for r in S.replay_consistency(results, results.limit(1), ["status"]).collect()} == {1: True, 2: False}
 
 

@@ -129,3 +129,25 @@ def test_parse_rate(spark, tmp_path):
     put(tmp_path, "bad.jsonl", '{"a":1}\n{"a"\n')
     row = S.file_parse_rate(spark, str(tmp_path)).first()
     assert row.value == 0.5 and '"failed_file_count":1' in row.evidence
+
+
+def test_record_numbers_follow_path_order(spark, tmp_path):
+    from sparkassay.operators.locate import with_record_number
+
+    sizes = {"a": 2, "b": 5000, "c": 1, "d": 700}
+    start = 0
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.csv").write_text("id\n" + "".join(f"{start + i}\n" for i in range(n)))
+        start += n
+    numbered = with_record_number(spark.read.csv(str(tmp_path), header=True, schema="id long"))
+    assert numbered.where("record_number <> id + 1").count() == 0 and numbered.count() == start
+    assert sorted(r.record_number for r in with_record_number(spark.range(20).repartition(3)).collect()) == list(range(1, 21))
+
+
+def test_report_hash_covers_all_tables(spark):
+    from sparkassay.operators.report import rows_fingerprint
+
+    df = spark.createDataFrame([(1, ["a"], None), (2, [], 1.5)], "i int, a array<string>, d double")
+    base = rows_fingerprint(df).first()
+    assert base == rows_fingerprint(df.repartition(2)).first() != rows_fingerprint(df.where("i = 1")).first()
+    assert base != rows_fingerprint(df.union(df.limit(1))).first()

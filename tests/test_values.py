@@ -102,3 +102,15 @@ def test_allowed_values_keep_classes_apart(spark):
 def test_fullmatch(spark):
     got = evaluate(spark, ["12", "12\n", "a12", "x" * 10_001, None], lambda c: V.regex_fullmatch(c, r"\d+|x+"))
     assert got == [True, False, False, False, None]
+
+
+def test_numbers_that_decimals_cannot_hold(spark):
+    from pyspark.sql import types as T
+
+    row = spark.createDataFrame([("1e-20", "2e-20")], "a string, b string").select(
+        V.parse_decimal(F.col("a")).alias("a"), V.parse_decimal(F.col("b")).alias("b")).first()
+    assert row.a.exact is None and row.b.exact is None and row.a.wide != row.b.wide
+    big = spark.sql("SELECT parse_json(x) AS v FROM VALUES ('9007199254740993'), ('9007199254740992'), ('1.50'), ('1.5') AS t(x)")
+    assert big.select(V.comparison_key(F.col("v"), T.VariantType()).alias("k")).distinct().count() == 3
+    wide = spark.sql("SELECT CAST('99999999999999999999999999999999999999' AS decimal(38,0)) AS w, CAST(1.5 AS decimal(20,14)) AS s")
+    assert tuple(wide.select(*[V.comparison_key(F.col(c), wide.schema[c].dataType) for c in "ws"]).first()) == ("number:" + "9" * 38, "number:1.5")
