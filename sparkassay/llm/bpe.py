@@ -168,7 +168,7 @@ class Encoder:
         else:
             found = self._matches(" " + chunk)
         if len(chunk) <= 64:
-            if len(self._packed) >= MEMO:
+            if len(self._packed) >= 2 * MEMO:
                 self._packed.clear()
             self._packed[chunk] = found
         return found
@@ -220,6 +220,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of the decoded bytes, for every row of docs."""
     def both(texts: pa.Array) -> pa.Array:
         own = encoder(path, pattern)
+        pa.default_memory_pool().release_unused()  # what earlier batches left in the worker
         counts, ids, back = [], [], []
         for text in texts:
             packed = own.packed(text.as_py() or "")

@@ -51,6 +51,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the texts (null: empty) and each text's first byte, with the end at last."""
+    pa.default_memory_pool().release_unused()  # what earlier batches left in the worker
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
