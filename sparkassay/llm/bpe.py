@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16  # characters that are split into matches at once
-MEMO = 100_000  # entries of each memo of a worker; a full one starts anew
+MEMO = 150_000  # entries of each memo of a worker (twice as many chunks); a full one starts anew
 LEAF = 5  # bytes that are merged directly
-SHORT = 12  # bytes whose encoding is remembered
+SHORT = 6  # bytes whose encoding is remembered; whole words are remembered as chunks
 #: The characters that the pattern's white space class matches.
 _SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
