@@ -35,7 +35,7 @@ DICTIONARY_BYTES = 65536
 LEVEL = 3
 BLOB = 4 << 20
 END = 2
-MEMO = 300_000  # chunks that a worker remembers; beyond, it starts anew
+MEMO = 600_000  # chunks that a worker remembers; beyond, it starts anew
 TOGETHER = 500  # texts
 CLOSING = ".,;:!?"
 
