@@ -180,6 +180,7 @@ def test_rule_validation():
     assert pack_problems([good[0], good[0]], types, []) and pack_problems([Rule("required", ("b",), target="db31_010103")],
                                                                          types, ["db31_010103"])
     assert regex_problems(r"\d{6}") == [] and regex_problems(r"(?=a)") and regex_problems(r"(a)\1")
+    assert regex_problems(r"[(?]+(ab)+\\1") == [] and regex_problems(r"(a+)*") and regex_problems(r"((a*)b)+") and regex_problems(r"(a")
     assert Rule("required", ("a",)).rule_id == Rule("required", ("a",)).rule_id != Rule("required", ("b",)).rule_id
     assert len(combine_rules([good, good])) == 3
     with pytest.raises(ValueError):
