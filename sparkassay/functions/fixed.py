@@ -122,3 +122,10 @@ SAFE_REASONS = (
     "没有足够",
     "当前无法计算",
 )
+
+# --- fixed values: patterns of secrets and of rule-line prefixes, as they must match ---
+SECRET_ASSIGNMENT = r"(?i)\b(api[_ -]?key|token|secret|password)\b\s*[:=]\s*[^\s,;]+"
+BEARER_TOKEN = r"(?i)\bbearer\s+\S+"
+SECRET_KEY = r"\bsk-[A-Za-z0-9_-]{8,}\b"
+LIST_MARK = r"^\s*(?:[-*+]\s+|\d{1,3}[.)、]\s*)"
+RULE_LABEL = r"^\s*(?:规则|要求)\s*\d*\s*[:：]\s*"
