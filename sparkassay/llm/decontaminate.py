@@ -7,9 +7,10 @@ Windows: any such stretch shares at least n - 2 - 3 k three-word runs with the i
 within k of each other. So only windows on diagonals with two shared runs nearby need be looked at (one, if n is too
 small to promise two); this loses nothing. A window has as many words as the item, with k more on both sides for the verification.
 LSH: the CGK walk copies a window to 3n places, moving on by a random bit that depends on place and word; k edits become
-few Hamming differences. Each repetition samples SAMPLES places as a key, and windows meet the items of equal key in a Spark join. Their number
-is doubled until items with k random edits meet their originals with probability TARGET (measured on the items).
-Every pair that meets is verified exactly.
+few Hamming differences. Each repetition samples SAMPLES places as a key, and windows meet the items of equal key in a Spark join. Each item
+length has its own number of repetitions: it is doubled until the windows of all TRIALS texts that hold an item of that length with k random edits
+meet it (by chance in less than 5 % of cases, were the probability below TARGET). Where MOST_REPETITIONS miss one, and beyond
+LONGEST_TRIED words, all windows of the length meet all items of it. Every pair that meets is verified exactly.
 
 Items are dealt in blocks of BLOCK_WORDS, each one pass over the documents, so what is sent to tasks is bounded
 and any number of items is covered. Items and documents without words (null, empty) never match. Items shorter than three words
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkassay.llm.storage import staged
@@ -33,6 +34,9 @@ GRAM = 3
 EDITS = 10  # per cent of an item's words
 SAMPLES = 4
 TARGET = 0.99
+TRIALS = 300  # TARGET ** TRIALS < 0.05
+LONGEST_TRIED = 1000
+LEAST_REPETITIONS = 8
 MOST_REPETITIONS = 256
 BLOCK_WORDS = 500_000
 FILTER_BITS = 1 << 24
@@ -64,19 +68,19 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def keys(windows: np.ndarray, repetitions: int) -> np.ndarray:
-    """The sampled keys of windows of equal length: one row each, one column per repetition."""
+def keys(windows: np.ndarray, repetitions: int, first: int = 0) -> np.ndarray:
+    """The sampled keys of windows of equal length: one row each, one column per repetition from the first on."""
     count, n = windows.shape
     rng = np.random.default_rng([SEED, n])
     steps = 3 * n
-    seeds = rng.integers(0, 1 << 63, (steps, MOST_REPETITIONS)).astype(np.uint64)[:, :repetitions]
+    seeds = rng.integers(0, 1 << 63, (steps, MOST_REPETITIONS)).astype(np.uint64)[:, first:repetitions]
     sampled = np.zeros((steps, MOST_REPETITIONS), bool)
     for r in range(MOST_REPETITIONS):
         sampled[rng.choice(steps, min(SAMPLES, steps), replace=False), r] = True
-    sampled = sampled[:, :repetitions]
+    sampled = sampled[:, first:repetitions]
     padded = np.hstack([windows, np.full((count, 1), _PAD)])
-    at = np.zeros((count, repetitions), np.int64)
-    out = np.tile(np.arange(repetitions, dtype=np.uint64) * np.uint64(1000003) + np.uint64(n), (count, 1))
+    at = np.zeros((count, repetitions - first), np.int64)
+    out = np.tile(np.arange(first, repetitions, dtype=np.uint64) * np.uint64(1000003) + np.uint64(n), (count, 1))
     line = np.arange(count)[:, None]
     for j in range(int(np.flatnonzero(sampled.any(axis=1))[-1]) + 1):
         word = padded[line, np.minimum(at, n)]
@@ -100,19 +104,58 @@ def _edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repetitions(block: list[tuple[int, np.ndarray]]) -> int:
-    """As many as the items themselves need to be found again after the most edits allowed."""
-    rng = np.random.default_rng(SEED)
-    trials = [(w, _edited(w, max_edits(len(w)), rng)) for _, w in block[:: max(1, len(block) // 50)] for _ in range(4)]
-    pairs = []
-    for original, changed in trials:
-        n = len(original)
-        fitted = np.concatenate([changed, rng.integers(1 << 62, size=n).astype(np.uint64)])[:n]
-        pairs.append(keys(np.stack([original, fitted]), MOST_REPETITIONS))
-    r = 8
-    while r < MOST_REPETITIONS and np.mean([(p[0, :r] == p[1, :r]).any() for p in pairs]) < TARGET:
-        r *= 2
-    return r
+def _trial(item: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The windows that windows_of makes, for this item, of a text that holds it with the most edits allowed."""
+    n = len(item)
+    around = rng.integers(1 << 62, size=2 * n).astype(np.uint64)
+    text = np.concatenate([around[:n], _edited(item, max_edits(n), rng), around[n:]])
+    size = min(GRAM, n)
+    at, offset = np.nonzero(grams(text, size)[:, None] == grams(item, size)[None, :])
+    starts, times = np.unique(at - offset, return_counts=True)
+    starts = starts[_seeded(np.stack([np.zeros_like(starts), np.full_like(starts, n), starts], 1), times)]
+    padded = np.concatenate([np.zeros(n, np.uint64), text, np.zeros(n, np.uint64)])
+    return np.stack([padded[n + s : 2 * n + s] for s in starts])
+
+
+def needed(items: list[np.ndarray]) -> int:
+    """Repetitions that find all trials with these items of equal length; 0 if MOST_REPETITIONS do not."""
+    n = len(items[0])
+    if not max_edits(n):
+        return LEAST_REPETITIONS  # equal windows have equal keys
+    if n > LONGEST_TRIED:
+        return 0
+    rng = np.random.default_rng([SEED, n])
+    left = [(i % len(items), _trial(items[i % len(items)], rng)) for i in range(TRIALS)]
+    first, r = 0, LEAST_REPETITIONS
+    while r <= MOST_REPETITIONS:
+        known, missed = keys(np.stack(items), r, first), []
+        for at in range(0, len(left), max(1, 50_000 // (n * (r - first)))):  # bounded memory
+            part = left[at : at + max(1, 50_000 // (n * (r - first)))]
+            own = keys(np.concatenate([w for _, w in part]), r, first)
+            same = (own == np.repeat(known[[i for i, _ in part]], [len(w) for _, w in part], axis=0)).any(axis=1)
+            met = np.logical_or.reduceat(same, np.cumsum([0] + [len(w) for _, w in part[:-1]]))
+            missed += [trial for trial, found in zip(part, met, strict=True) if not found]
+        if not missed:
+            return r
+        left, first, r = missed, r, r * 2
+    return 0
+
+
+def repetitions(spark: SparkSession, block: list[tuple[int, np.ndarray]]) -> dict[int, int]:
+    """For each length of the items the repetitions that it needs (0: all windows are to be verified). Lengths are tried in tasks."""
+    lengths: dict[int, list[bytes]] = {}
+    for _, words in block:
+        lengths.setdefault(len(words), []).append(words.tobytes())
+
+    def compute(items: pa.Array) -> pa.Array:
+        return pa.array([needed([np.frombuffer(i, np.uint64) for i in own]) for own in items.to_pylist()], pa.int32())
+
+    table = spark.createDataFrame([(n, [bytearray(i) for i in own[:TRIALS]]) for n, own in lengths.items()], "n int, items array<binary>")
+    return {row["n"]: row["r"] for row in table.select("n", F.arrow_udf(compute, "int")("items").alias("r")).collect()}
+
+
+def item_keys(words: np.ndarray, count: int) -> list[int]:
+    return keys(words[None, :], count)[0].view(np.int64).tolist() if count else [0]
 
 
 def windows_of(text: Column, block: list[tuple[int, np.ndarray]]) -> Column:
@@ -154,11 +197,8 @@ def windows_of(text: Column, block: list[tuple[int, np.ndarray]]) -> Column:
             text_of = np.searchsorted(words.bounds, at, "right") - 1
             hits = np.stack([text_of, lengths[entry], at - offsets[entry] - words.bounds[text_of]], 1)
             hits, times = np.unique(hits, axis=0, return_counts=True)
-            total = np.concatenate(([0], np.cumsum(times)))
-            for (i, n, start), left, right in zip(hits.tolist(), *_near(hits), strict=True):
+            for i, n, start in hits[_seeded(hits, times)].tolist():
                 k = max_edits(n)
-                if total[right] - total[left] < min(2, n - GRAM + 1 - GRAM * k) and n > GRAM:
-                    continue
                 begin, end = words.bounds[i], words.bounds[i + 1]
                 a, b = begin + start - k, begin + start + n + k
                 own = words.hashes[max(begin, a) : min(end, b)]
@@ -179,13 +219,26 @@ def _near(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(place, place - k, "left"), np.searchsorted(place, place + k, "right")
 
 
-def window_keys(words: Column, n: Column, count: int) -> Column:
-    """The keys of each window (its margin left out)."""
+def _seeded(hits: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Which windows (text, n, start), sorted, have enough shared runs nearby; times: shared runs on each one's own diagonal."""
+    total = np.concatenate(([0], np.cumsum(times)))
+    left, right = _near(hits)
+    n = hits[:, 1]
+    k = np.array([max_edits(int(size)) for size in n], np.int64)
+    return (total[right] - total[left] >= np.minimum(2, n - GRAM + 1 - GRAM * k)) | (n <= GRAM)
+
+
+def window_keys(words: Column, n: Column, counts: dict[int, int]) -> Column:
+    """The keys of each window (its margin left out); counts: repetitions of each length, 0 for one key that all share."""
     def compute(words: pa.Array, lengths: pa.Array) -> pa.Array:
         sizes = np.asarray(lengths)
         out: list = [None] * len(words)
         for n in np.unique(sizes):
-            rows, k = np.flatnonzero(sizes == n), max_edits(int(n))
+            rows, k, count = np.flatnonzero(sizes == n), max_edits(int(n)), counts[int(n)]
+            if not count:
+                for i in rows:
+                    out[i] = [0]
+                continue
             windows = np.stack([np.frombuffer(words[int(i)].as_py(), np.uint64)[k : k + n] for i in rows])
             for i, row in zip(rows, keys(windows, count).view(np.int64), strict=True):
                 out[i] = row
@@ -220,14 +273,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = []
     for block in item_blocks(items):
-        count = repetitions(block)
-        table = [(item, bytearray(words.tobytes()), len(words), max_edits(len(words)), keys(words[None, :], count)[0].view(np.int64).tolist())
+        counts = repetitions(spark, block)
+        table = [(item, bytearray(words.tobytes()), len(words), max_edits(len(words)), item_keys(words, counts[len(words)]))
                  for item, words in block]
         known = spark.createDataFrame(table, "item_id bigint, item binary, n int, most int, item_keys array<bigint>")
         entries = known.select("item_id", "item", "n", "most", F.explode("item_keys").alias("key"))
         windows = docs.select("doc_id", F.xxhash64("text").alias("node"), F.explode(windows_of(F.col("text"), block)).alias("w"))
         windows = windows.select("doc_id", "node", "w.start", "w.n", "w.words")
-        keyed = windows.withColumn("key", F.explode(window_keys(F.col("words"), F.col("n"), count)))
+        keyed = windows.withColumn("key", F.explode(window_keys(F.col("words"), F.col("n"), counts)))
         # A block has at most BLOCK_WORDS words: its keys may be sent to every task.
         met = keyed.join(F.broadcast(entries), ["n", "key"]).dropDuplicates(["doc_id", "node", "start", "item_id"])
         parts.append(met.withColumn("edits", _edits(F.col("words"), F.col("item"))).where("edits <= most")

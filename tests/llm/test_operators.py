@@ -304,6 +304,30 @@ def test_fewest_edits_is_exact():
         assert decontaminate.fewest_edits(np.array(item, np.uint64), np.array(text, np.uint64))[0] == want
 
 
+def test_long_items_among_short_ones_are_found(spark):
+    rng = random.Random(19)
+    sizes = [14] * 401 + [400] * 7
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate(sizes)]
+    texts = []
+    for n, (i, text) in enumerate(items[401:] * 6):
+        words = text.split()
+        for at in rng.sample(range(400), decontaminate.max_edits(400)):
+            words[at] = f"e{rng.randrange(10**6)}"
+        texts.append((n, " ".join(words)))
+    got = decontaminate.contaminated(_documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(n, 401 + n % 7) for n in range(42)]
+
+
+def test_lengths_beyond_the_repetitions_are_verified_exactly(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LONGEST_TRIED", 20)
+    rng = random.Random(20)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    edited = [w if i % 10 else "e" + w for i, w in enumerate(words)]
+    docs = _documents(spark, [(1, "a b c " + " ".join(edited) + " d"), (2, " ".join(words[:80]))])
+    items = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(_words(6, 100)))], "item_id bigint, text string")
+    assert _rows(decontaminate.contaminated(docs, items).select("doc_id", "item_id", "edits")) == [(1, 5, 10)]
+
+
 # ---------------------------------------------------------------- 8
 def test_license_scan(spark, odd):
     mit = license_scan.TEMPLATES[0][1]
