@@ -14,7 +14,7 @@ LONGEST_TRIED words, all windows of the length meet all items of it. Every pair
 
 Items are dealt in blocks of BLOCK_WORDS, each one pass over the documents, so what is sent to tasks is bounded
 and any number of items is covered. Items and documents without words (null, empty) never match. Items shorter than three words
-must occur as they are. Repeated rows and ties in doc_id: one row per (doc_id, item_id), with the fewest edits, then the first place.
+must occur as they are. Items may share an item_id or have none: each row is looked for by itself. Repeated rows and ties in doc_id: one row per (doc_id, item_id), with the fewest edits, then the first place.
 """
 
 from __future__ import annotations
@@ -274,15 +274,16 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = []
     for block in item_blocks(items):
         counts = repetitions(spark, block)
-        table = [(item, bytearray(words.tobytes()), len(words), max_edits(len(words)), item_keys(words, counts[len(words)]))
-                 for item, words in block]
-        known = spark.createDataFrame(table, "item_id bigint, item binary, n int, most int, item_keys array<bigint>")
-        entries = known.select("item_id", "item", "n", "most", F.explode("item_keys").alias("key"))
+        table = [(row, item, bytearray(words.tobytes()), len(words), max_edits(len(words)), item_keys(words, counts[len(words)]))
+                 for row, (item, words) in enumerate(block)]
+        known = spark.createDataFrame(table, "row int, item_id bigint, item binary, n int, most int, item_keys array<bigint>")
+        entries = known.select("row", "item_id", "item", "n", "most", F.explode("item_keys").alias("key"))
         windows = docs.select("doc_id", F.xxhash64("text").alias("node"), F.explode(windows_of(F.col("text"), block)).alias("w"))
         windows = windows.select("doc_id", "node", "w.start", "w.n", "w.words")
         keyed = windows.withColumn("key", F.explode(window_keys(F.col("words"), F.col("n"), counts)))
         # A block has at most BLOCK_WORDS words: its keys may be sent to every task.
-        met = keyed.join(F.broadcast(entries), ["n", "key"]).dropDuplicates(["doc_id", "node", "start", "item_id"])
+        # Rows of items have own numbers: other texts under the same item_id, or none, are verified each.
+        met = keyed.join(F.broadcast(entries), ["n", "key"]).dropDuplicates(["doc_id", "node", "start", "n", "row"])
         parts.append(met.withColumn("edits", _edits(F.col("words"), F.col("item"))).where("edits <= most")
                      .select("doc_id", "node", "item_id", "edits", "start"))
     if not parts:

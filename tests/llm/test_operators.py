@@ -328,6 +328,21 @@ def test_lengths_beyond_the_repetitions_are_verified_exactly(spark, monkeypatch)
     assert _rows(decontaminate.contaminated(docs, items).select("doc_id", "item_id", "edits")) == [(1, 5, 10)]
 
 
+def test_items_that_share_an_id_are_verified_each(spark):
+    rng = random.Random(21)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(6)]
+    items, texts = [], []
+    for n, own in enumerate(words):
+        item = None if n % 2 else 7
+        items += [(item, " ".join(own[:28] + [f"d{n}x{i}x{j}" for j in range(12)])) for i in range(12)]  # meet the document, beyond the edits
+        items += [(item, " ".join(own)), (item, " ".join(own[:20] + [f"s{n}x{j}" for j in range(10)]))]
+        texts.append((n, " ".join(own)))
+    docs, table = _documents(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contaminated(docs, table)
+    assert _rows(got) == sorted(((n, None if n % 2 else 7, 0, 0) for n in range(6)), key=repr)
+    assert decontaminate.keep_clean(docs, table).count() == 0
+
+
 # ---------------------------------------------------------------- 8
 def test_license_scan(spark, odd):
     mit = license_scan.TEMPLATES[0][1]
