@@ -4,10 +4,12 @@ Shingles are SHINGLE words (runs without white space) in a row, as a set; a text
 none and is alone in its class. Two different texts are linked if the Jaccard similarity of their sets is at least THRESHOLD.
 Classes are the connected components of links and equal texts.
 
-Forest: each of TREES tries orders texts by a label, a sequence of MAX_DEPTH MinHash values drawn from one pool. Texts match in a
-trie if they share a prefix of their labels. Matching begins at full depth; prefixes are shortened step by step until a pair at the
-threshold is found in some trie with probability TARGET. Texts in one bucket of that depth are tied to the bucket's smallest text,
-and connected texts form a candidate group.
+Forest: in each of TREES tries a text has a label, a sequence of MAX_DEPTH MinHash values drawn from one pool. Texts match in a
+trie if they share a prefix of their labels. The level of the join is the longest prefix by which a pair at the threshold is found in some trie
+with probability TARGET; that is computed with the pool that all tries share, so it follows from the constants and not from the data.
+A shared prefix contains all longer ones, so the pairs of that level are all pairs that a walk from full depth up to it
+would find: only this level is read, as buckets, and the tries are not built. Texts in one bucket are tied to the bucket's smallest text, and
+connected texts form a candidate group.
 Verification: all pairs of texts inside a group are compared exactly, so links found beside the tries' own are kept as well. Groups of more
 than BLOCK texts are dealt out as pairs of blocks; a task holds two blocks at most and returns one row per text (its links
 and the smallest text that it reaches there), never the pairs.
@@ -19,6 +21,8 @@ Null and empty texts: no words. Repeated rows are copies. Other columns are not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,10 +44,22 @@ FILTER_BITS = 1 << 24  # a fixed two MB, however many keys: it only spares shuff
 SEED = 7
 
 
+def recall(depth: int, trees: int = TREES, threshold: float = THRESHOLD, pool: int = POOL) -> float:
+    """The probability that a pair at the threshold shares a prefix of this depth in some trie, over draws of the pool and of the labels.
+
+    Tries draw from one pool, so they are independent only given the number of functions on which the pair agrees.
+    """
+    missed = 0.0
+    for agreed in range(pool + 1):
+        chance = math.comb(pool, agreed) * threshold**agreed * (1 - threshold) ** (pool - agreed)
+        missed += chance * (1 - math.comb(agreed, depth) / math.comb(pool, depth)) ** trees
+    return 1 - missed
+
+
 def depth(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET) -> int:
     """The longest prefix that finds a pair at the threshold with the target probability."""
     for d in range(MAX_DEPTH, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= target:
+        if recall(d, trees, threshold) >= target:
             return d
     return 1
 

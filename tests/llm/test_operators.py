@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
+from pyspark.sql import functions as F
 
 from sparkassay.llm import (
     bpe, components, decontaminate, license_scan, line_rules, lsh_forest, page_template, quality, queries, token_files, toxicity,
@@ -248,6 +249,19 @@ def test_classes_equal_all_pairs(spark, monkeypatch):
     assert sorted(ids, key=repr) == sorted(want, key=repr)
 
 
+def test_pairs_at_the_threshold_share_a_bucket(spark):
+    """94 words, the last ten of them other ones: 80 shingles of 100 in common."""
+    rng = random.Random(18)
+    pairs = []
+    for _ in range(5000):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        pairs.append((" ".join(words[:94]), " ".join(words[:84] + words[94:])))
+    table = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    met = table.where(F.arrays_overlap(lsh_forest.sketch(F.col("a")), lsh_forest.sketch(F.col("b")))).count()
+    assert met >= 0.998 * len(pairs)
+    assert lsh_forest.recall(lsh_forest.depth()) >= lsh_forest.TARGET > lsh_forest.recall(lsh_forest.depth() + 1)
+
+
 def test_classes_of_nothing(spark, odd):
     assert lsh_forest.join_classes(odd.limit(0)).count() == 0
     assert lsh_forest.join_classes(odd).count() == odd.count()
