@@ -1,9 +1,10 @@
 """Toxicity: a noisy-channel decoder undoes disguises, then a learned word list scores the restored text.
 
 Language model: counts of character triples (letters a to z, other letters, word edge) over all documents, summed by Spark.
-Decoder: words that mix letters with digits or signs, repeat a letter three times or more, or are spelled out in single letters become
+Decoder: words with digits or signs, words that repeat a letter three times or more, and words spelled out in single letters or leet signs become
 a lattice of readings (leet signs as letters, filler signs left out, runs shortened); Viterbi picks the reading with the best
-product of channel and language model. Other words have one reading, themselves.
+product of channel and language model. They are read whatever their length and share of letters, with their outer signs, without punctuation
+and without any, and also in parts between separators. Other words have one reading, themselves. Words under three characters have no feature.
 Word list: features are words and their beginnings of 4 to 8 bytes, so that inflected forms count together. A feature's weight is the
 share of toxic documents among the training documents that have it, drawn to the overall share by PRIOR documents. Near copies
 (documents with an equal smallest five-word shingle) share one vote. A document's raw score is its largest weight, of words as they
@@ -43,6 +44,7 @@ THRESHOLD = 0.3
 MAX_LABELLED = 1_000_000
 MAX_FEATURES = 1 << 18
 MEMO = 100_000
+LONGEST_MEMO = 64  # characters; longer tokens are decoded each time
 #: Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
@@ -56,8 +58,13 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[0x61:0x7B] = np.arange(1, 27)
 _SYMBOL[0x41:0x5B] = np.arange(1, 27)
 _SYMBOL[0x80:] = 27
-#: Spelled out in single letters, or one run without white space that holds a letter and a sign, or a letter three times.
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){3,}[^\W\d_](?![^\W_])")
+_LEET = re.escape("".join(c for c in LEET if c not in FILLERS))
+_OPEN = "\"'()[]{}<>,;:.?&%"  # punctuation that may surround a word
+_PLAIN = _OPEN.replace("(", "").replace("<", "") + "-_~`^/\\=\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u2026\u2013\u2014\u00bf\u00a1"  # stand for no letter
+#: Three or more single letters or leet signs with any run of white space or fillers between them; the two kinds have no sign in common.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:[^\W\d_]|[{_LEET}])[\s{re.escape(FILLERS)}]+){{2,}}(?:[^\W\d_]|[{_LEET}])(?![^\W_])")
+_GAPS = re.compile(rf"[\s{re.escape(FILLERS)}]+")
+_PARTS = (re.compile(r"[/\\,:;?&=\[\]{}>\"]+"), re.compile(rf"(?:[^\w{_LEET}]|_)+"))
 _WORD = re.compile(r"\S+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
 
@@ -109,9 +116,9 @@ def _symbol(letter: str) -> int:
 
 def decode(token: str, model: np.ndarray) -> str:
     """The most likely reading of the token (folded): Viterbi over the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # texts as (text before, letter)
     for options in readings(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             for letter, channel in options:
                 if letter:
@@ -120,31 +127,52 @@ def decode(token: str, model: np.ndarray) -> str:
                 else:
                     state, value = (a, b), score + channel
                 if state not in following or value > following[state][0]:
-                    following[state] = (value, text + letter)
+                    following[state] = (value, (text, letter) if letter else text)
         best = following
-    return max(((score + float(model[a, b, 0]), text) for (a, b), (score, text) in best.items()), default=(0.0, ""))[1]
+    text = max(((score + float(model[a, b, 0]), text) for (a, b), (score, text) in best.items()), key=lambda found: found[0])[1]
+    letters = []
+    while text:
+        text, letter = text
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def _bare(token: str) -> tuple[int, int]:
+    """The token without any sign at its ends."""
+    first, last = 0, len(token)
+    while first < last and not token[first].isalnum():
+        first += 1
+    while last > first and not token[last - 1].isalnum():
+        last -= 1
+    return first, last
+
+
+def variants(token: str) -> tuple[str, ...]:
+    """What the token may be a disguise of, folded: all of it and its parts, each with its outer signs, with the innermost one or without them."""
+    found: dict[str, None] = {}
+    for part in dict.fromkeys([token, *_PARTS[0].split(token), *_PARTS[1].split(token)]):
+        own = part.strip(_PLAIN)
+        first, last = _bare(own)
+        ends = {len(own), len(own.rstrip(_OPEN)), len(own.rstrip(_OPEN + "!"))} | ({last, min(last + 1, len(own))} if first < last else set())
+        for begin in sorted({0, len(own) - len(own.lstrip(_OPEN))} | ({first, max(first - 1, 0)} if first < last else set())):
+            for end in sorted(ends):
+                word = own[begin:end]
+                if len(word) >= 3 and (not word.isalpha() or _TRIPLE.search(word)):
+                    found[word.lower()] = None
+    return tuple(found)
 
 
 def suspects(text: str) -> Iterator[str]:
-    """Tokens of a text that may be disguised, folded, with outer punctuation taken off."""
-    for found in _SPELLED.finditer(text):
-        yield re.sub(r"[ .\-_*]", "", found[0]).lower()
+    """Tokens of a text that may be disguised, without outer signs that stand for no letter."""
+    tripled = _TRIPLE.search(text) is not None
     for found in _WORD.finditer(text):
         token = found[0]
-        if token.isalpha() or len(token) > 40:
-            continue
-        token = token.strip("\"'()[]{}<>,;:.?&%").rstrip("!*#$|").lower()
-        if len(token) >= 4 and not token.isalpha() and (sum(map(str.isalpha, token)) * 2 >= len(token) or "*" in token):
+        if not token.isalpha():
+            token = token.strip(_PLAIN)
+        if len(token) >= 3 and (not token.isalpha() or tripled and _TRIPLE.search(token)):
             yield token
 
 
-def tripled(text: str) -> Iterator[str]:
-    if _TRIPLE.search(text):
-        for found in _WORD.finditer(text):
-            if len(found[0]) <= 40 and _TRIPLE.search(found[0]):
-                yield found[0].strip("\"'()[]{}<>,;:.?&%!*#$|").lower()
-
-
 # ---------------------------------------------------------------- features
 def _folded(data: np.ndarray) -> np.ndarray:
     """ASCII and Latin-1 capitals (two bytes in UTF-8) as small letters."""
@@ -243,21 +271,27 @@ class ToxicityModel:
         return F.arrow_udf(compute, "double")(text)
 
 
-_restored: dict[str, str] = {}
+_restored: dict[str, tuple[str, ...]] = {}
 
 
-def _restore(token: str, language: np.ndarray) -> str:
+def _restore(token: str, language: np.ndarray) -> tuple[str, ...]:
     found = _restored.get(token)
     if found is None:
-        if len(_restored) >= MEMO:
-            _restored.clear()
-        found = _restored[token] = decode(token, language)
+        found = tuple(word for word in dict.fromkeys(decode(v, language) for v in variants(token)) if len(word) >= 3)
+        if len(token) <= LONGEST_MEMO:
+            if len(_restored) >= MEMO:
+                _restored.clear()
+            _restored[token] = found
     return found
 
 
 def restored_words(text: str, language: np.ndarray) -> list[str]:
-    """Readings of the text's disguised words that differ from what stands there."""
-    return [word for token in itertools.chain(suspects(text), tripled(text)) if (word := _restore(token, language))]
+    """Readings of the text's disguised words."""
+    spelled = [_GAPS.sub("", found[0]).lower() for found in _SPELLED.finditer(text)]
+    out = [decode(word, language) for word in spelled]
+    for token in suspects(text):
+        out += _restore(token, language)
+    return [word for word in out if word]
 
 
 def _scores(model: ToxicityModel, texts: pa.Array) -> np.ndarray:

@@ -412,6 +412,23 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+def test_disguises_of_all_shapes_are_restored():
+    counts = np.ones((28, 28, 28))
+    for word in ("idiot", "loser", "asshole", "ass", "clown", "trash", "nitwit"):
+        at = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for a, b, c in zip(at, at[1:], at[2:]):
+            counts[a, b, c] += 1000
+    model = np.log(counts / counts.sum(2, keepdims=True))
+    cases = {"1d10t": "idiot", "l053r": "loser", "4$$h0l3": "asshole", "1d!0t": "idiot", "i-d-1-0-t": "idiot", "i" * 50 + "diot": "idiot",
+             "(lown": "clown", "((lown!)": "clown", "a$s": "ass", "1 d 1 0 t": "idiot", "n  i --  t * w...i\tt": "nitwit", "tr@$h.": "trash", "a $ s": "ass",
+             "http://" + "long.example/" * 9 + "1d10t/x?y=1": "idiot", "'4$$h0l3'!": "asshole", "a$$": "ass"}
+    for text, word in cases.items():
+        assert word in toxicity.restored_words(f"so {text} there", model), text
+    assert toxicity.restored_words("Plain words, and (more) of them; \"none\" disguised.", model).count("idiot") == 0
+    assert len(toxicity.decode("a1" * 100_000, model)) == 200_000
+    assert toxicity.restored_words(" ".join("*" * 5000) + " " + "-*" * 5000, model) is not None
+
+
 # ---------------------------------------------------------------- all
 def test_registered_sql_equals_queries(spark, data):
     with duckdb.connect() as db:
