@@ -394,6 +394,20 @@ def test_pages(spark):
     assert page_template.extract(pages.limit(0)).count() == 0
 
 
+def test_odd_pages_and_numbered_ids_do_not_spoil_a_template(spark):
+    def page(open_tag, words, close_tag, rest="<div class='teaser'>Read this too</div>"):
+        return f"<html><body><nav>Menu</nav>{open_tag}<p>{words}</p>{close_tag}{rest}</body></html>"
+
+    long = " ".join(_words(3, 30))
+    rows = [(i, "http://a.example/", page(f"<article id='post-{i}'>", long, "</article>"), long) for i in range(20)]
+    rows += [(20, "http://a.example/", "<html><body><nav>Menu</nav><p>Not found</p></body></html>", "Not found"),
+             (21, "http://a.example/", page("<article id='post-21'>", long, f"</article><article id='post-22'><p>{long}</p></article>"), f"{long}\n{long}")]
+    rows += [(30 + i, "http://b.example/", page(f"<article id='{w}'>", long, "</article>"), long) for i, w in enumerate(("one", "two", "three", "four"))]
+    rows += [(40 + i, "http://b.example/", page("<main>", long, "</main>"), long) for i in range(2)]  # another layout of the host
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in page_template.extract(pages).collect()} == {r[0]: r[3] for r in rows}
+
+
 # ---------------------------------------------------------------- 10
 def test_toxicity_learns_words_and_sees_through_disguise(spark):
     rng = random.Random(12)
