@@ -5,7 +5,7 @@ that level 2 lets through, and so on until a level lets nothing wrong through. O
 level at which a key first falls out says exactly whether it is listed. The universe is every key of the corpus.
 
 A level is an array<bigint> of 64-bit words in a one-row table, read as a scalar subquery: no join, no Python, and no key reaches the driver.
-BITS per key bound its size. Levels beyond MAX_BYTES are not sent to tasks: such a list is looked up by a semi join (`listed_by_join`), also exact.
+BITS per key bound its size. If a level is beyond MAX_BYTES, judge looks the list up by a join instead (`listed_by_join`), also exact.
 
 Null urls and urls without "://" have an empty host and path and match no rule. An empty host is never listed. Repeated
 rows are judged alike; only the url is looked at.
@@ -114,10 +114,14 @@ def host_universe(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages; universe (key, listed) must hold its hosts."""
     host, path = host_and_path(F.col("url"))
-    cascade = Cascade(staged(host_universe(pages) if universe is None else universe, "hosts"))
+    hosts = staged(host_universe(pages) if universe is None else universe, "hosts")
     table = pages.select("page_id", host.alias("host"), path.alias("path"))
+    try:
+        listed = Cascade(hosts).contains(F.col("host"))
+    except OverflowError:  # a level is too large to send
+        table, listed = listed_by_join(table, hosts.where("listed"), "host"), F.col("listed")
     table = table.withColumn("found", longest_rule(F.col("host"), F.col("path")))
-    by_list = F.when(cascade.contains(F.col("host")), "block").otherwise("allow")
+    by_list = F.when(listed, "block").otherwise("allow")
     return table.select("page_id", "host", "path", F.col("found.rule").alias("rule"),
                         F.coalesce(F.col("found.verdict"), by_list).alias("verdict"))
 

@@ -201,6 +201,14 @@ def test_urls_equal_sql(spark):
     assert url_cascade.judge(pages.limit(0)).count() == 0
 
 
+def test_lists_too_large_to_send_are_joined(spark, monkeypatch):
+    urls = [None, "", "http://casino.org/fr/x", *(f"http://{w}{i}.example/" for i in range(40) for w in ("win.", "plain"))]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)], "page_id bigint, url string")
+    want = _rows(url_cascade.judge(pages))
+    monkeypatch.setattr(url_cascade, "MAX_BYTES", 8)
+    assert _rows(url_cascade.judge(pages)) == want
+
+
 # ---------------------------------------------------------------- 6
 def _plain_classes(texts):
     sets = {}
