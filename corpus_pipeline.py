@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules do not reject."""
+    """Documents that the quality rules do not reject, with all their lines."""
     return line_rules.keep_good(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: The classifier and the similarity search are beyond SQL; tests compare the stages with plain versions.
+#: The classifier and the similarity search are beyond SQL; tests compare what stages 3 and 4 keep with plain versions.
 ORACLE_SQL = None
 
 

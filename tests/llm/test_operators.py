@@ -463,6 +463,25 @@ def test_registered_sql_equals_queries(spark, data):
             assert _rows(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
 
 
+def test_pipeline_stages_keep_the_rows_of_plain_versions(spark, data):
+    import corpus_pipeline
+
+    docs, items = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "benchmark"))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.select("doc_id", "text").collect()
+
+    def kept(name):
+        return sorted(r["doc_id"] for r in stages[name](spark, docs, data).select("doc_id").collect())
+
+    assert kept("n-gram Jaccard join") == sorted({i for i, c, _ in _plain_classes([tuple(r) for r in rows]) if i == c})
+    known = [decontaminate._item_words(r["text"]) for r in items.collect()]
+    texts = {r["doc_id"]: decontaminate._item_words(r["text"]) for r in rows}
+    clean = [i for i, text in texts.items() if not any(
+        decontaminate.fewest_edits(item, text)[0] <= decontaminate.max_edits(len(item)) for item in known
+        if len(np.intersect1d(item, text)) >= len(np.unique(item)) - decontaminate.max_edits(len(item)) - 1)]
+    assert kept("benchmark decontamination") == sorted(clean)
+
+
 def test_pipeline_stages_keep_columns(spark, data):
     import corpus_pipeline
 
