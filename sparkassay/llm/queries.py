@@ -27,7 +27,8 @@ from public_tokenizers import PATTERN  # noqa: E402
 from public_tokenizers import path as tokenizer_path  # noqa: E402
 
 from sparkassay.llm import (  # noqa: E402
-    bpe, decontaminate, license_scan, line_rules, lsh_forest, page_template, quality, token_files, toxicity, url_cascade,
+    best_fit, bpe, decontaminate, fill_middle, fm_spelling, license_scan, line_rules, lsh_forest, page_template, quality,
+    token_files, toxicity, url_cascade,
 )
 from sparkassay.llm.storage import new_path  # noqa: E402
 
@@ -82,3 +83,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_toxicity")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(_load(spark, sf, "documents"), _load(spark, sf, "labels"))
+
+
+@_query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return best_fit.pack(_load(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
+@_query("op12_fill_in_middle", fill_middle.SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.digest(_load(spark, sf, "documents"))
+
+
+@_query("op13_spelling_variants")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return fm_spelling.variants(_load(spark, sf, "documents"))
