@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import random
@@ -96,8 +97,13 @@ def test_capacities_find_the_tightest():
                 held.remove(found[0])
 
 
+@functools.lru_cache
+def _library():
+    return Tokenizer.from_file(WORD_BPE)
+
+
 def _ids(text):
-    return Tokenizer.from_file(WORD_BPE).encode(text or "", add_special_tokens=False).ids + [0]
+    return _library().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_packing(spark, odd):
