@@ -14,11 +14,13 @@ from sparkassay.operators import rules as U
 from sparkassay.operators.assess import assess, settle
 from sparkassay.plans.rulebook import Rule
 from sparkassay.session import scratch_path
+from sparkassay.sources import files as S
 from sparkassay.sources import sinks as K
 
 from .metrics import (
     D, DIRTY_COLUMNS, M_SQL, P, REF, RISK_SQL, numbered, s_missing, s_time, shown_risks,
 )
+from .sources import csv_of
 from .registry import (
     check, d_date, d_finite, d_metric, d_missing, d_number, d_ratio, dirty_orders, dirty_parts,
     joined, load, shown, union,
@@ -110,6 +112,41 @@ def rul1(spark, sf):
     return shown(U.evaluate_rules(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), [PK], REF))
 
 
+# The same numbers in several notations, read back from CSV with typed columns.
+NOTATIONS = """n AS (SELECT l_orderkey AS line, l_linenumber % 3 AS kind, l_linenumber % 2 AS size,
+  CAST(CASE WHEN l_linenumber = 2 THEN 9007199254740992 ELSE 9007199254740993 END AS BIGINT) AS wide FROM lineitem)"""
+
+
+def notations(spark, sf):
+    line = F.col("l_linenumber")
+
+    def mixed(c, tail=".0"):
+        text = c.cast("string")
+        return F.when(line % 3 == 0, F.concat(F.lit("0"), text)).when(line % 3 == 1, F.concat(text, F.lit(tail))).otherwise(text)
+
+    wide = F.when(line == 2, F.lit(9007199254740992)).otherwise(F.lit(9007199254740993))
+    df = load(spark, sf, "lineitem").select(mixed(F.col("l_orderkey")).alias("line"), mixed(line % 3, "").alias("kind"), mixed(line % 2).alias("size"),
+                                            mixed(wide).alias("wide"))
+    return S.read_csv(spark, csv_of(spark, df, "notations"), typed=True).checked()
+
+
+SIZE_ALLOWED = Rule("allowed_values", ("size",), {"allowed_values": [1]})
+SIZE_NEEDS = Rule("conditional_required", ("kind", "line"), {"condition_values": [2]})
+for _name, _rule, _metric, _sql in (
+    ("rul1_typed_csv", Rule("primary_key", ("line", "wide")), "business_primary_key_compliance", s_pk("n", "line, wide")),
+    ("rul5_typed_csv", SIZE_ALLOWED, "business_allowed_values_compliance", s_rule("business_allowed_values_compliance", "size", "size <> 1").replace("FROM d", "FROM n")),
+    ("rul9_typed_csv", SIZE_NEEDS, "business_conditional_required_compliance",
+     s_rule("business_conditional_required_compliance", "line", "false", "kind = 2").replace("FROM d", "FROM n")),
+):
+    check(_name, f"WITH {NOTATIONS} {_sql}")(
+        lambda spark, sf, rule=_rule, metric=_metric: shown(U.evaluate_rules(notations(spark, sf), [rule], REF).where(F.col("metric_id") == metric)))
+
+for _name, _metric in (("agg8_typed_csv", "exact_duplicate_rate"), ("agg9_typed_csv", "normalized_duplicate_rate"),
+                       ("std1_typed_csv", "db31_030300"), ("std2_typed_csv", "db31_030400")):
+    check(_name, f"WITH {NOTATIONS} " + d_metric(_metric, "", d_ratio("count(*)" if _metric.startswith("db31") else "sum(n - 1)", "sum(n)"), "sum(n)", "sum(n - 1)") + " FROM (SELECT count(*) AS n FROM n GROUP BY line, kind, size, wide)")(
+        lambda spark, sf, metric=_metric: shown(M.calculate_metrics(notations(spark, sf), REF, [metric])))
+
+
 @check("rul1_primary_key_locations", """
 WITH n AS (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER () AS BIGINT) AS rn FROM lineitem),
 g AS (SELECT *, count(*) OVER k AS c, first_value(rn) OVER k AS a, nth_value(rn, 2) OVER k AS b FROM n

@@ -24,6 +24,46 @@ def src1(spark, sf):
     return S.read_csv(spark, path).checked()
 
 
+TYPED_CSV = """SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 0.5 END AS DOUBLE) AS amount,
+  CAST(9007199254740993 + o_orderkey AS DECIMAL(16,0)) AS wide, o_orderkey % 3 = 0 AS flag, CAST(18446744073709551615 - o_orderkey AS DECIMAL(20,0)) AS top,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS gaps FROM orders"""
+
+
+def odd_notations(spark, sf):
+    """Numbers with leading zeros, blanks, signs and needless decimals, written as CSV."""
+    key, half = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    text = lambda c: c.cast("string")
+    return load(spark, sf, "orders").select(
+        F.when(key % 3 == 0, F.concat(F.lit("0"), text(key))).when(key % 3 == 1, F.concat(F.lit(" +"), text(key))).otherwise(text(key)).alias("id"),
+        F.when(half, text(F.col("o_custkey"))).otherwise(F.concat(text(F.col("o_custkey")), F.lit(".50"))).alias("amount"),
+        F.concat(text(F.lit(9007199254740993) + key), F.when(half, F.lit(".0")).otherwise(F.lit(""))).alias("wide"),
+        F.when(key % 3 == 0, F.when(half, "True").otherwise("TRUE")).otherwise("false").alias("flag"),
+        text(F.lit("18446744073709551615").cast("decimal(20,0)") - key).alias("top"),
+        F.when(key % 5 == 0, F.lit("")).otherwise(text(key)).alias("gaps"))
+
+
+def csv_of(spark, df, label):
+    return written(spark, df, label, "csv", header=True, quote='"', escape='"', emptyValue="", ignoreTrailingWhiteSpace=False, ignoreLeadingWhiteSpace=False)
+
+
+@check("src1_typed_csv", TYPED_CSV)
+def src1_typed(spark, sf):
+    df = S.read_csv(spark, csv_of(spark, odd_notations(spark, sf), "typed"), typed=True).checked()
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "decimal(16,0)", "boolean", "decimal(20,0)", "string"], df.dtypes
+    return df
+
+
+@check("src1_mixed_headers", "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS note, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS state FROM orders")
+def src1_mixed(spark, sf):
+    """Three kinds of files in one folder: two orders of the columns, and one more column."""
+    df = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("note"),
+                                          F.col("o_orderstatus").alias("state"))
+    path = scratch_path(spark, "mixed")
+    for part, columns in enumerate((["note", "id", "state"], ["id", "note"], ["note", "id"])):
+        df.where(F.col("id").cast("bigint") % 3 == part).select(*columns).write.mode("append").options(header=True).csv(path)
+    return S.read_csv(spark, path).checked().select("id", "note", "state")
+
+
 def rec():
     return F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
                               F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("nation")))

@@ -1,17 +1,13 @@
 """Deterministic lexical search of many queries over many chunks.
 
-Scores count substring matches, so neither an equi-join nor an index of whole words is exact.
-Chunks stay where they are: each task scans its chunks once for all terms of a bounded block of
-queries, scores them, and emits at most ``limit`` rows per query and batch, instead of one row per
-query and chunk.
+Scores count substring matches.  A search term has no gaps, so it lies within one run of word
+characters of a text: chunks are indexed by their runs, a gram index over the distinct runs tells
+which of them contain a term, and joins lead from terms to runs to chunks.  One plan serves one
+query and a million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,13 +15,9 @@ from pyspark.sql import Window as W
 from ..functions import fixed
 from ..functions import text as X
 from ..functions import values as V
+from ..plans import skew
 from ..session import scratch_path
 
-# One pass handles this many queries: their terms are what each task receives.
-QUERIES_PER_PASS = 200
-BATCH = 128
-_HIT = "query_id long, score double, chunk_id string"
-
 
 # ------------------------------------------------------------------ filters
 def filter_documents(
@@ -54,168 +46,202 @@ def filter_chunks(chunks: DataFrame, documents: DataFrame, metric_id: str | None
     return chunks.join(wanted, "document_id")
 
 
-# ------------------------------------------------------------------ scoring
-def _score_batches(queries: pd.DataFrame, limit: int):
-    """A function that scores batches of folded chunk texts for a block of queries."""
-    ids = queries["query_id"].to_numpy()
-    patterns: dict[str, int] = {}
-    for column in ("terms", "phrase"):
-        for value in queries[column]:
-            for p in ([value] if column == "phrase" else value):
-                if p:
-                    patterns.setdefault(p, len(patterns))
-    # Half points are exact in single precision.
-    weight = np.zeros((len(patterns), len(ids)), dtype=np.float32)
-    phrase = np.array([patterns.get(p, 0) for p in queries["phrase"]], dtype=np.int64)
-    has_phrase = np.array([bool(p) and len(t) > 0 for p, t in zip(queries["phrase"], queries["terms"])])
-    for q, terms in enumerate(queries["terms"]):
-        weight[[patterns[t] for t in terms], q] = 1.0
-
-    batch = BATCH
-
-    def finder():
-        """A function from a text to the patterns that occur in it."""
-        try:
-            import ahocorasick
-        except ImportError:
-            return lambda text: [i for p, i in patterns.items() if p in text]
-        machine = ahocorasick.Automaton()
-        for p, i in patterns.items():
-            machine.add_word(p, i)
-        machine.make_automaton()
-        return lambda text: list({i for _, i in machine.iter(text)}) if text else []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not patterns:
-            return
-        found = finder()
-
-        def incidence(texts) -> np.ndarray:
-            seen = np.zeros((len(texts), len(patterns)), dtype=np.float32)
-            for i, t in enumerate(texts):
-                seen[i, found(t)] = 1.0
-            return seen
-
-        for pdf in batches:
-            for start in range(0, len(pdf), batch):
-                part = pdf.iloc[start:start + batch]
-                body, title = incidence(part["text"]), incidence(part["title"])
-                place = np.maximum(incidence(part["section"]), incidence(part["clause"]))
-                score = ((body + np.float32(2) * title + np.float32(1.5) * place) @ weight).astype(np.float64)
-                matched = score > 0
-                score = score + 4.0 * (body[:, phrase] * has_phrase)
-                score = score + 0.15 * (matched & part["table_row"].to_numpy(dtype=bool)[:, None])
-                order = np.lexsort((part["ordinal"].to_numpy(), part["document_id"].to_numpy()))
-                rank = np.empty(len(part), dtype=np.int64)
-                rank[order] = np.arange(len(part))
-                rows, columns = [], []
-                for q in np.flatnonzero(matched.any(axis=0)):
-                    hit = np.flatnonzero(score[:, q] > 0)
-                    best = hit[np.lexsort((rank[hit], -score[hit, q]))[:limit]]
-                    rows.append(best)
-                    columns.append(np.full(len(best), q))
-                if rows:
-                    r, c = np.concatenate(rows), np.concatenate(columns)
-                    yield pd.DataFrame({
-                        "query_id": ids[c], "score": score[r, c], "chunk_id": part["chunk_id"].to_numpy()[r]})
-    return run
-
-
-def _folded(candidates: DataFrame) -> DataFrame:
-    fold = lambda c: V.casefold(F.coalesce(F.col(c), F.lit(""))).alias(c)
-    return candidates.select("chunk_id", "document_id", "ordinal", "table_row",
-                             *[fold(c) for c in ("text", "title", "section", "clause")])
+# ------------------------------------------------------------------ postings
+_CHUNK = ["document_id", "ordinal", "chunk_id", "table_row"]
+IN_TEXT, IN_TITLE, IN_PLACE = 1, 2, 4
+PHRASE_POINTS, TABLE_POINTS = 4.0, 0.15
+# A longer run of word characters is indexed in windows.  They overlap by more bytes than a folded query has,
+# and both numbers are multiples of three, the bytes of a CJK character.
+WINDOW, STEP = 24_576, 18_432
+
+
+def _folded(c: str) -> Column:
+    return V.casefold(F.coalesce(F.col(c), F.lit("")))
+
+
+def _bytes_of(c: Column, start: Column, length: Column | int) -> Column:
+    """A part of a run by byte positions, which are found without walking over its characters."""
+    return F.substring(c.cast("binary"), start, length if isinstance(length, Column) else F.lit(length)).cast("string")
+
+
+def _runs(folded: Column) -> Column:
+    """Distinct runs of word characters and of CJK characters; every search term lies within one."""
+    runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([a-z0-9_./:-]{2,}|[㐀-鿿]+)"), F.lit(1)))
+    long = lambda r: F.octet_length(r) > WINDOW
+
+    def windows(r: Column) -> Column:
+        last = ((F.octet_length(r) - 1) / STEP).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: _bytes_of(r, i * STEP + 1, WINDOW))
+
+    cut = F.flatten(F.transform(runs, lambda r: F.when(long(r), windows(r)).otherwise(F.array(r))))
+    return F.when(F.exists(runs, long), cut).otherwise(runs)
+
+
+def postings(candidates: DataFrame) -> DataFrame:
+    """(chunk columns, word, field): the words of each candidate chunk's text, title, section and clause."""
+    place = F.concat_ws("\n", _folded("section"), _folded("clause"))
+
+    def marked(c: Column, field: int) -> Column:
+        return F.transform(_runs(c), lambda w: F.struct(w.alias("word"), F.lit(field).alias("field")))
+
+    words = F.concat(marked(_folded("text"), IN_TEXT), marked(_folded("title"), IN_TITLE), marked(place, IN_PLACE))
+    return candidates.select(*_CHUNK, F.explode(words).alias("w")).select(*_CHUNK, "w.word", "w.field")
+
+
+def _grams(word: Column, sizes: Column) -> Column:
+    """Distinct runs of so many characters of a word of one kind of characters."""
+    width = (F.octet_length(word) / F.char_length(word)).cast("int")
+    each = F.transform(sizes, lambda k: F.when(F.char_length(word) >= k, F.transform(
+        F.sequence(F.lit(0), F.char_length(word) - k), lambda i: _bytes_of(word, i * width + 1, k * width))))
+    return F.array_distinct(F.flatten(F.array_compact(each)))
+
+
+def _longest_gram(word: Column) -> Column:
+    """Three word characters; two CJK characters, which is as long as a CJK term gets."""
+    return F.when(F.octet_length(word) == F.char_length(word), 3).otherwise(2)
 
 
+def lookup(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n, terms): which of the distinct terms each indexed word contains; words (word, n) without any are left out.
+
+    A gram index over the words answers it: every term meets the words that hold its rarest gram.
+    """
+    longest = _longest_gram(F.col("word"))
+    index = words.select("word", "n", F.explode(_grams(F.col("word"), F.array(longest - 1, longest))).alias("gram"))
+    of_term = F.least(F.char_length("term"), _longest_gram(F.col("term")))
+    wanted = terms.select("term", F.explode(_grams(F.col("term"), F.array(of_term))).alias("gram"))
+    counted = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rarest = wanted.join(counted, "gram", "left").groupBy("term").agg(
+        F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), "gram")).alias("gram"))
+    return index.join(rarest, "gram").where(F.contains("word", "term")).groupBy("word", "n").agg(F.collect_list("term").alias("terms"))
+
+
+# ------------------------------------------------------------------ scoring
 def prepare_queries(queries: DataFrame, text: str = "query") -> DataFrame:
-    """(query_id, query, terms, phrase); blank or overlong queries are refused by ``search``."""
-    cleaned = V.strip(F.col(text))
+    """(query_id, query, terms, phrase, problem); ``search`` answers queries with a problem by it."""
+    cleaned = V.strip(F.coalesce(F.col(text), F.lit("")))
+    problem = F.when(cleaned == "", "the query is empty").when(
+        F.char_length(cleaned) > fixed.MAX_QUERY_CHARS, f"the query is longer than {fixed.MAX_QUERY_CHARS} characters")
     return queries.select(
-        F.col("query_id").cast("long"), cleaned.alias("query"), X.tokens(cleaned).alias("terms"),
-        V.strip(V.casefold(cleaned)).alias("phrase"))
+        F.col("query_id").cast("long"), cleaned.alias("query"), F.when(problem.isNull(), X.tokens(cleaned)).alias("terms"),
+        V.strip(V.casefold(cleaned)).alias("phrase"), problem.alias("problem"))
 
 
-def rank(prepared: DataFrame, candidates: DataFrame, limit: int = 5) -> DataFrame:
-    """The best ``limit`` chunks per query: score descending, then document id, then ordinal."""
-    if not 1 <= limit <= fixed.MAX_RESULTS:
-        raise ValueError(f"limit must be 1 to {fixed.MAX_RESULTS}")
-    folded = _folded(candidates)
-    places = candidates.select("chunk_id", "document_id", "ordinal")
-    blocks = max(1, -(-prepared.count() // QUERIES_PER_PASS))
-
-    def best(block: DataFrame) -> DataFrame:
-        local = block.select("query_id", "terms", "phrase").toPandas()  # a bounded block of bounded queries
-        hits = folded.mapInPandas(_score_batches(local, limit), _HIT)
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal")
-        return hits.join(places, "chunk_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-
-    if blocks == 1:
-        return best(prepared)
-    # Each block is finished and written before the next, so plans stay small and a lost executor
-    # repeats one block at most.
+def score(prepared: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, chunk columns, score) of every pair with a term in common.
+
+    Whether a term occurs in a chunk is found once for all queries that ask for it.
+    """
     spark = prepared.sparkSession
-    path = scratch_path(spark, "ranked")
-    for b in range(blocks):
-        best(prepared.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.parquet(f"{path}/block={b}")
-    return spark.read.parquet(path).drop("block")
+    asked = prepared.select("query_id", "phrase", F.explode("terms").alias("term"))
+    found = postings(candidates)
+    path = scratch_path(spark, "search-words")
+    lookup(asked.select("term").distinct(), found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))).write.parquet(path)
+    words = spark.read.parquet(path)
+    matched = skew.join_back(found, words, "word", size="n").select(*_CHUNK, "field", F.explode("terms").alias("term")).groupBy(
+        *_CHUNK, "term").agg(F.bit_or("field").alias("fields"))
+    has = lambda field: F.col("fields").bitwiseAND(F.lit(field)) != 0
+    points = sum((F.when(has(f), w).otherwise(0.0) for f, w in ((IN_TITLE, 2.0), (IN_PLACE, 1.5))), F.when(has(IN_TEXT), 1.0).otherwise(0.0))
+    by_terms = matched.withColumn("points", points).join(asked.select("query_id", "term"), "term").select("query_id", *_CHUNK, "points")
+    # A text that holds the phrase holds all terms that are parts of the phrase, so the rarest of them leads to it.
+    held = words.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("held"))
+    leads = asked.where(F.contains("phrase", "term")).join(held, "term").groupBy("query_id", "phrase").agg(
+        F.min_by("term", F.struct("held", "term")).alias("term"))
+    led = matched.where(has(IN_TEXT)).join(leads, "term")
+    texts = candidates.select("chunk_id", "text")
+    phrases = led.where("phrase = term").unionByName(
+        led.where("phrase <> term").join(texts, "chunk_id").where(_folded("text").contains(F.col("phrase"))).drop("text"))
+    by_phrase = phrases.select("query_id", *_CHUNK, F.lit(PHRASE_POINTS).alias("points"))
+    bonus = F.when(F.col("table_row"), F.lit(TABLE_POINTS)).otherwise(F.lit(0.0))
+    return by_terms.unionByName(by_phrase).groupBy("query_id", *_CHUNK).agg(F.sum("points").alias("points")).withColumn(
+        "score", F.col("points") + bonus).drop("points")
+
 
+def rank(prepared: DataFrame, candidates: DataFrame, limit: int = 5) -> DataFrame:
+    """The best ``limit`` chunks per query: score descending, then document id, then ordinal.
+
+    Spark applies the limit per query before it shuffles for the window, so at most ``limit`` rows per query leave a task.
+    """
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal", "chunk_id")
+    return score(prepared, candidates).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
-def text_budget(ranked: DataFrame) -> DataFrame:
-    """Cut each result to 2400 characters and each answer to 12000, in rank order."""
-    size = F.least(F.char_length("text"), F.lit(fixed.MAX_RESULT_CHARS))
+
+def text_budget(
+    ranked: DataFrame, each: int = fixed.MAX_RESULT_CHARS, total: int = fixed.MAX_TOTAL_CHARS,
+) -> DataFrame:
+    """Cut each result to ``each`` characters and each answer to ``total``, in rank order; ``cut`` tells which were."""
+    size = F.least(F.char_length("text"), F.lit(each))
     before = F.coalesce(F.sum(size).over(
         W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(fixed.MAX_TOTAL_CHARS) - before
-    return ranked.withColumn("__left", left).where("__left > 0").withColumn(
-        "text", F.left("text", F.least(F.lit(fixed.MAX_RESULT_CHARS), F.col("__left")))).drop("__left")
+    kept = ranked.withColumn("__room", F.least(F.lit(each), F.lit(total) - before)).where("__room > 0")
+    return kept.withColumn("cut", F.char_length("text") > F.col("__room")).withColumn(
+        "text", F.left("text", F.col("__room"))).drop("__room")
 
 
 def conflicts(results: DataFrame) -> DataFrame:
-    """(query_id, reason) where strong results disagree on version or namespace.
+    """Queries whose strong results disagree on version or namespace.
 
-    At most twenty results exist per query.
+    (query_id, reason) and, in the order of their ids, the documents of the strong results: document_ids,
+    document_labels, versions, standard_numbers.  An answer holds at most ``limit`` results.
     """
     strong = results.withColumn("top", F.max("score").over(W.partitionBy("query_id"))).where("score >= top * 0.55")
-    standard = F.coalesce(F.nullif("standard_number", F.lit("")), F.col("document_id"))
-    version = F.coalesce(F.nullif("version", F.lit("")), F.lit("未标注版本"))
-    per_standard = strong.groupBy("query_id", standard.alias("standard")).agg(
-        F.count_distinct(version).alias("versions"), F.collect_set("document_id").alias("documents"),
+    filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    version = filled("version", F.lit("未标注版本"))
+    per_standard = strong.groupBy("query_id", filled("standard_number", F.col("document_id")).alias("standard")).agg(
+        F.count_distinct(version).alias("versions"),
+        F.collect_set(F.struct("document_id", "title", version.alias("version"), filled(
+            "standard_number", F.lit("未标注标准号")).alias("standard"))).alias("documents"),
         F.collect_set("source_namespace").alias("namespaces"))
     per_query = per_standard.groupBy("query_id").agg(
         F.max("versions").alias("versions"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
         F.size(F.array_distinct(F.flatten(F.collect_list("namespaces")))).alias("namespaces"))
-    return per_query.where("documents >= 2 and (versions > 1 or namespaces > 1)").select(
+    disagree = per_query.where((F.size("documents") >= 2) & ((F.col("versions") > 1) | (F.col("namespaces") > 1)))
+    return disagree.select(
         "query_id", F.when(F.col("versions") > 1, "同一标准或适用范围命中了多个版本，请先确认适用版本。").otherwise(
-            "检索结果来自多个已批准来源命名空间，请确认适用来源。").alias("reason"))
+            "检索结果来自多个已批准来源命名空间，请确认适用来源。").alias("reason"),
+        F.col("documents.document_id").alias("document_ids"), F.col("documents.title").alias("document_labels"),
+        F.col("documents.version").alias("versions"), F.col("documents.standard").alias("standard_numbers"))
+
+
+def matched_terms(results: DataFrame, candidates: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Adds the sorted terms of its query that occur in a result's whole chunk."""
+    whole = F.concat_ws("\n", *[_folded(c) for c in ("text", "title", "section", "clause")])
+    inside = candidates.select("chunk_id", whole.alias("__whole"))
+    found = results.select("query_id", "chunk_id").join(inside, "chunk_id").join(prepared.select("query_id", "terms"), "query_id").select(
+        "query_id", "chunk_id", F.array_sort(F.filter("terms", lambda t: F.col("__whole").contains(t))).alias("matched_terms"))
+    return results.join(found, ["query_id", "chunk_id"])
 
 
 def search(
     queries: DataFrame, documents: DataFrame, chunks: DataFrame, *, metric_id: str | None = None,
     standard_number: str | None = None, version: str | None = None, source_namespace: str | None = None,
-    limit: int = 5,
+    limit: int = 5, result_chars: int = fixed.MAX_RESULT_CHARS, total_chars: int = fixed.MAX_TOTAL_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(responses, results) for all queries (columns query_id, query) with common filters."""
+    """(responses, results) for all queries (columns query_id, query) with common filters.
+
+    The status of a response is ok, conflict, no_results, or refused for a blank or overlong query.
+    """
     prepared = prepare_queries(queries)
-    bad = prepared.where((F.col("query") == "") | (F.char_length("query") > fixed.MAX_QUERY_CHARS)).limit(1).collect()
-    if bad:
-        raise ValueError(f"query {bad[0].query_id} is empty or longer than {fixed.MAX_QUERY_CHARS} characters")
     kept = filter_documents(documents, standard_number, version, source_namespace)
     candidates = filter_chunks(chunks, kept, metric_id)
-    best = rank(prepared, candidates, limit).select("query_id", "rank", "score", "chunk_id")
-    if prepared.count() <= QUERIES_PER_PASS:  # then at most 200 * 20 short rows
-        best = F.broadcast(best)
-    results = text_budget(candidates.join(best, "chunk_id"))
+    path = scratch_path(prepared.sparkSession, "ranked")
+    rank(prepared, candidates, limit).select("query_id", "rank", "score", "chunk_id").write.parquet(path)
+    best = prepared.sparkSession.read.parquet(path)  # at most limit rows per query
+    results = text_budget(candidates.join(best, "chunk_id"), result_chars, total_chars)
     counts = kept.agg(F.count(F.lit(1)).alias("filtered_document_count")).withColumn("__one", F.lit(1)).join(
         candidates.agg(F.count(F.lit(1)).alias("total_candidate_count")).withColumn("__one", F.lit(1)), "__one")
-    found = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"))
+    found = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.count_if("cut").alias("cut_count"))
+    disagreeing = conflicts(results).select("query_id", "reason")
     responses = (
-        prepared.select("query_id", "query").join(found, "query_id", "left").join(conflicts(results), "query_id", "left")
+        prepared.select("query_id", "query", "problem").join(found, "query_id", "left").join(disagreeing, "query_id", "left")
         .withColumn("__one", F.lit(1)).join(F.broadcast(counts), "__one")
-        .select("query_id", "query", F.when(F.col("reason").isNotNull(), "conflict").when(
-            F.col("result_count") > 0, "ok").otherwise("no_results").alias("status"),
-            F.coalesce("result_count", F.lit(0)).alias("result_count"), "filtered_document_count",
-            "total_candidate_count", "reason"))
+        .select("query_id", "query", F.when(F.col("problem").isNotNull(), "refused").when(
+            F.col("reason").isNotNull(), "conflict").when(F.col("result_count") > 0, "ok").otherwise("no_results").alias("status"),
+            F.coalesce("result_count", F.lit(0)).alias("result_count"), F.coalesce("cut_count", F.lit(0)).alias("cut_count"),
+            "filtered_document_count", "total_candidate_count", F.coalesce("problem", "reason").alias("reason")))
     return responses, results
 
 

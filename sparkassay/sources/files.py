@@ -7,6 +7,7 @@ is one value, so Spark can only parallelise over files there; large data belongs
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,32 +49,80 @@ class Source:
 
 
 # ------------------------------------------------------------------ CSV
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8, then GBK."""
-    lines = spark.read.text(path)
-    return "GBK" if not lines.where(~F.is_valid_utf8("value")).isEmpty() else "UTF-8"
+def file_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, encoding, multi_line) of each text file: its first line that is not blank, the first of UTF-8
+    and GBK in which all its bytes are valid (else null), and whether records may span lines.
+
+    One scan of the raw lines; what each task has seen of a file is merged. GBK is judged by the ranges of its bytes.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), "value")
+    utf8 = F.is_valid_utf8("value")
+    # Bytes as characters of one byte each; what is left without all valid pairs is not GBK.
+    rest = F.regexp_replace(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), r"[\x00-\x7f]|[\x81-\xfe][\x40-\x7e\x80-\xfe]", "")
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    text = F.when(F.length(F.btrim("value", F.lit(" \t\r\n"))) > 0, F.col("value"))
+    # A record with an odd number of quotes in its first line goes on in the next one.
+    found = raw.groupBy("file").agg(
+        F.min_by(text, F.when(text.isNotNull(), F.struct("block", "n"))).alias("header"),
+        F.every(utf8).alias("utf8"), F.every(utf8 | (rest == "")).alias("gbk"),
+        F.some(quotes % 2 == 1).alias("multi_line"))
+    return found.select("file", "header", F.when(F.col("utf8"), "UTF-8").when(F.col("gbk"), "GBK").alias("encoding"), "multi_line")
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str | None:
+    """UTF-8 if all lines are valid, else GBK if they are valid there."""
+    found = {r.encoding for r in file_classes(spark, path).select("encoding").distinct().collect()}
+    return found.pop() if len(found) == 1 else (None if None in found else "GBK")
 
 
 def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     """Whether records may span lines: such a record opens with an odd number of quotes."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
+    return not file_classes(spark, path).where("multi_line").isEmpty()
 
 
 def read_csv(
     spark: SparkSession, path: str, delimiter: str = ",", encoding: str | None = None,
-    multi_line: bool | None = None,
+    multi_line: bool | None = None, typed: bool = False,
 ) -> Source:
-    """CSV with a header; every cell stays text, short records are padded, wide ones are problems.
+    """CSV with headers; short records are padded, wide ones are problems.
 
-    Without quoted newlines the files are read splittably; both that and the encoding are found
-    by a scan of the raw lines unless given.
+    The files of a folder need not agree: those of one header, encoding and kind are read together, the tables are
+    joined by column name, and a column that a file lacks is null there.  Files that are neither UTF-8 nor GBK are problems.
+    Files without quoted newlines are read splittably.  Cells stay text unless ``typed``, see ``type_columns``.
     """
-    encoding = encoding or detect_encoding(spark, path)
+    classes = file_classes(spark, path)
+    if encoding is not None:
+        classes = classes.withColumn("encoding", F.lit(encoding))
+    if multi_line is not None:
+        classes = classes.withColumn("multi_line", F.lit(multi_line))
+    # As many rows as there are kinds of files, with the paths that the driver lists for the scan anyway.
+    groups = classes.groupBy("header", "encoding", "multi_line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    broken = [f for g in groups if g.encoding is None for f in g.files]
+    readable = sorted((g for g in groups if g.encoding is not None and g.header is not None), key=lambda g: g.files[0])
+    if not readable:
+        raise SourceError("the files are neither UTF-8 nor GBK" if broken else "the file has no header")
+    whole = len(groups) == 1
+    sources = [_read_class(spark, path if whole else [unquote(f) for f in g.files], delimiter, g.encoding, g.multi_line) for g in readable]
+    frame, problems = sources[0].frame, sources[0].problems
+    for s in sources[1:]:
+        frame, problems = frame.unionByName(s.frame, allowMissingColumns=True), problems.unionByName(s.problems)
+    if len(sources) > 1:
+        problems = problems.groupBy("reason").agg(F.sum("records").alias("records"))
+    if broken:
+        problems = problems.unionByName(spark.createDataFrame(
+            [("files that are neither UTF-8 nor GBK", len(broken))], "reason string, records bigint"))
+    notes = [f"{sum(len(g.files) for g in readable if g.encoding == e)} files read as {e}" for e in sorted({g.encoding for g in readable} - {"UTF-8"})]
+    lacking = {c for s in sources for c in frame.columns if c not in s.frame.columns}
+    notes += [f"column {c} is missing in some files" for c in frame.columns if c in lacking]
+    return Source(type_columns(frame) if typed else frame, problems, notes)
+
+
+def _read_class(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str, multi_line: bool) -> Source:
+    """Files that share a header; ``problems`` counts wide records and those with NUL characters."""
     if encoding.upper() in ("GBK", "GB18030", "GB2312"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    multi_line = has_quoted_newlines(spark, path) if multi_line is None else multi_line
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # without it Spark refuses these encodings
     options = dict(sep=delimiter, encoding=encoding, multiLine=multi_line, quote='"', escape='"',
                    emptyValue="", maxCharsPerColumn=-1)
     first = spark.read.options(header=False, **options).csv(path).limit(1).collect()
@@ -104,6 +153,77 @@ def read_csv(
     return Source(frame, problems)
 
 
+#: How numbers and truth values are written.
+WHOLE = r"^[+-]?[0-9]+$"
+NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+ENDLESS = r"(?i)^[+-]?inf(inity)?$"
+TRUTH = r"(?i)^(true|false)$"
+BLANKS = " \t\n\x0b\f\r"
+LONG_RANGE = (-(1 << 63), (1 << 63) - 1)
+UNSIGNED_LONG = (1 << 64) - 1
+DOUBLE_DIGITS, DECIMAL_DIGITS = 15, 38
+
+
+def column_kinds(frame: DataFrame) -> DataFrame:
+    """What the cells of each text column are, one row per column: (place, cells, empty, truth, whole, exact, numbers,
+    smallest, largest, digits, scale, plain).
+
+    Cells are taken apart into (column number, cell) and merged in each task, so the plan stays small however
+    wide the table is. Two such rows merge into one by sums, minima and maxima.
+    """
+    columns = [i for i, f in enumerate(frame.schema) if isinstance(f.dataType, T.StringType)]
+    if not columns:
+        columns_array = F.expr("cast(array() as array<struct<place: int, cell: string>>)")
+    else:
+        columns_array = F.array(*[F.struct(F.lit(i).alias("place"), F.col(ref(frame.columns[i])).alias("cell")) for i in columns])
+    cell = F.coalesce("c.cell", F.lit(""))
+    cells = frame.select(F.explode(columns_array).alias("c")).select("c.place", cell.alias("cell"), F.btrim(cell, F.lit(BLANKS)).alias("t"))
+    wide = F.col("t").try_cast("double")
+    written = F.col("t").rlike(NUMBER) & (F.abs(wide) < F.lit(float("inf")))
+    whole = F.col("t").rlike(WHOLE)
+    exact = F.when(whole, F.col("t").try_cast("decimal(38,0)"))
+    whole_digits = F.length(F.regexp_extract("t", r"^[+-]?0*([0-9]*)", 1))
+    scale = F.length(F.regexp_extract("t", r"\.([0-9]*?)0*$", 1))
+    return cells.groupBy("place").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("cell") == "").alias("empty"),
+        F.count_if(F.col("cell").rlike(TRUTH)).alias("truth"), F.count_if(whole).alias("whole"), F.count(exact).alias("exact"),
+        F.count_if(written | F.col("t").rlike(ENDLESS)).alias("numbers"),
+        F.min(exact).alias("smallest"), F.max(exact).alias("largest"),
+        F.max(F.when(written, whole_digits)).alias("digits"), F.max(F.when(written, scale)).alias("scale"),
+        F.every(F.col("t").rlike(r"^[+-]?[0-9.]+$")).alias("plain"))
+
+
+def _kind_of(k) -> str | None:
+    """The type that holds all cells of a column without loss, None for text."""
+    if not k.cells or k.empty:
+        return None
+    if k.truth == k.cells:
+        return "boolean"
+    if k.whole == k.cells:
+        if k.exact < k.cells:
+            return None
+        if LONG_RANGE[0] <= k.smallest and k.largest <= LONG_RANGE[1]:
+            return "bigint"
+        return "decimal(20,0)" if k.smallest >= 0 and k.largest <= UNSIGNED_LONG else None
+    if k.numbers != k.cells:
+        return None
+    if k.plain and DOUBLE_DIGITS < k.digits + k.scale <= DECIMAL_DIGITS:
+        return f"decimal({k.digits + k.scale},{k.scale})"
+    return "double"
+
+
+def type_columns(frame: DataFrame) -> DataFrame:
+    """Text columns whose every cell is written as a number or truth value get that type; one pass over the cells.
+
+    Whole numbers become bigint, or decimal(20,0) above its range up to 2^64; other numbers double, or a decimal where plain
+    digits would be lost in a double. A column with an empty or absent cell, or with any other cell, stays text.
+    """
+    kinds = {k.place: _kind_of(k) for k in column_kinds(frame).collect()}  # one row per column
+    return frame.select(*[
+        F.btrim(F.col(ref(c)), F.lit(BLANKS)).cast(kinds[i]).alias(c) if kinds.get(i) else F.col(ref(c))
+        for i, c in enumerate(frame.columns)])
+
+
 def _problem_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
     one = df.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(flags.values())])
     return one.select(F.explode(F.array(*[

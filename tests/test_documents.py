@@ -127,14 +127,55 @@ def test_search_matches_brute_force(spark):
     assert status[9] == status[10] == "no_results" and status[0] in ("ok", "conflict")
 
 
-def test_many_query_blocks(spark, monkeypatch):
+def test_one_plan_for_any_number_of_queries(spark):
     docs, chunks = kb(spark, [("a.md", "alpha beta"), ("b.md", "beta gamma")])
-    queries = spark.createDataFrame([(i, w) for i, w in enumerate(["alpha", "beta", "gamma", "beta gamma"] * 3)],
-                                    "query_id long, query string")
-    want = sorted(tuple(r) for r in R.search(queries, docs, chunks)[1].select("query_id", "rank", "chunk_id").collect())
-    monkeypatch.setattr(R, "QUERIES_PER_PASS", 4)
-    got = sorted(tuple(r) for r in R.search(queries, docs, chunks)[1].select("query_id", "rank", "chunk_id").collect())
-    assert got == want
+    texts = ["alpha", "beta", "gamma", "beta gamma"]
+    many = spark.createDataFrame([(i, texts[i % 4]) for i in range(1000)], "query_id long, query string")
+    few = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    found = lambda q: {(r.query_id, r["rank"], r.chunk_id) for r in R.search(q, docs, chunks)[1].collect()}
+    want = found(few)
+    assert found(many) == {(4 * k + i, n, c) for i, n, c in want for k in range(250)}
+
+
+def test_limit_is_applied_before_the_shuffle(spark):
+    docs, chunks = kb(spark, [(f"{i}.md", f"word{i} common text") for i in range(300)])
+    ranked = R.rank(R.prepare_queries(one(spark, "common text")), R.filter_chunks(chunks, docs), 3)
+    rows = ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    limits = re.findall(r"WindowGroupLimit \[query_id.*?\], row_number\(\), 3, (\w+)", plan)
+    assert "Partial" in limits and "Final" in limits and len(rows) == 3
+    assert not re.search("MapInPandas|MapInArrow|PythonUDF|EvalPython", plan)
+
+
+def test_long_runs_and_grams(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh./-") for _ in range(60_000))
+    cjk = "".join(chr(0x4E00 + rng.randrange(300)) for _ in range(30_000))
+    docs, chunks = kb(spark, [("a.md", "short ab")])
+    chunks = chunks.limit(1).select(*[F.lit(long + " " + cjk).alias(c) if c == "text" else F.col(c) for c in chunks.columns])
+    places = [0, 18_400, 18_432, 24_570, 36_860, 59_980]
+    asked = [long[p:p + n] for p in places for n in (2, 3, 20, 1999)] + [cjk[p // 3:p // 3 + 2] for p in places] + ["zz9", "\u9fff"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    found = {r.query_id: r.score for r in R.score(R.prepare_queries(queries), R.filter_chunks(chunks, docs)).collect()}
+    row = R.filter_chunks(chunks, docs).first()
+    for i, q in enumerate(asked):
+        assert found.get(i, 0.0) == pytest.approx(brute_score(q, row)), q
+
+
+def test_conflict_documents_and_matched_terms(spark):
+    docs, chunks = kb(spark, [("v1.md", V1), ("v2.md", V1.replace("版本：v1", "版本：v2"))])
+    query = one(spark, "service_name 必须填写 nowhere")
+    responses, results = R.search(query, docs, chunks, result_chars=5)
+    conflict = R.conflicts(results).first()
+    assert conflict.document_ids == sorted(conflict.document_ids) and len(conflict.document_ids) == 2
+    assert sorted(conflict.versions) == ["v1", "v2"] and len(conflict.document_labels) == len(conflict.standard_numbers) == 2
+    assert responses.first().cut_count == responses.first().result_count > 0
+    assert all(r.cut and len(r.text) == 5 for r in results.collect())
+    prepared, candidates = R.prepare_queries(query), R.filter_chunks(chunks, docs)
+    for r in R.matched_terms(results, candidates, prepared).collect():
+        whole = candidates.where(F.col("chunk_id") == r.chunk_id).first()
+        inside = [t for t in prepared.first().terms if any(t in (x or "").casefold() for x in (whole.text, whole.title, whole.section, whole.clause))]
+        assert r.matched_terms == sorted(inside) and "nowhere" not in inside
 
 
 def one(spark, text):
@@ -161,8 +202,10 @@ def test_retrieval_goldens(spark):
     assert [r.problem for r in R.evidence_problems(twisted, results).collect()] == ["other document version"]
     chosen = spark.createDataFrame([(1, "chunk-x")], "query_id long, chunk_id string")
     assert R.missing_choices(chosen, results).count() == 1
-    with pytest.raises(ValueError):
-        R.search(one(spark, " "), docs, chunks)
+    mixed = spark.createDataFrame([(1, " "), (2, "x" * 2001), (3, None), (4, "service_name")], "query_id long, query string")
+    responses = {r.query_id: r for r in R.search(mixed, docs, chunks, version="v1")[0].collect()}
+    assert [responses[i].status for i in (1, 2, 3, 4)] == ["refused", "refused", "refused", "ok"]
+    assert "empty" in responses[1].reason and "longer" in responses[2].reason and responses[4].reason is None
 
 
 def test_text_budget(spark):

@@ -1,6 +1,7 @@
 """File sources on small files with known contents."""
 
 import json
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,81 @@ def test_csv(spark, tmp_path):
     assert rows(S.read_csv(spark, gbk).checked()) == [("政务", "1")]
 
 
+TYPED = {
+    "bigint": (["1", "01", " 2 ", "+3", "-9223372036854775808"], [1, 1, 2, 3, -(1 << 63)]),
+    "decimal(20,0)": (["9223372036854775808", "1"], [Decimal(1 << 63), Decimal(1)]),
+    "double": (["1", "1.0", "1e3", ".5", "-Inf"], [1.0, 1.0, 1000.0, 0.5, float("-inf")]),
+    "decimal(17,1)": (["9007199254740993", "9007199254740992.0", "1.5"], [Decimal("9007199254740993.0"), Decimal("9007199254740992.0"), Decimal("1.5")]),
+    "boolean": (["True", "false", "TRUE"], [True, False, True]),
+}
+UNTYPED = [["1", ""], ["nan", "1"], ["9223372036854775808", "-1"], ["99999999999999999999", "1"], ["1_000"], ["0x10"], ["1e400", "2"],
+           ["1 2"], ["--1"], ["true", "1"], ["1d"], [" ", "1"], ["NA", "2"], ["1,5"], ["9" * 40, "1"], ["١"]]
+
+
+def test_csv_types(spark, tmp_path):
+    for i, (kind, (cells, values)) in enumerate(TYPED.items()):
+        path = put(tmp_path, f"t{i}.csv", "n,s\n" + "".join(f"{c},x\n" for c in cells))
+        df = S.read_csv(spark, path, typed=True).checked()
+        assert df.schema["n"].dataType.simpleString() == kind and df.schema["s"].dataType.simpleString() == "string"
+        assert [r.n for r in df.collect()] == values
+    wide = spark.createDataFrame([tuple((c * 9)[i] for c in UNTYPED) for i in range(2)], [f"c{i}" for i in range(len(UNTYPED))])
+    cells = [[r[i] for r in wide.collect()] for i in range(len(UNTYPED))]
+    df = S.type_columns(wide)
+    assert {t for _, t in df.dtypes} == {"string"} and [[r[i] for r in df.collect()] for i in range(len(UNTYPED))] == cells
+    assert S.type_columns(wide.limit(0)).dtypes == wide.dtypes
+    many = spark.range(50).select(*[(F.col("id") + i).cast("string").alias(f"c{i}") for i in range(400)])
+    assert {t for _, t in S.type_columns(many).dtypes} == {"bigint"}
+
+
+def test_csv_folder_of_different_files(spark, tmp_path):
+    put(tmp_path, "a.csv", "id,name,note\n1,a,x\n2,b,y\n")
+    put(tmp_path, "b.csv", "\n  \nname,id,note\nc,3,z\n")
+    put(tmp_path, "c 1.csv", "name,id,extra\n政务,4,e\n", "gbk")
+    put(tmp_path, "d.csv", 'id,name,note\n5,"two\nlines",w\n')
+    source = S.read_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, source.checked().select("id", "name", "note", "extra").collect())) == [
+        ("1", "a", "x", None), ("2", "b", "y", None), ("3", "c", "z", None), ("4", "政务", None, "e"), ("5", "two\nlines", "w", None)]
+    assert "1 files read as GBK" in source.notes and "column extra is missing in some files" in source.notes
+    put(tmp_path, "e.csv", "id,name,note\n6,é,q\n", "latin-1")
+    source = S.read_csv(spark, str(tmp_path))
+    assert source.frame.count() == 5
+    with pytest.raises(S.SourceError, match="neither UTF-8 nor GBK: 1"):
+        source.checked()
+    assert S.detect_encoding(spark, str(tmp_path / "e.csv")) is None
+    with pytest.raises(S.SourceError, match="neither"):
+        S.read_csv(spark, str(tmp_path / "e.csv"))
+
+
+def test_typed_cells_reach_rules_and_metrics(spark, tmp_path):
+    import datetime as dt
+
+    from sparkassay.operators import metrics as M
+    from sparkassay.operators import rules as U
+    from sparkassay.plans.rulebook import Rule
+
+    path = put(tmp_path, "n.csv", "id,size,other\n1,10,9007199254740993\n01,10.0,9007199254740992\n+2,7,9007199254740993\n")
+    day = dt.date(2026, 7, 17)
+
+    def issues(typed, rule, metric):
+        df = S.read_csv(spark, path, typed=typed).checked()
+        return U.evaluate_rules(df, [rule], day).where(F.col("metric_id") == metric).first().issue_count
+
+    key, wide = Rule("primary_key", ("id",)), Rule("primary_key", ("other",))
+    allowed = Rule("allowed_values", ("size",), {"allowed_values": [10]})
+    needed = Rule("conditional_required", ("size", "id"), {"condition_values": [10]})
+    assert issues(True, key, "business_primary_key_compliance") == 2 and issues(False, key, "business_primary_key_compliance") == 0
+    assert issues(True, wide, "business_primary_key_compliance") == 2  # 2^53 + 1 is not 2^53
+    assert issues(True, allowed, "business_allowed_values_compliance") == 1 and issues(False, allowed, "business_allowed_values_compliance") == 3
+    typed = S.read_csv(spark, path, typed=True).checked()
+    row = U.evaluate_rules(typed, [needed], day).first()
+    assert (row.checked_count, row.issue_count) == (2, 0)
+    pairs = put(tmp_path, "p.csv", "a,b\n1,x\n01,x\n1.0,x\n2,x\n")
+    for metric in ("exact_duplicate_rate", "normalized_duplicate_rate"):
+        for kind, n in ((True, 2), (False, 0)):
+            found = M.calculate_metrics(S.read_csv(spark, pairs, typed=kind).checked(), day, [metric]).first()
+            assert found.issue_count == n, (metric, kind)
+
+
 def test_json_records(spark, tmp_path):
     path = put(tmp_path, "a.json", '[{"b": 1, "a": "x", "n": 12345678901234567890}, {"a": null, "z": 1.5, "b": true}]')
     df = S.read_json_records(spark, path).checked()
