@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.llm.storage import staged
-from sparkassay.llm.url_cascade import bit_words, passes
+from sparkassay.llm.lsh_forest import among
+from sparkassay.llm.storage import free_name, staged
 from sparkassay.llm.words import LETTERS, LOWER, grams, hashed, mix, whole
 
 GRAM = 3
@@ -39,7 +39,6 @@ LONGEST_TRIED = 1000
 LEAST_REPETITIONS = 8
 MOST_REPETITIONS = 256
 BLOCK_WORDS = 500_000
-FILTER_BITS = 1 << 24
 SEED = 11
 _PAD = np.uint64(0)
 
@@ -302,9 +301,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, all columns as they were."""
-    gone = staged(leaks(docs, items).select("node").distinct(), "leaks")
-    bits = staged(bit_words(gone.select(F.col("node").alias("key")), 0, FILTER_BITS), "leak-bits").scalar()
-    named = docs.withColumn("__node", F.xxhash64("text"))
-    maybe = passes(F.col("__node"), 0, FILTER_BITS, bits)  # spares the others the join
-    left = named.where(maybe).join(gone.select(F.col("node").alias("__gone")), F.col("__node") == F.col("__gone"), "left_anti")
-    return named.where(~maybe).union(left).drop("__node")
+    gone = staged(leaks(docs, items).select(F.col("node").alias("key")).distinct(), "leaks")
+    name, gone_node = free_name(docs, "node"), free_name(docs, "gone_node")
+    named = docs.withColumn(name, F.xxhash64("text"))
+    maybe = among(gone, F.col(name), "leak-bits")  # spares the others the join
+    left = named.where(maybe).join(gone.select(F.col("key").alias(gone_node)), F.col(name) == F.col(gone_node), "left_anti")
+    return named.where(~maybe).union(left).drop(name)

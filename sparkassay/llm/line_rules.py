@@ -19,6 +19,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkassay.llm.storage import quoted
+
 SPACE = " \t\n\x0b\f\r"
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent
@@ -111,26 +113,24 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def _kept(docs: DataFrame) -> DataFrame:
-    """The kept rows with their judgement.
+    """The kept rows of docs as a struct column row, so that no name of theirs can clash, with their judgement.
 
     The verdict goes through a one-element array: a filter on a generated column stays where it is, while one on the
     expression itself would be pushed below the steps and compute all of them again for each mention.
     """
-    table = judged(docs).withColumn("__kept", F.explode(F.array(F.col("judgement")["kept"])))
-    return table.where("__kept").drop("__kept")
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), "text")
+    return judged(rows).withColumn("verdict", F.explode(F.array(F.col("judgement")["kept"]))).where("verdict")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept rows with their clean lines as text (joined by one line break); other columns as they were."""
-    table = _kept(docs.withColumnRenamed("judgement", "__judgement"))
-    table = table.withColumn("text", F.array_join(F.col("judgement")["clean"], "\n")).drop("judgement")
-    return table.withColumnRenamed("__judgement", "judgement").select(docs.columns)
+    text = F.array_join(F.col("judgement")["clean"], "\n")
+    return _kept(docs).select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows, all columns as they were."""
-    table = _kept(docs.withColumnRenamed("judgement", "__judgement")).drop("judgement")
-    return table.withColumnRenamed("__judgement", "judgement").select(docs.columns)
+    return _kept(docs).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 _MARKS = "length(regexp_replace(l, '[^#*$%&|<>!]', '', 'g'))"

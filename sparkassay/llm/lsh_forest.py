@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.components import components
-from sparkassay.llm.storage import staged
+from sparkassay.llm.storage import free_name, staged
 from sparkassay.llm.url_cascade import bit_words, passes
 from sparkassay.llm.words import AS_IS, NOT_SPACE, grams, hashed, whole
 
@@ -40,7 +40,8 @@ MAX_DEPTH = 12
 POOL = 128
 TARGET = 0.999
 BLOCK = 384
-FILTER_BITS = 1 << 24  # a fixed two MB, however many keys: it only spares shuffles, joins decide
+FILTER_BITS = 1 << 24  # at most two MB, however many keys: it only spares shuffles, joins decide
+BITS_EACH = 12  # of a key, in a smaller filter
 SEED = 7
 
 
@@ -145,6 +146,13 @@ def _node(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def among(keys: DataFrame, key: Column, name: str) -> Column:
+    """A condition that holds for all keys (a written table with a column key) and for few others. The bits are written and sent once."""
+    bits = min(FILTER_BITS, max(64, -(-keys.count() * BITS_EACH // 64) * 64))
+    words = staged(bit_words(keys, 0, bits), name).scalar()
+    return passes(key, 0, bits, words)
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, class_id, n_links) of every row of docs, staged; and (node, copies) of each text.
 
@@ -162,8 +170,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = staged(dealt, "candidates")
     first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     chosen = dealt.join(first, "node")
-    known = staged(bit_words(dealt.select(F.col("node").alias("key")), 0, FILTER_BITS), "candidate-bits").scalar()
-    sets = (docs.select("doc_id", "text", _node(text).alias("node")).where(passes(F.col("node"), 0, FILTER_BITS, known))
+    sets = (docs.select("doc_id", "text", _node(text).alias("node"))
+            .where(among(dealt.select(F.col("node").alias("key")), F.col("node"), "candidate-bits"))
             .join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
             .dropDuplicates(["node"]).select("node", "root", "blocks", shingle_set(text).alias("shingles")))
     block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
@@ -191,16 +199,15 @@ def join_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id, one of repeated rows. Rows without words all stay;
-    of a class without any doc_id one row of each text stays."""
+    of a class without any doc_id one row of each text stays. Columns of any name stay as they are."""
     judged, _ = classes(docs)
-    name = "__node"
+    name, gone_id, gone_node = (free_name(docs, n) for n in ("node", "gone_id", "gone_node"))
     gone = judged.where(~F.col("alone") & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node")
     repeated = (judged.where("NOT alone").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "node"))
-    touched = gone.select(F.col("node").alias("key")).union(repeated.select(F.col("node").alias("key"))).distinct()
-    bits = staged(bit_words(touched, 0, FILTER_BITS), "touched-bits").scalar()
+    touched = staged(gone.select(F.col("node").alias("key")).union(repeated.select(F.col("node").alias("key"))).distinct(), "touched")
     named = docs.withColumn(name, _node(F.col("text")))
-    maybe = passes(F.col(name), 0, FILTER_BITS, bits) & F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "", F.lit(False))
-    out = gone.select(F.col("doc_id").alias("__gone"), F.col("node").alias("__gone_node")).distinct()
-    left = (named.where(maybe).join(out, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col(name) == F.col("__gone_node")), "left_anti")
+    maybe = among(touched, F.col(name), "touched-bits") & F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "", F.lit(False))
+    out = gone.select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
+    left = (named.where(maybe).join(out, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(name) == F.col(gone_node)), "left_anti")
             .dropDuplicates(["doc_id", name]))
     return named.where(~maybe).union(left).drop(name)

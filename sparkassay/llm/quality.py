@@ -158,11 +158,13 @@ def fit(rows: DataFrame) -> QualityModel:
                 "cell": pa.array(np.arange(len(upper[0])), pa.int32()), "value": pa.array(total[upper])})
 
     cells = (rows.select("x", "y", "fold").mapInArrow(partition_sums, "fold int, cell int, value double")
-             .groupBy("fold", "cell").agg(F.sum("value").alias("value")).toPandas())
+             .groupBy("fold", "cell").agg(F.sum("value").alias("value")).toArrow())
+    folds, cell, value = (cells.column(c).to_numpy() for c in ("fold", "cell", "value"))
     by_fold = {}
-    for fold, part in cells.groupby("fold"):
+    for fold in np.unique(folds):
+        own = folds == fold
         total = np.zeros((width, width))
-        total[upper[0][part["cell"]], upper[1][part["cell"]]] = part["value"]
+        total[upper[0][cell[own]], upper[1][cell[own]]] = value[own]
         by_fold[int(fold)] = total + np.triu(total, 1).T
     everything = sum(by_fold.values())
 

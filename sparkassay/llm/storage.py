@@ -38,3 +38,15 @@ def staged(table: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def free_name(table: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -496,3 +496,19 @@ def test_pipeline_stages_keep_columns(spark, data):
             assert 0 < docs.count() <= count
             count = docs.count()
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() == count
+
+
+# ---------------------------------------------------------------- columns of any name
+def test_filters_keep_columns_of_any_name(spark):
+    text = " ".join(_words(3, 60)) + "."
+    names = ["__node", "node", "__kept", "__judged_words", "judgement", "verdict", "row", "gone_id", "gone_node", "__gone", "a.b"]
+    docs = _documents(spark, [(1, text), (1, text), (2, text + " more"), (3, None), (None, "short"), (4, " ".join(_words(9, 80)))])
+    docs = docs.select("doc_id", "text", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    items = spark.createDataFrame([(1, " ".join(_words(9, 80)))], "item_id bigint, text string")
+    for kept, ids in ((lsh_forest.keep_one(docs), [None, 1, 3, 4]), (decontaminate.keep_clean(docs, items), [None, 1, 1, 2, 3]),
+                      (line_rules.keep_good(docs), [1, 1, 2, 4])):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i)) == ids
+        assert all(r[n] == (None if r.doc_id is None else f"{n} {r.doc_id}") for r in rows for n in names)
+    assert line_rules.cleaned(docs).columns == docs.columns
