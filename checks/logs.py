@@ -132,6 +132,15 @@ def log2(spark, sf):
     return L.trailing_rate(load(spark, sf, "events"), "event_type", "ts", 2).select("event_id", "calls_in_window", "over_limit")
 
 
+@check("log2_trailing_stream", """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS calls_in_window,
+  count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) > 2 AS over_limit FROM events""")
+def log2_trailing_stream(spark, sf):
+    """The stream's flags are those of the batch, row by row, up to the newest call."""
+    stream = event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp")).select("event_id", "event_type", "at")
+    found = U.trailing_rate_table(spark, stream, "event_type", "at", 2, late="400 days")
+    return found.select("event_id", "calls_in_window", "over_limit")
+
+
 @check("log2_rate_stream", """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS calls, count(*) > 3 AS over_limit FROM events GROUP BY 1, 2""")
 def log2_stream(spark, sf):
     stream = event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))

@@ -71,6 +71,18 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     )
 
 
+@cache
+def _perhaps_special() -> str:
+    """A class of characters with all those whose folding is not their lower case, in few ranges."""
+    source, _, multiples = _fold_tables()
+    points = sorted({ord(x) for x in source} | {ord(a) for a, _ in multiples if a != "ß"})
+    starts = [points[0]] + [b for a, b in zip(points, points[1:]) if b - a > 0x80]
+    ends = [a for a, b in zip(points, points[1:]) if b - a > 0x80] + [points[-1]]
+    # Named by the ranges between them, the most common one first: a match ends at the first that fits.
+    safe = zip([0] + [e + 1 for e in ends], [x - 1 for x in starts] + [0x10FFFF])
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in safe) + "]"
+
+
 def casefold(c: Column) -> Column:
     """Full Unicode case folding: ``lower`` plus the characters where folding goes further."""
     source, target, multiples = _fold_tables()
@@ -83,7 +95,9 @@ def casefold(c: Column) -> Column:
     pairs = F.expr("array(" + ", ".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in rare) + ")")
     expanded = F.aggregate(pairs, F.translate(low, source, target), lambda t, p: F.replace(t, p["a"], p["b"]))
     ascii_only = F.octet_length(c) == F.char_length(c)
-    return F.when(ascii_only, F.lower(c)).when(marked.contains("\uffff"), expanded).otherwise(marked)
+    # Most text holds none of these letters; finding that out is far cheaper than translating it.
+    special = low.rlike(_perhaps_special())
+    return F.when(ascii_only, F.lower(c)).when(~special, low).when(marked.contains("\uffff"), expanded).otherwise(marked)
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..functions import values as V
+from ..plans import skew
+from ..session import written
 
 # --- fixed values ------------------------------------------------------------------------
 RATE_LIMIT = 120
@@ -41,20 +43,43 @@ def trailing_rate(
     """Calls with the number of calls of their key in the last ``seconds``, and whether that
     exceeds the limit.  Calls without a time are in no window: both answers are null.
 
-    A window over a whole key would gather a hot key's history in one task.  Each call is dealt
-    to its own time slot and, as history, to the next one, so a window spans two slots of a key.
+    The count is a difference of running totals.  Time is cut into slots as long as the window; the window of a call
+    at t is its slot up to t, and the slot before after t minus the window, which is the same place there.  Running totals are nested: over
+    the moments of a millisecond, the milliseconds of a second, and the seconds of a slot, of sums that every task has made
+    beforehand.  So no task holds more than a thousand rows of a key together, however many calls the key has.
     """
-    stamp = F.col(ts).cast("timestamp_ntz")
-    micros = F.unix_micros(F.to_timestamp(stamp))
     width = seconds * 1_000_000
-    slotted = calls.withColumn("__micros", micros).withColumn("__slot", F.floor(F.col("__micros") / width))
-    copies = F.when(F.col("__micros").isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-    dealt = slotted.withColumn("__own", F.explode(copies)).withColumn(
-        "__slot", F.when(F.col("__own"), F.col("__slot")).otherwise(F.col("__slot") + 1))
-    recent = W.partitionBy(key, "__slot").orderBy("__micros").rangeBetween(-(width - 1), 0)
-    in_window = F.when(F.col("__micros").isNotNull(), F.count(F.lit(1)).over(recent))
-    counted = dealt.withColumn("calls_in_window", in_window).where("__own")
-    return counted.withColumn("over_limit", F.col("calls_in_window") > limit).drop("__micros", "__slot", "__own")
+    stamp = F.unix_micros(F.to_timestamp(F.col(ts).cast("timestamp_ntz")))
+    calls = calls.withColumn("__key", F.struct(key)).withColumn("__at", stamp)  # a null key is a key of its own
+    moments = calls.where("__at is not null").groupBy("__key", "__at").agg(F.count(F.lit(1)).alias("n"))
+    # Both ends of every window, the earlier ones without calls of their own.
+    ends = moments.unionByName(moments.select("__key", (F.col("__at") - width).alias("__at"), F.lit(0).cast("bigint").alias("n")))
+    ends = ends.groupBy("__key", "__at").agg(F.sum("n").alias("n"))
+    levels = {"__milli": F.floor(F.col("__at") / 1000), "__second": F.floor(F.col("__at") / 1_000_000), "__slot": F.floor(F.col("__at") / width)}
+    ends = written(ends.withColumns(levels), "moments")
+
+    def up_to(part: str, order: str, last: int) -> Column:
+        window = W.partitionBy("__key", part).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+        return F.coalesce(F.sum("n").over(window), F.lit(0))
+
+    millis = ends.groupBy("__key", "__milli", "__second", "__slot").agg(F.sum("n").alias("n"))
+    secs = millis.groupBy("__key", "__second", "__slot").agg(F.sum("n").alias("n"))
+    slots = secs.groupBy("__key", "__slot").agg(F.sum("n").alias("total"))
+    before_milli = millis.select("__key", "__milli", up_to("__second", "__milli", -1).alias("before_milli"))
+    before_second = secs.select("__key", "__second", up_to("__slot", "__second", -1).alias("before_second"))
+    running = ends.withColumn("within", up_to("__milli", "__at", 0)).join(before_milli, ["__key", "__milli"]).join(
+        before_second, ["__key", "__second"])
+    running = written(running.select("__key", "__at", "__slot", (F.col("within") + F.col("before_milli") + F.col("before_second")).alias("so_far")), "running")
+    start = running.select("__key", (F.col("__at") + width).alias("__at"), F.col("so_far").alias("earlier"))
+    previous = slots.select("__key", (F.col("__slot") + 1).alias("__slot"), "total")
+    counted = running.join(start, ["__key", "__at"]).join(previous, ["__key", "__slot"], "left").join(moments, ["__key", "__at"]).select(
+        F.struct("__key", "__at").alias("__moment"), F.col("n").alias("group_size"),
+        (F.col("so_far") + F.coalesce("total", F.lit(0)) - F.col("earlier")).alias("calls_in_window"))
+    timed = calls.where("__at is not null").withColumn("__moment", F.struct("__key", "__at"))
+    answered = skew.join_back(timed, counted, "__moment").drop("__moment", "group_size")
+    untimed = calls.where("__at is null").withColumn("calls_in_window", F.lit(None).cast("bigint"))
+    both = answered.unionByName(untimed).drop("__key", "__at")
+    return both.withColumn("over_limit", F.col("calls_in_window") > limit)
 
 
 def transition_audit(log: DataFrame, allowed: DataFrame, start: str, current: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ query and a million.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +18,7 @@ from ..functions import fixed
 from ..functions import text as X
 from ..functions import values as V
 from ..plans import skew
-from ..session import scratch_path
+from ..session import written
 
 
 # ------------------------------------------------------------------ filters
@@ -47,7 +49,6 @@ def filter_chunks(chunks: DataFrame, documents: DataFrame, metric_id: str | None
 
 
 # ------------------------------------------------------------------ postings
-_CHUNK = ["document_id", "ordinal", "chunk_id", "table_row"]
 IN_TEXT, IN_TITLE, IN_PLACE = 1, 2, 4
 PHRASE_POINTS, TABLE_POINTS = 4.0, 0.15
 # A longer run of word characters is indexed in windows.  They overlap by more bytes than a folded query has,
@@ -64,36 +65,59 @@ def _bytes_of(c: Column, start: Column, length: Column | int) -> Column:
     return F.substring(c.cast("binary"), start, length if isinstance(length, Column) else F.lit(length)).cast("string")
 
 
-def _runs(folded: Column) -> Column:
-    """Distinct runs of word characters and of CJK characters; every search term lies within one."""
-    runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([a-z0-9_./:-]{2,}|[㐀-鿿]+)"), F.lit(1)))
-    long = lambda r: F.octet_length(r) > WINDOW
-
-    def windows(r: Column) -> Column:
-        last = ((F.octet_length(r) - 1) / STEP).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: _bytes_of(r, i * STEP + 1, WINDOW))
-
-    cut = F.flatten(F.transform(runs, lambda r: F.when(long(r), windows(r)).otherwise(F.array(r))))
-    return F.when(F.exists(runs, long), cut).otherwise(runs)
-
+def _windows(run: Column) -> Column:
+    last = ((F.octet_length(run) - 1) / STEP).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: _bytes_of(run, i * STEP + 1, WINDOW))
 
-def postings(candidates: DataFrame) -> DataFrame:
-    """(chunk columns, word, field): the words of each candidate chunk's text, title, section and clause."""
-    place = F.concat_ws("\n", _folded("section"), _folded("clause"))
 
-    def marked(c: Column, field: int) -> Column:
-        return F.transform(_runs(c), lambda w: F.struct(w.alias("word"), F.lit(field).alias("field")))
+@dataclass
+class Index:
+    """Candidates prepared for any number of searches, written once.
 
-    words = F.concat(marked(_folded("text"), IN_TEXT), marked(_folded("title"), IN_TITLE), marked(place, IN_PLACE))
-    return candidates.select(*_CHUNK, F.explode(words).alias("w")).select(*_CHUNK, "w.word", "w.field")
+    ``chunks`` (no, document_id, ordinal, chunk_id, table_row) numbers them in the order of document and ordinal;
+    ``postings`` (no, field, word) has the distinct runs of word characters and of CJK characters in a chunk's text,
+    title, section and clause; ``grams`` (gram, word, n) the runs of two and three characters (one and two of CJK) of each
+    distinct word with the number of its postings.  Every search term lies within one word.
+    """
+    candidates: DataFrame
+    chunks: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+
+
+def index(candidates: DataFrame) -> Index:
+    order = ["document_id", "ordinal", "chunk_id"]
+    chunks = written(candidates.select(*order, "table_row").orderBy(*order).select(
+        F.monotonically_increasing_id().alias("no"), *order, "table_row"), "search-chunks")
+    place = F.concat_ws("\n", "section", "clause")
+    fields = {"text": (F.col("text"), IN_TEXT), "title": (F.col("title"), IN_TITLE), "place": (place, IN_PLACE)}
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([a-z0-9_./:-]{2,}|[㐀-鿿]+)"), F.lit(1)))
+    # Step by step, so that nothing is computed twice.
+    rows = candidates.select("chunk_id", *[F.coalesce(c, F.lit("")).alias(n) for n, (c, _) in fields.items()])
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Whole texts are fewer bytes than their words, so they are dealt before they are taken apart.
+    rows = rows.join(chunks.select("chunk_id", "no"), "chunk_id").drop("chunk_id").repartition(parts, "no")
+    rows = rows.select("no", *[V.casefold(F.col(n)).alias(n) for n in fields])
+    rows = rows.select("no", *[runs(F.col(n)).alias(n) for n in fields])
+    long = lambda r: F.octet_length(r) > WINDOW
+    cut = lambda c: F.flatten(F.transform(c, lambda r: F.when(long(r), _windows(r)).otherwise(F.array(r))))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.exists(n, long), cut(F.col(n))).otherwise(F.col(n)).alias("words"))
+                     for n, (_, f) in fields.items()])
+    found = rows.select("no", F.explode(each).alias("e")).select("no", "e.field", F.explode("e.words").alias("word"))
+    postings = written(found, "search-postings")
+    words = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "word")
+    longest = _longest_gram(F.col("word"))
+    grams = _grams(words, "word", F.array(longest - 1, longest)).select("gram", "word", "n")
+    return Index(candidates, chunks, postings, written(grams.sortWithinPartitions("gram"), "search-grams"))
 
 
-def _grams(word: Column, sizes: Column) -> Column:
-    """Distinct runs of so many characters of a word of one kind of characters."""
+def _grams(words: DataFrame, word: str, sizes: Column) -> DataFrame:
+    """words with a row for every run (gram) of so many characters of a word of one kind of characters."""
     width = (F.octet_length(word) / F.char_length(word)).cast("int")
-    each = F.transform(sizes, lambda k: F.when(F.char_length(word) >= k, F.transform(
-        F.sequence(F.lit(0), F.char_length(word) - k), lambda i: _bytes_of(word, i * width + 1, k * width))))
-    return F.array_distinct(F.flatten(F.array_compact(each)))
+    at = words.select("*", F.explode(sizes).alias("__k"), width.alias("__width")).where(F.char_length(word) >= F.col("__k"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.char_length(word) - F.col("__k"))).alias("__i"))
+    gram = _bytes_of(F.col(word), F.col("__i") * F.col("__width") + 1, F.col("__k") * F.col("__width"))
+    return at.withColumn("gram", gram).drop("__k", "__width", "__i")
 
 
 def _longest_gram(word: Column) -> Column:
@@ -101,19 +125,16 @@ def _longest_gram(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), 3).otherwise(2)
 
 
-def lookup(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, n, terms): which of the distinct terms each indexed word contains; words (word, n) without any are left out.
-
-    A gram index over the words answers it: every term meets the words that hold its rarest gram.
+def lookup(terms: DataFrame, grams: DataFrame) -> DataFrame:
+    """(word, n, terms): numbers (tid) of the distinct terms (tid, term) that each word of an index contains; words without
+    any are left out.  Every term meets the words that hold its rarest gram.
     """
-    longest = _longest_gram(F.col("word"))
-    index = words.select("word", "n", F.explode(_grams(F.col("word"), F.array(longest - 1, longest))).alias("gram"))
-    of_term = F.least(F.char_length("term"), _longest_gram(F.col("term")))
-    wanted = terms.select("term", F.explode(_grams(F.col("term"), F.array(of_term))).alias("gram"))
-    counted = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    rarest = wanted.join(counted, "gram", "left").groupBy("term").agg(
-        F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), "gram")).alias("gram"))
-    return index.join(rarest, "gram").where(F.contains("word", "term")).groupBy("word", "n").agg(F.collect_list("term").alias("terms"))
+    wanted = _grams(terms, "term", F.array(F.least(F.char_length("term"), _longest_gram(F.col("term")))))
+    counted = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    # Written, so that Spark knows how small it is when it plans the join.
+    rarest = written(wanted.join(counted, "gram", "left").groupBy("tid", "term").agg(
+        F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)), "gram")).alias("gram")), "rarest-grams")
+    return grams.join(rarest, "gram").where(F.contains("word", "term")).groupBy("word", "n").agg(F.collect_set("tid").alias("terms"))
 
 
 # ------------------------------------------------------------------ scoring
@@ -127,45 +148,50 @@ def prepare_queries(queries: DataFrame, text: str = "query") -> DataFrame:
         V.strip(V.casefold(cleaned)).alias("phrase"), problem.alias("problem"))
 
 
-def score(prepared: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, chunk columns, score) of every pair with a term in common.
+def score(prepared: DataFrame, index: Index) -> DataFrame:
+    """(query_id, no, score) of every pair of a query and a chunk with a term in common.
 
     Whether a term occurs in a chunk is found once for all queries that ask for it.
     """
-    spark = prepared.sparkSession
+    prepared = written(prepared.select("query_id", "phrase", "terms"), "queries")
     asked = prepared.select("query_id", "phrase", F.explode("terms").alias("term"))
-    found = postings(candidates)
-    path = scratch_path(spark, "search-words")
-    lookup(asked.select("term").distinct(), found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))).write.parquet(path)
-    words = spark.read.parquet(path)
-    matched = skew.join_back(found, words, "word", size="n").select(*_CHUNK, "field", F.explode("terms").alias("term")).groupBy(
-        *_CHUNK, "term").agg(F.bit_or("field").alias("fields"))
-    has = lambda field: F.col("fields").bitwiseAND(F.lit(field)) != 0
-    points = sum((F.when(has(f), w).otherwise(0.0) for f, w in ((IN_TITLE, 2.0), (IN_PLACE, 1.5))), F.when(has(IN_TEXT), 1.0).otherwise(0.0))
-    by_terms = matched.withColumn("points", points).join(asked.select("query_id", "term"), "term").select("query_id", *_CHUNK, "points")
+    terms = written(asked.select("term").distinct().select(F.monotonically_increasing_id().alias("tid"), "term"), "terms")
+    words = written(lookup(terms, index.grams), "term-words")
     # A text that holds the phrase holds all terms that are parts of the phrase, so the rarest of them leads to it.
-    held = words.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("held"))
-    leads = asked.where(F.contains("phrase", "term")).join(held, "term").groupBy("query_id", "phrase").agg(
-        F.min_by("term", F.struct("held", "term")).alias("term"))
-    led = matched.where(has(IN_TEXT)).join(leads, "term")
-    texts = candidates.select("chunk_id", "text")
-    phrases = led.where("phrase = term").unionByName(
-        led.where("phrase <> term").join(texts, "chunk_id").where(_folded("text").contains(F.col("phrase"))).drop("text"))
-    by_phrase = phrases.select("query_id", *_CHUNK, F.lit(PHRASE_POINTS).alias("points"))
-    bonus = F.when(F.col("table_row"), F.lit(TABLE_POINTS)).otherwise(F.lit(0.0))
-    return by_terms.unionByName(by_phrase).groupBy("query_id", *_CHUNK).agg(F.sum("points").alias("points")).withColumn(
-        "score", F.col("points") + bonus).drop("points")
-
-
-def rank(prepared: DataFrame, candidates: DataFrame, limit: int = 5) -> DataFrame:
+    held = words.select(F.explode("terms").alias("tid"), "n").groupBy("tid").agg(F.sum("n").alias("rows"))
+    part = F.contains("phrase", "term")
+    lead = F.min(F.when(part, F.struct("rows", "term"))).over(W.partitionBy("query_id"))["term"]
+    asked = written(asked.join(terms, "term").join(held, "tid").withColumn("lead", lead.eqNullSafe(F.col("term"))).select(
+        "query_id", "tid", "lead", (F.col("phrase") == F.col("term")).alias("whole")), "asked")
+    matched = written(skew.join_back(index.postings, words, "word", size="n").select("no", "field", F.explode("terms").alias("tid")).groupBy(
+        "no", "tid").agg(F.bit_or("field").alias("fields")), "term-chunks")
+    has = lambda field: F.col("fields").bitwiseAND(F.lit(field)) != 0
+    given = lambda condition, points: F.when(condition, points).otherwise(0.0)
+    points = (given(has(IN_TEXT), 1.0) + given(has(IN_TITLE), 2.0) + given(has(IN_PLACE), 1.5)
+              + given(has(IN_TEXT) & F.col("whole"), PHRASE_POINTS))
+    by_terms = matched.join(asked, "tid").select("query_id", "no", points.alias("points"))
+    led = written(matched.where(has(IN_TEXT)).join(asked.where("lead and not whole"), "tid").join(
+        prepared.select("query_id", "phrase"), "query_id").select("query_id", "no", "phrase"), "led-chunks")
+    texts = index.chunks.select("no", "chunk_id").join(led.select("no").distinct(), "no").join(
+        index.candidates.select("chunk_id", "text"), "chunk_id")
+    phrases = led.join(texts, "no").where(_folded("text").contains(F.col("phrase"))).select(
+        "query_id", "no", F.lit(PHRASE_POINTS).alias("points"))
+    bonus = index.chunks.select("no", F.when(F.col("table_row"), F.lit(TABLE_POINTS)).otherwise(F.lit(0.0)).alias("bonus"))
+    total = by_terms.unionByName(phrases).groupBy("query_id", "no").agg(F.sum("points").alias("points"))
+    return total.join(bonus, "no").select("query_id", "no", (F.col("points") + F.col("bonus")).alias("score"))
+
+
+def rank(prepared: DataFrame, candidates: DataFrame | Index, limit: int = 5) -> DataFrame:
     """The best ``limit`` chunks per query: score descending, then document id, then ordinal.
 
     Spark applies the limit per query before it shuffles for the window, so at most ``limit`` rows per query leave a task.
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "ordinal", "chunk_id")
-    return score(prepared, candidates).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    found = candidates if isinstance(candidates, Index) else index(candidates)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "no")
+    best = score(prepared, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.join(found.chunks, "no").drop("no")
 
 
 def text_budget(
@@ -227,10 +253,9 @@ def search(
     prepared = prepare_queries(queries)
     kept = filter_documents(documents, standard_number, version, source_namespace)
     candidates = filter_chunks(chunks, kept, metric_id)
-    path = scratch_path(prepared.sparkSession, "ranked")
-    rank(prepared, candidates, limit).select("query_id", "rank", "score", "chunk_id").write.parquet(path)
-    best = prepared.sparkSession.read.parquet(path)  # at most limit rows per query
-    results = text_budget(candidates.join(best, "chunk_id"), result_chars, total_chars)
+    best = written(rank(prepared, candidates, limit).select("query_id", "rank", "score", "chunk_id"), "ranked")
+    # At most limit rows per query, each of at most result_chars characters.
+    results = written(text_budget(candidates.join(best, "chunk_id"), result_chars, total_chars), "results")
     counts = kept.agg(F.count(F.lit(1)).alias("filtered_document_count")).withColumn("__one", F.lit(1)).join(
         candidates.agg(F.count(F.lit(1)).alias("total_candidate_count")).withColumn("__one", F.lit(1)), "__one")
     found = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.count_if("cut").alias("cut_count"))

@@ -63,6 +63,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def written(table, label: str):
+    """A frame written once to the shared folder and read again: a lost executor costs no earlier pass, and Spark
+    knows the size of what it plans with."""
+    path = scratch_path(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Materialise a frame on reliable storage, so later jobs read it instead of recomputing it."""
     spark = df.sparkSession

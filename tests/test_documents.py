@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkassay.functions import fixed
 from sparkassay.operators import documents as D
 from sparkassay.operators import retrieval as R
+from sparkassay.session import written
 
 V1 = """# DB31/T 9999-2026 数据字段要求
 版本：v1
@@ -109,7 +110,7 @@ def test_search_matches_brute_force(spark):
     words = ["name", "字段", "必填", "code", "a1", "服务", "Rule", "cab", "ab", "Straße", "db31/t"]
     texts = [(f"d{i}.md", "# " + " ".join(rng.choices(words, k=3)) + "\n" + " ".join(rng.choices(words, k=20))
               + "\n\n| " + " | ".join(rng.choices(words, k=5))) for i in range(40)]
-    docs, chunks = kb(spark, texts)
+    docs, chunks = (written(x, "kb") for x in kb(spark, texts))
     queries = spark.createDataFrame(
         [(i, " ".join(rng.choices(words, k=k))) for i, k in enumerate([1, 2, 3, 4, 5, 2])] + [(9, "zzzz"), (10, "x")],
         "query_id long, query string")
@@ -138,7 +139,7 @@ def test_one_plan_for_any_number_of_queries(spark):
 
 
 def test_limit_is_applied_before_the_shuffle(spark):
-    docs, chunks = kb(spark, [(f"{i}.md", f"word{i} common text") for i in range(300)])
+    docs, chunks = (written(x, "kb") for x in kb(spark, [(f"{i}.md", f"word{i} common text") for i in range(300)]))
     ranked = R.rank(R.prepare_queries(one(spark, "common text")), R.filter_chunks(chunks, docs), 3)
     rows = ranked.collect()
     plan = ranked._jdf.queryExecution().executedPlan().toString()
@@ -156,7 +157,7 @@ def test_long_runs_and_grams(spark):
     places = [0, 18_400, 18_432, 24_570, 36_860, 59_980]
     asked = [long[p:p + n] for p in places for n in (2, 3, 20, 1999)] + [cjk[p // 3:p // 3 + 2] for p in places] + ["zz9", "\u9fff"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    found = {r.query_id: r.score for r in R.score(R.prepare_queries(queries), R.filter_chunks(chunks, docs)).collect()}
+    found = {r.query_id: r.score for r in R.rank(R.prepare_queries(queries), R.filter_chunks(chunks, docs)).collect()}
     row = R.filter_chunks(chunks, docs).first()
     for i, q in enumerate(asked):
         assert found.get(i, 0.0) == pytest.approx(brute_score(q, row)), q

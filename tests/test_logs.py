@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkassay.operators import grounding as G
@@ -24,6 +25,24 @@ def test_trailing_rate_matches_brute_force(spark):
         assert got[i] == (n, n > 30)
 
 
+def test_trailing_rate_of_a_hot_key_gathers_no_minute(spark):
+    base = dt.datetime(2026, 1, 1, 0, 0, 30)
+    df = spark.range(100_000).select(
+        "id", F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("k"),
+        (F.lit(base).cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 77 + (F.col("id") * 7919 % 1_000_000) / 1e6)).alias("ts"))
+    got = L.trailing_rate(df, "k", "ts", 5)
+    assert got.columns == ["id", "k", "ts", "calls_in_window", "over_limit"]
+    rows = df.select("id", "k", F.unix_micros("ts").alias("t")).toPandas()
+    found = got.toPandas().set_index("id")
+    for _, part in rows.fillna("null").groupby("k"):
+        times = np.sort(part.t.to_numpy())
+        want = np.searchsorted(times, part.t, "right") - np.searchsorted(times, part.t - 60_000_000, "right")
+        assert (found.loc[part.id].calls_in_window.to_numpy() == want).all()
+    # No window function gets a key's minute: every window is over a part of a second, or over sums.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rangeframe" not in plan.lower()
+
+
 def brute_turns(turns):
     valid = [(t, r, x.strip()) for t, r, x in turns if r in ("user", "assistant") and 0 < len(x.strip()) <= 4000]
     kept, used = [], 0
@@ -126,3 +145,19 @@ def test_streams(spark, data):
                           *[F.col("value").cast("int").alias(c) for c in ("input_tokens", "output_tokens", "latency_ms")])
     got = U.run_to_table(spark, U.usage_stream(calls), "usage", "complete")
     assert got.agg(F.sum("successes")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_stream_flags_equal_the_batch(spark, tmp_path):
+    rng, base = random.Random(8), dt.datetime(2026, 1, 1)
+    rows = [(i, rng.choice(["hot", "hot", "cold", None]), base + dt.timedelta(milliseconds=rng.randint(0, 300_000))) for i in range(400)] + [(900, "hot", None)]
+    calls = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    # Several batches in the order of time, so that the watermark passes calls while the stream still runs.
+    for part in range(4):
+        low, high = base + dt.timedelta(seconds=75 * part), base + dt.timedelta(seconds=75 * (part + 1))
+        inside = (F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))
+        calls.where(inside | (F.col("ts").isNull() if part == 0 else F.lit(False)) | ((F.col("ts") >= F.lit(high)) if part == 3 else F.lit(False))).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = U.trailing_rate_table(spark, stream, "k", "ts", 30, late="10 seconds")
+    want = L.trailing_rate(calls, "k", "ts", 30)
+    order = lambda df: sorted(map(tuple, df.select("id", "k", "ts", "calls_in_window", "over_limit").collect()))
+    assert order(got) == order(want)
