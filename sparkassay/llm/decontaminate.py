@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.llm.lsh_forest import among
+from sparkassay.llm.lsh_forest import among, text_name
 from sparkassay.llm.storage import free_name, staged
 from sparkassay.llm.words import LETTERS, LOWER, grams, hashed, mix, whole
 
@@ -276,17 +276,19 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         table = [(row, item, bytearray(words.tobytes()), len(words), max_edits(len(words)), item_keys(words, counts[len(words)]))
                  for row, (item, words) in enumerate(block)]
         known = spark.createDataFrame(table, "row int, item_id bigint, item binary, n int, most int, item_keys array<bigint>")
-        entries = known.select("row", "item_id", "item", "n", "most", F.explode("item_keys").alias("key"))
-        windows = docs.select("doc_id", F.xxhash64("text").alias("node"), F.explode(windows_of(F.col("text"), block)).alias("w"))
+        entries = known.select("row", "n", F.explode("item_keys").alias("key"))
+        windows = docs.select("doc_id", text_name(F.col("text")).alias("node"), F.explode(windows_of(F.col("text"), block)).alias("w"))
         windows = windows.select("doc_id", "node", "w.start", "w.n", "w.words")
         keyed = windows.withColumn("key", F.explode(window_keys(F.col("words"), F.col("n"), counts)))
-        # A block has at most BLOCK_WORDS words: its keys may be sent to every task.
+        # A block has at most BLOCK_WORDS words, and an item's repetitions grow slower than its words: keys (20 bytes each) and words
+        # (8 bytes each) may be sent to every task. The words go once an item, after the keys have met.
         # Rows of items have own numbers: other texts under the same item_id, or none, are verified each.
-        met = keyed.join(F.broadcast(entries), ["n", "key"]).dropDuplicates(["doc_id", "node", "start", "n", "row"])
+        met = keyed.join(F.broadcast(entries), ["n", "key"])
+        met = met.dropDuplicates(["doc_id", "node", "start", "n", "row"]).join(F.broadcast(known.select("row", "item_id", "item", "most")), "row")
         parts.append(met.withColumn("edits", _edits(F.col("words"), F.col("item"))).where("edits <= most")
                      .select("doc_id", "node", "item_id", "edits", "start"))
     if not parts:
-        return spark.createDataFrame([], "doc_id bigint, node bigint, item_id bigint, edits int, start bigint")
+        return spark.createDataFrame([], "doc_id bigint, node binary, item_id bigint, edits int, start bigint")
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -303,7 +305,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, all columns as they were."""
     gone = staged(leaks(docs, items).select(F.col("node").alias("key")).distinct(), "leaks")
     name, gone_node = free_name(docs, "node"), free_name(docs, "gone_node")
-    named = docs.withColumn(name, F.xxhash64("text"))
+    named = docs.withColumn(name, text_name(F.col("text")))
     maybe = among(gone, F.col(name), "leak-bits")  # spares the others the join
     left = named.where(maybe).join(gone.select(F.col("key").alias(gone_node)), F.col(name) == F.col(gone_node), "left_anti")
     return named.where(~maybe).union(left).drop(name)

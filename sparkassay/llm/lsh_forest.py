@@ -4,24 +4,25 @@ Shingles are SHINGLE words (runs without white space) in a row, as a set; a text
 none and is alone in its class. Two different texts are linked if the Jaccard similarity of their sets is at least THRESHOLD.
 Classes are the connected components of links and equal texts.
 
-Forest: in each of TREES tries a text has a label, a sequence of MAX_DEPTH MinHash values drawn from one pool. Texts match in a
-trie if they share a prefix of their labels. The level of the join is the longest prefix by which a pair at the threshold is found in some trie
-with probability TARGET; that is computed with the pool that all tries share, so it follows from the constants and not from the data.
-A shared prefix contains all longer ones, so the pairs of that level are all pairs that a walk from full depth up to it
-would find: only this level is read, as buckets, and the tries are not built. Texts in one bucket are tied to the bucket's smallest text, and
-connected texts form a candidate group.
-Verification: all pairs of texts inside a group are compared exactly, so links found beside the tries' own are kept as well. Groups of more
-than BLOCK texts are dealt out as pairs of blocks; a task holds two blocks at most and returns one row per text (its links
-and the smallest text that it reaches there), never the pairs.
-
-Equal texts are one vertex, so copies cost no more than their rows. A vertex is named by a 64-bit hash of the text. The work of a
-group of n different texts is n squared over tasks; its rows travel n / BLOCK times.
+Forest: in each of TREES tries a text has a label, a sequence of MAX_DEPTH MinHash values drawn from one pool. Texts that share a prefix of
+their labels in some trie are compared, first by whole labels. The similarities of the links found, each weighed by the inverse of the chance to find it,
+tell which share of all links prefixes of any length would find; that chance is computed with the pool that all tries share, and one imagined link at the
+threshold stands for those not seen. The prefixes are shortened to the longest that reach TARGET, and the next pass looks at the
+tries below them: only branches whose texts were not together before are opened, and only pairs not compared before are compared. It ends when the
+links at hand say that TARGET is reached, or at the length that reaches it for links at the threshold alone.
+Verification: a text's home is the smallest text that it meets; homes are cut into blocks, and two blocks meet if a branch has texts of both.
+A task holds two blocks at most (BLOCK texts or BLOCK_SHINGLES shingles each, about) and compares the pairs that share a prefix exactly. It returns one
+row per text (its links and the smallest text that it reaches there) and counts, never the pairs.
+
+Equal texts are one vertex, so copies cost no more than their rows. A vertex is named by the MD5 of the text. The work of a
+branch of n different texts is n squared over tasks; a block travels to as many tasks as it meets blocks.
 Null and empty texts: no words. Repeated rows are copies. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,21 @@ from pyspark.sql import functions as F
 from sparkassay.llm.components import components
 from sparkassay.llm.storage import free_name, staged
 from sparkassay.llm.url_cascade import bit_words, passes
-from sparkassay.llm.words import AS_IS, NOT_SPACE, grams, hashed, whole
+from sparkassay.llm.words import AS_IS, NOT_SPACE, grams, hashed
+from sparkassay.plans.skew import spread_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 40
 MAX_DEPTH = 12
 POOL = 128
-TARGET = 0.999
+TARGET = 0.9999
 BLOCK = 384
+BLOCK_SHINGLES = 2_000_000
 FILTER_BITS = 1 << 24  # at most two MB, however many keys: it only spares shuffles, joins decide
 BITS_EACH = 12  # of a key, in a smaller filter
 SEED = 7
+COMPARED = -1  # in place of a similarity: pairs compared
 
 
 def recall(depth: int, trees: int = TREES, threshold: float = THRESHOLD, pool: int = POOL) -> float:
@@ -65,6 +69,27 @@ def depth(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARG
     return 1
 
 
+_chance = cache(recall)
+
+
+def next_depth(links: dict[int, int], level: int) -> int | None:
+    """The length to which prefixes of length level must be shortened, None if they find TARGET of all links.
+
+    links: how many were found by similarity in hundredths, rounded down.
+    """
+    found = {j / 100: n for j, n in links.items() if j != COMPARED}
+    there = {j: n / _chance(level, TREES, j) for j, n in found.items()}
+    there[THRESHOLD] = there.get(THRESHOLD, 0) + 1
+    total, shortest = sum(there.values()), depth()
+
+    def reached(d: int) -> bool:
+        return sum(n * _chance(d, TREES, j) for j, n in there.items()) >= TARGET * total
+
+    if level <= shortest or reached(level):
+        return None
+    return next((d for d in range(level - 1, shortest, -1) if reached(d)), shortest)
+
+
 def _sets(texts: pa.Array):
     """The sorted distinct shingle hashes of each text."""
     for words in hashed(texts, AS_IS, NOT_SPACE):
@@ -73,48 +98,83 @@ def _sets(texts: pa.Array):
             yield np.unique(grams(own, min(SHINGLE, len(own)))) if len(own) else own
 
 
-def sketch(text: Column) -> Column:
-    """The text's bucket in each trie (array<bigint>); null without words."""
-    level = depth()
+@cache
+def _picks() -> np.ndarray:
+    """The functions of the pool that each trie's labels are made of."""
+    rng = np.random.default_rng(SEED + 1)
+    return np.stack([rng.permutation(POOL)[:MAX_DEPTH] for _ in range(TREES)])
 
+
+def sketch(text: Column) -> Column:
+    """n_shingles and the text's signature: POOL MinHash values of 32 bits (binary); null without words."""
     def compute(texts: pa.Array) -> pa.Array:
         rng = np.random.default_rng(SEED)
         factors = rng.integers(0, 1 << 32, POOL, np.uint64).astype(np.uint32) | np.uint32(1)
         masks = rng.integers(0, 1 << 32, POOL, np.uint64).astype(np.uint32)
-        picks = np.stack([rng.permutation(POOL)[:MAX_DEPTH] for _ in range(TREES)])[:, :level]
-        out = []
+        sizes, out = [], []
         for shingles in _sets(texts):
-            if not len(shingles):
-                out.append(None)
-                continue
+            sizes.append(len(shingles))
             low = (shingles >> np.uint64(32)).astype(np.uint32)
             # All hash functions at once, some shingles at a time.
-            signature = np.min([((low[None, at : at + 4096] ^ masks[:, None]) * factors[:, None]).min(axis=1)
-                                for at in range(0, len(low), 4096)], axis=0).astype(np.uint64)
-            labels = signature[picks]
-            bucket = np.arange(TREES, dtype=np.uint64)
-            for column in range(level):
-                bucket = (bucket ^ labels[:, column]) * np.uint64(0x9E3779B97F4A7C15)
-                bucket ^= bucket >> np.uint64(29)
-            out.append(bucket.view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+            parts = [((low[None, at : at + 4096] ^ masks[:, None]) * factors[:, None]).min(axis=1) for at in range(0, len(low), 4096)]
+            out.append(np.min(parts, axis=0).astype("<u4").tobytes() if parts else None)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["n_shingles", "signature"])
+
+    return F.arrow_udf(compute, "n_shingles bigint, signature binary")(text)
 
-    return F.arrow_udf(compute, "array<bigint>")(text)
+
+def _branches(signatures: np.ndarray, level: int) -> np.ndarray:
+    """For each signature and trie, the branch of the label's prefix of that length."""
+    labels = signatures.astype(np.uint64)[:, _picks()[:, :level]]
+    branch = np.tile(np.arange(TREES, dtype=np.uint64), (len(signatures), 1))
+    for column in range(level):
+        branch = (branch ^ labels[:, :, column]) * np.uint64(0x9E3779B97F4A7C15)
+        branch ^= branch >> np.uint64(29)
+    return branch.view(np.int64)
+
+
+def _matrix(signatures: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), "<u4").reshape(-1, POOL)
+
+
+def branches(signature: Column, level: int, above: int | None) -> Column:
+    """For each trie the branch at level, and the one at above (0 if that is None)."""
+    def compute(signatures: pa.Array) -> pa.Array:
+        own = _matrix(signatures)
+        at = _branches(own, level)
+        before = _branches(own, above) if above is not None else np.zeros_like(at)
+        pairs = pa.StructArray.from_arrays([pa.array(at.ravel()), pa.array(before.ravel())], ["branch", "before"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, TREES), pa.int32()), pairs)
+
+    return F.arrow_udf(compute, "array<struct<branch: bigint, before: bigint>>")(signature)
 
 
 def shingle_set(text: Column) -> Column:
     return F.arrow_udf(lambda texts: pa.array([s.tobytes() for s in _sets(texts)], pa.binary()), "binary")(text)
 
 
-def _verified(key: tuple, table: pa.Table) -> pa.Table:
-    """Links among the texts of one block, or between those of two."""
-    _, first, second = (k.as_py() for k in key)
-    nodes = np.asarray(table.column("node"))
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-    blocks = np.asarray(table.column("block"))
-    n, sizes = len(sets), np.array([len(s) for s in sets])
+def _compared(signatures: np.ndarray, blocks: np.ndarray, apart: bool, level: int, above: int | None) -> np.ndarray:
+    """Which pairs share a branch at level, but none at above; with apart, only those of different blocks."""
+    def together(depth: int) -> np.ndarray:
+        out = np.zeros((len(signatures), len(signatures)), bool)
+        for branch in _branches(signatures, depth).T:
+            out |= branch[:, None] == branch[None, :]
+        return out
+
+    pairs = together(level)
+    if above is not None:
+        pairs &= ~together(above)
+    if apart:
+        pairs &= blocks[:, None] != blocks[None, :]
+    np.fill_diagonal(pairs, False)
+    return pairs
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
     _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(n), sizes)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
     shared = counts[ids] > 1  # others are in no intersection
     rows, (_, ids) = rows[shared], np.unique(ids[shared], return_inverse=True)
     common = np.zeros((n, n), np.float32)
@@ -126,24 +186,54 @@ def _verified(key: tuple, table: pa.Table) -> pa.Table:
         part = np.zeros((n, width), np.float32)
         part[rows[a:b], ids[a:b] - at] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common * 5 >= union * 4 if THRESHOLD == 0.8 else common >= THRESHOLD * union
-    np.fill_diagonal(linked, False)
-    if first != second:
-        linked &= blocks[:, None] != blocks[None, :]
-    root = nodes.copy()
-    while True:  # smallest name within reach
-        nearest = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (nearest == root).all():
-            break
-        root = nearest
-    links = linked.sum(axis=1)
-    found = links > 0
-    return pa.table({"node": nodes[found], "root": root[found], "links": links[found].astype(np.int64)})
-
-
-def _node(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return common
+
+
+_FOUND = "node binary, root binary, similarity int, n bigint"
+
+
+def _verified(level: int, above: int | None):
+    """Links among the texts of one block, or between those of two; and how many pairs were compared and linked by similarity."""
+    def call(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_pylist()
+        blocks = np.unique(np.array([f"{h.hex()}/{b}" for h, b in zip(table.column("home").to_pylist(), table.column("block").to_pylist(),
+                                                                      strict=True)]), return_inverse=True)[1]
+        pairs = _compared(_matrix(table.column("signature")), blocks, blocks.max() > 0, level, above)
+        some = np.flatnonzero(pairs.any(axis=1))
+        if not len(some):
+            return pa.table({"node": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "similarity": pa.array([], pa.int32()),
+                             "n": pa.array([], pa.int64())})
+        pairs, nodes = pairs[np.ix_(some, some)], [nodes[i] for i in some]
+        shingles = table.column("shingles").take(pa.array(some)).to_pylist()
+        sets = [np.frombuffer(s, np.uint64) for s in shingles]
+        sizes, common = np.array([len(s) for s in sets]), _common(sets)
+        union = sizes[:, None] + sizes[None, :] - common
+        linked = pairs & (common * 5 >= union * 4 if THRESHOLD == 0.8 else common >= THRESHOLD * union)
+        rank = np.empty(len(nodes), np.int64)  # by name
+        by_name = sorted(range(len(nodes)), key=nodes.__getitem__)
+        rank[by_name] = np.arange(len(nodes))
+        root = rank.copy()
+        while True:  # smallest name within reach
+            nearest = np.minimum(root, np.where(linked, root[None, :], len(nodes)).min(axis=1))
+            if (nearest == root).all():
+                break
+            root = nearest
+        links = linked.sum(axis=1)
+        found = np.flatnonzero(links)
+        first, second = np.nonzero(np.triu(linked))
+        steps, counts = np.unique((common[first, second] * 100 // union[first, second]).astype(np.int32), return_counts=True)
+        none = [None] * (len(steps) + 1)
+        return pa.table({
+            "node": pa.array([nodes[i] for i in found] + none, pa.binary()),
+            "root": pa.array([nodes[by_name[root[i]]] for i in found] + none, pa.binary()),
+            "similarity": pa.array([None] * len(found) + steps.tolist() + [COMPARED], pa.int32()),
+            "n": pa.array(links[found].tolist() + counts.tolist() + [int(np.triu(pairs).sum())], pa.int64())})
+
+    return call
+
+
+def text_name(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def among(keys: DataFrame, key: Column, name: str) -> Column:
@@ -153,41 +243,72 @@ def among(keys: DataFrame, key: Column, name: str) -> Column:
     return passes(key, 0, bits, words)
 
 
+def _open(texts: DataFrame, level: int, above: int | None) -> DataFrame:
+    """(node, branch, hub) for the branches at level whose texts were not all together at above; hub is a branch's smallest text."""
+    places = texts.select("node", F.explode(branches(F.col("signature"), level, above)).alias("b")).select("node", "b.branch", "b.before")
+    hubs = places.groupBy("branch").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.min("before").alias("least"),
+                                        F.max("before").alias("most")).where(F.col("hub") != F.col("other"))
+    if above is not None:
+        hubs = hubs.where(F.col("least") != F.col("most"))
+    return places.select("node", "branch").join(hubs.select("branch", "hub"), "branch")
+
+
+def verified(docs: DataFrame, texts: DataFrame, level: int, above: int | None) -> DataFrame:
+    """The links (node, root, n) between texts (node, n_shingles, signature) that share a prefix of length level but none of length above, and
+    counts (similarity, n), staged."""
+    met = staged(_open(texts, level, above), "met")
+    homes = met.groupBy("node").agg(F.min("hub").alias("home")).join(texts, "node")
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = staged(homes.join(sizes, "home").select("node", "home", block.alias("block"), "first", "signature"), "dealt")
+    sides = met.join(dealt.select("node", F.struct("home", "block").alias("side")), "node").select("branch", "side").distinct()
+    meetings = staged(sides.select("branch", F.col("side").alias("a")).join(sides.select("branch", F.col("side").alias("b")), "branch")
+                      .where(F.col("a") <= F.col("b")).select("a", "b").distinct(), "meetings")
+    known = among(dealt.select(F.col("node").alias("key")), F.col("node"), "dealt-bits")
+    sets = staged(docs.select("doc_id", "text", text_name(F.col("text")).alias("node")).where(known).join(dealt, "node")
+                  .where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node"])
+                  .select("node", "home", "block", "signature", shingle_set(F.col("text")).alias("shingles")), "shingle-sets")
+    at = F.struct("home", "block")
+    sent = sets.withColumn("a", at).join(meetings, "a").unionByName(
+        sets.withColumn("b", at).join(meetings.where(F.col("a") != F.col("b")), "b"))
+    return staged(sent.groupBy("a", "b").applyInArrow(_verified(level, above), _FOUND), "links")
+
+
+def all_links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, dict[int, int], list[int]]:
+    """(node, root, n) of all passes, how many links were found by similarity, and the lengths of the passes."""
+    level, above, links, counts, levels = MAX_DEPTH, None, None, {}, []
+    while level is not None:
+        found = verified(docs, texts, level, above)
+        levels.append(level)
+        for r in found.where("similarity IS NOT NULL").groupBy("similarity").agg(F.sum("n").alias("n")).collect():
+            counts[r["similarity"]] = counts.get(r["similarity"], 0) + r["n"]
+        own = found.where("node IS NOT NULL").select("node", "root", "n")
+        links = own if links is None else links.union(own)
+        above, level = level, next_depth(counts, level)
+    return links, counts, levels
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, class_id, n_links) of every row of docs, staged; and (node, copies) of each text.
+    """(doc_id, node, class_id, n_links, alone) of every row of docs, staged; and the staged sketches.
 
     class_id is the smallest doc_id of the class; n_links counts the different texts linked with the row's text.
     """
-    text = F.col("text")
-    rows = staged(docs.select("doc_id", _node(text).alias("node"), sketch(text).alias("buckets")), "sketches")
-    texts = rows.where("buckets IS NOT NULL").select("node", "buckets").dropDuplicates(["node"])
-    places = texts.select("node", F.explode("buckets").alias("bucket"))
-    hubs = places.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
-    ties = places.join(hubs.select("bucket", "hub"), "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = components(ties.distinct())
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    dealt = groups.join(sizes, "root").select("node", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = staged(dealt, "candidates")
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    chosen = dealt.join(first, "node")
-    sets = (docs.select("doc_id", "text", _node(text).alias("node"))
-            .where(among(dealt.select(F.col("node").alias("key")), F.col("node"), "candidate-bits"))
-            .join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
-            .dropDuplicates(["node"]).select("node", "root", "blocks", shingle_set(text).alias("shingles")))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int")
-    pairs = (sets.withColumn("block", block)
-             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("node", "block", "shingles", "root", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b")))
-    links = staged(pairs.groupBy("root", "a", "b").applyInArrow(_verified, "node bigint, root bigint, links bigint"), "links")
+    rows = staged(docs.select("doc_id", text_name(F.col("text")).alias("node"), sketch(F.col("text")).alias("s")).select("doc_id", "node", "s.*"), "sketches")
+    texts = staged(rows.where("signature IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "texts")
+    links, _, _ = all_links(docs, texts)
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    named = counted.join(roots, "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
-    alone = F.col("buckets").isNull()
-    table = rows.select("doc_id", "node", alone.alias("alone")).join(named, "node", "left")
-    table = table.withColumn("root", F.when(~F.col("alone"), F.coalesce("root", "node")))
-    least = table.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    result = table.join(least, "root", "left").select(
-        "doc_id", "node", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
+    linked = links.groupBy("node").agg(F.sum("n").alias("n_links")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = linked.join(texts.select("node", "first"), "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    # A class may hold very many different texts, so they are dealt over several tasks.
+    named = spread_join(linked.select("node", "root", "n_links"), least, "root").select("node", "n_links", "least")
+    named = texts.select("node", "first").join(named, "node", "left").select(
+        "node", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("first")).otherwise(
+            F.col("least")).alias("class"))
+    alone = F.col("signature").isNull()
+    result = rows.select("doc_id", "node", alone.alias("alone")).join(named, "node", "left").select(
+        "doc_id", "node", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "alone")
     return staged(result, "classes"), rows
 
@@ -205,7 +326,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = judged.where(~F.col("alone") & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node")
     repeated = (judged.where("NOT alone").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "node"))
     touched = staged(gone.select(F.col("node").alias("key")).union(repeated.select(F.col("node").alias("key"))).distinct(), "touched")
-    named = docs.withColumn(name, _node(F.col("text")))
+    named = docs.withColumn(name, text_name(F.col("text")))
     maybe = among(touched, F.col(name), "touched-bits") & F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\f\r")) != "", F.lit(False))
     out = gone.select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)).distinct()
     left = (named.where(maybe).join(out, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(name) == F.col(gone_node)), "left_anti")

@@ -61,7 +61,6 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self._library.get_vocab()
         self._begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)

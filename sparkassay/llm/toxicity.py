@@ -10,8 +10,8 @@ share of toxic documents among the training documents that have it, drawn to the
 (documents with an equal smallest five-word shingle) share one vote. A document's raw score is its largest weight, of words as they
 stand or as restored; isotonic regression on the training documents makes it the share of toxic documents at that score.
 
-Labels: at most MAX_LABELLED labelled documents are learned from (chosen by a hash of doc_id beyond that); at most MAX_FEATURES features, those of
-the most toxic documents, are weighed. Scores, the language model and all counts cover whole texts. Null and empty texts score
+Labels: at most MAX_LABELLED labelled documents are learned from (chosen by a hash of doc_id beyond that); every feature whose
+weight can reach the threshold is weighed. Scores, the language model and all counts cover whole texts. Null and empty texts score
 like any text without a listed feature; without labels of both kinds every score is BASE. Repeated rows score alike; of labels that repeat a
 doc_id the largest counts. A run of letters longer than a piece (words.PIECE bytes) is no word.
 """
@@ -42,7 +42,6 @@ BASE = 0.02
 LEAST = 0.1  # weights below are not kept
 THRESHOLD = 0.3
 MAX_LABELLED = 1_000_000
-MAX_FEATURES = 1 << 18
 MEMO = 100_000
 LONGEST_MEMO = 64  # characters; longer tokens are decoded each time
 #: Letters that a sign may stand for.
@@ -358,16 +357,21 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, test_fold: int = 2)
         return (train.where(F.col("y") == side).select("text", "vote").mapInArrow(counted(known_features), "feature bigint, votes double")
                 .groupBy("feature").agg(F.sum("votes").alias("votes")))
 
-    least = LEAST * PRIOR  # fewer toxic votes cannot reach the least weight by far
-    seen = tally(1, None).where(F.col("votes") >= least).orderBy(F.desc("votes"), "feature").limit(MAX_FEATURES).toPandas()
-    values = seen["feature"].to_numpy(np.int64).view(np.uint64)
+    share = toxic / (toxic + clean)
+    threshold = max(LEAST, 1.5 * share)
+    # The weight (p + PRIOR share) / (p + n + PRIOR) of p toxic and n other votes is largest without others; it stays below the
+    # threshold if p is less than this.
+    least = PRIOR * (threshold - share) / (1 - threshold)
+    # As many features as the labelled rows, MAX_LABELLED at most, hold with so many votes.
+    seen = tally(1, None).where(F.col("votes") >= least).toArrow()
+    values = seen.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    values, positive = values[order], seen["votes"].to_numpy(float)[order]
-    other = tally(0, values).toPandas()
+    values, positive = values[order], seen.column("votes").to_numpy()[order]
+    other = tally(0, values).toArrow()
     negative = np.zeros(len(values))
-    negative[np.searchsorted(values, other["feature"].to_numpy(np.int64).view(np.uint64))] = other["votes"].to_numpy(float)
-    weights = (positive + PRIOR * toxic / (toxic + clean)) / (positive + negative + PRIOR)
-    keep = weights >= max(LEAST, 1.5 * toxic / (toxic + clean))
+    negative[np.searchsorted(values, other.column("feature").to_numpy().view(np.uint64))] = other.column("votes").to_numpy()
+    weights = (positive + PRIOR * share) / (positive + negative + PRIOR)
+    keep = weights >= threshold
     model = ToxicityModel(values[keep], weights[keep], language)
     bins = (train.select("y", "vote", F.floor(model.score(F.col("text")) * BINS).alias("bin")).groupBy("bin")
             .agg(F.sum(F.col("y") * F.col("vote")).alias("toxic"), F.sum("vote").alias("votes")).collect())

@@ -151,7 +151,6 @@ def test_token_files_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rng = random.Random(6)
     docs = odd.union(_documents(spark, [(100 + i, "".join(rng.choices(PARTS, k=40))) for i in range(300)]))
     path = new_path(spark, "test")
@@ -265,11 +264,60 @@ def test_pairs_at_the_threshold_share_a_bucket(spark):
         words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
         pairs.append((" ".join(words[:94]), " ".join(words[:84] + words[94:])))
     table = spark.createDataFrame(pairs, "a string, b string").repartition(8)
-    met = table.where(F.arrays_overlap(lsh_forest.sketch(F.col("a")), lsh_forest.sketch(F.col("b")))).count()
-    assert met >= 0.998 * len(pairs)
+    level = lsh_forest.depth()
+    at = lambda c: F.transform(lsh_forest.branches(lsh_forest.sketch(F.col(c))["signature"], level, None), lambda b: b["branch"])
+    met = table.where(F.arrays_overlap(at("a"), at("b"))).count()
+    assert met >= 0.9995 * len(pairs)
     assert lsh_forest.recall(lsh_forest.depth()) >= lsh_forest.TARGET > lsh_forest.recall(lsh_forest.depth() + 1)
 
 
+def _texts_of(docs):
+    rows = docs.select("doc_id", lsh_forest.text_name(F.col("text")).alias("node"), lsh_forest.sketch(F.col("text")).alias("s")).select("doc_id", "node", "s.*")
+    return staged(rows.where("signature IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "texts-test")
+
+
+def test_prefixes_shorten_until_the_links_say_enough(spark):
+    shortest = lsh_forest.depth()
+    assert lsh_forest.next_depth({}, lsh_forest.MAX_DEPTH) == shortest  # nothing seen: as for links at the threshold
+    assert lsh_forest.next_depth({100: 10**6}, lsh_forest.MAX_DEPTH) is None
+    steps = [lsh_forest.next_depth({j: 10**6}, lsh_forest.MAX_DEPTH) or lsh_forest.MAX_DEPTH for j in (80, 84, 88, 92, 96)]
+    assert steps[0] == shortest and steps == sorted(steps) and steps[1] < steps[-1]
+    assert lsh_forest.next_depth({80: 10}, shortest) is None
+    rng, texts = random.Random(3), []
+    for group in range(400):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for _ in range(4):
+            copy = base[:]
+            copy[rng.randrange(200)] = f"x{rng.random()}"
+            texts.append((len(texts), " ".join(copy)))
+    docs = _documents(spark, texts)
+    links, found, levels = lsh_forest.all_links(docs, _texts_of(docs))
+    assert shortest < levels[-1] and levels == sorted(levels, reverse=True)  # links of 0.9 and more need no short prefixes
+    assert links.agg(F.sum("n")).first()[0] >= 0.9995 * 400 * 4 * 3
+
+
+def test_only_pairs_that_share_a_branch_are_compared(spark):
+    """A chain in which each text is like its two neighbours by 0.66."""
+    words = [f"w{i}" for i in range(2000 * 20 + 100)]
+    texts = [(i, " ".join(words[20 * i : 20 * i + 104])) for i in range(2000)]  # 100 shingles, 80 of them the neighbour's
+    docs = _documents(spark, texts)
+    table = _texts_of(docs)
+    links, found, levels = lsh_forest.all_links(docs, table)
+    signatures = lsh_forest._matrix(pa.chunked_array([pa.array([bytes(r.signature) for r in table.collect()], pa.binary())]))
+    together = set()
+    for column in lsh_forest._branches(signatures, levels[-1]).T:
+        for _, members in itertools.groupby(sorted(range(len(column)), key=column.__getitem__), column.__getitem__):
+            together.update(itertools.combinations(sorted(members), 2))
+    assert found[lsh_forest.COMPARED] <= len(together) and not links.count()
+
+
+def test_long_texts_are_cut_into_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", 300)
+    texts = [(i, " ".join(_words(1, 200) + [f"x{i}"])) for i in range(40)] + [(99, " ".join(_words(1, 3000)))]
+    assert _rows(lsh_forest.join_classes(_documents(spark, texts))) == _plain_classes(texts)
+
+
 def test_classes_of_nothing(spark, odd):
     assert lsh_forest.join_classes(odd.limit(0)).count() == 0
     assert lsh_forest.join_classes(odd).count() == odd.count()
