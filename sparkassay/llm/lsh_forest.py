@@ -10,7 +10,8 @@ tell which share of all links prefixes of any length would find; that chance is
 threshold stands for those not seen. The prefixes are shortened to the longest that reach TARGET, and the next pass looks at the
 tries below them: only branches whose texts were not together before are opened, and only pairs not compared before are compared. It ends when the
 links at hand say that TARGET is reached, or at the length that reaches it for links at the threshold alone.
-Verification: a text's home is the smallest text that it meets; homes are cut into blocks, and two blocks meet if a branch has texts of both.
+Verification: a text's home is the smallest text within a few steps of shared branches; homes are cut into blocks, and two blocks meet if a branch has
+texts of both.
 A task holds two blocks at most (BLOCK texts or BLOCK_SHINGLES shingles each, about) and compares the pairs that share a prefix exactly. It returns one
 row per text (its links and the smallest text that it reaches there) and counts, never the pairs.
 
@@ -46,6 +47,7 @@ BLOCK_SHINGLES = 2_000_000
 FILTER_BITS = 1 << 24  # at most two MB, however many keys: it only spares shuffles, joins decide
 BITS_EACH = 12  # of a key, in a smaller filter
 SEED = 7
+ROUNDS = 2  # after the first, in which texts look for their homes
 COMPARED = -1  # in place of a similarity: pairs compared
 
 
@@ -257,7 +259,12 @@ def verified(docs: DataFrame, texts: DataFrame, level: int, above: int | None) -
     """The links (node, root, n) between texts (node, n_shingles, signature) that share a prefix of length level but none of length above, and
     counts (similarity, n), staged."""
     met = staged(_open(texts, level, above), "met")
-    homes = met.groupBy("node").agg(F.min("hub").alias("home")).join(texts, "node")
+    places = met.select("node", "branch")
+    homes = met.groupBy("node").agg(F.min("hub").alias("home"))
+    for _ in range(ROUNDS):  # a group of near copies comes to one home; a chain of half-similar texts to many
+        hubs = places.join(homes, "node").groupBy("branch").agg(F.min("home").alias("hub"))
+        homes = staged(places.join(hubs, "branch").groupBy("node").agg(F.min("hub").alias("home")), "homes")
+    homes = homes.join(texts, "node")
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = staged(homes.join(sizes, "home").select("node", "home", block.alias("block"), "first", "signature"), "dealt")
