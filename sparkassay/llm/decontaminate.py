@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.llm.lsh_forest import among, text_name
-from sparkassay.llm.storage import free_name, staged
+from sparkassay.llm.lsh_forest import among
+from sparkassay.llm.storage import free_name, staged, text_name
 from sparkassay.llm.words import LETTERS, LOWER, grams, hashed, mix, whole
 
 GRAM = 3

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of local sessions that name none, by application.
 _local_folders: dict[str, str] = {}
@@ -50,3 +51,8 @@ def free_name(table: DataFrame, name: str) -> str:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def text_name(text: Column) -> Column:
+    """128 bits that name a text (null: the empty one)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
