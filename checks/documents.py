@@ -72,14 +72,38 @@ def doc3(spark, sf):
     return D.line_blocks(line_rows(spark, sf)).withColumn("line", F.md5("line"))
 
 
-@check("doc4_split_oversized")
+# Oversized blocks line by line: each line goes on in its piece or opens the next one, which outside tables begins with the line before.
+PIECES = BLOCKS.replace("WITH f AS", "WITH RECURSIVE f AS").replace("SELECT document_id, CAST(n AS INTEGER) AS line_number, CAST(run", ", b AS MATERIALIZED (SELECT document_id, CAST(n AS INTEGER) AS line_number, CAST(run", 1).replace(
+    "AS part,\n  md5(CASE WHEN opens THEN raw ELSE tidy END) AS line FROM g WHERE NOT blank",
+    "AS part,\n  CASE WHEN opens THEN raw ELSE tidy END AS line FROM g WHERE NOT blank)") + """,
+k AS MATERIALIZED (SELECT *, row_number() OVER e AS i, sum(length(line) + 1) OVER (PARTITION BY document_id, run, part) - 1 AS total,
+  lag(length(line)) OVER e AS before FROM b WINDOW e AS (PARTITION BY document_id, run, part ORDER BY line_number)),
+walk AS (SELECT document_id, run, part, i, CAST(0 AS BIGINT) AS piece, i AS first, CAST(length(line) AS BIGINT) AS used FROM k WHERE i = 1 AND total > 3500
+  UNION ALL SELECT k.document_id, k.run, k.part, k.i, w.piece + CASE WHEN w.used + length(k.line) + 1 > 3500 THEN 1 ELSE 0 END,
+    CASE WHEN w.used + length(k.line) + 1 <= 3500 THEN w.first WHEN k."table" THEN k.i ELSE k.i - 1 END,
+    CAST(CASE WHEN w.used + length(k.line) + 1 <= 3500 THEN w.used WHEN k."table" THEN 0 ELSE k.before + 1 END + length(k.line) + 1 AS BIGINT)
+  FROM walk w JOIN k ON k.document_id = w.document_id AND k.run = w.run AND k.part = w.part AND k.i = w.i + 1),
+p AS (SELECT document_id, run, part, piece, min(first) AS first, max(i) AS last FROM walk GROUP BY ALL
+  UNION ALL SELECT document_id, run, part, 0, 1, max(i) FROM k WHERE total <= 3500 GROUP BY ALL),
+x AS (SELECT p.document_id, p.run, p.part, p.piece, any_value(section) AS section, any_value(clause) AS clause, any_value("table") AS table_row,
+  min(line_number) AS line_start, max(line_number) AS line_end, trim(string_agg(trim(line, SPACES), chr(10) ORDER BY line_number), SPACES) AS text
+  FROM p JOIN k ON k.document_id = p.document_id AND k.run = p.run AND k.part = p.part AND i BETWEEN first AND last GROUP BY ALL),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY run, part, piece) - 1 AS INTEGER) AS ordinal FROM x WHERE text <> '')
+""".replace("SPACES", D_SPACES)
+
+
+@check("doc4_split_oversized", PIECES + "SELECT document_id, section, clause, table_row, count(*) AS pieces, CAST(max(length(text)) AS INTEGER) AS longest FROM y GROUP BY ALL HAVING count(*) > 1")
 def doc4(spark, sf):
     """Chunks of blocks that exceed the size limit."""
     sizes = D.chunks(line_rows(spark, sf)).groupBy("document_id", "section", "clause", "table_row")
     return sizes.agg(F.count(F.lit(1)).alias("pieces"), F.max(F.char_length("text")).alias("longest")).where("pieces > 1")
 
 
-@check("doc5_chunks")
+CODES = "list_sort(list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace(text, '([^0-9])', '\\1\\1', 'g') || ' ', '[^0-9]([0-9]{6})[^0-9]', 1), lambda d: 'db31_' || d)))"
+
+
+@check("doc5_chunks", PIECES + f"""SELECT document_id, ordinal, text, section, clause, CAST(NULL AS INTEGER) AS page, line_start, line_end, table_row, array_to_string({CODES}, ',') AS metric_ids,
+  'chunk-' || left(sha256('[' || to_json(document_id) || ',' || ordinal || ',' || to_json(text) || ',' || coalesce(to_json(section), 'null') || ',' || coalesce(to_json(clause), 'null') || ']'), 20) AS chunk_id FROM y""")
 def doc5(spark, sf):
     return D.chunks(line_rows(spark, sf)).withColumn("metric_ids", F.array_join("metric_ids", ","))
 

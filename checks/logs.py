@@ -178,7 +178,7 @@ def log4(spark, sf):
     return L.bounded_turns(load(spark, sf, "conversations")).withColumn("text", F.md5("text"))
 
 
-@check("src13_chat_rules", "SELECT conv_id, count(*) AS turns, CASE WHEN sum(length(trim(text, chr(10) || ' ' || chr(9))) + 1) - 1 <= 4000 THEN md5(string_agg(trim(text, chr(10) || ' ' || chr(9)), chr(10) ORDER BY turn)) END AS request FROM conversations WHERE role = 'user' AND trim(text, chr(10) || ' ' || chr(9)) <> '' GROUP BY 1")
+@check("src13_chat_rules", "SELECT conv_id, count(*) AS turns, CASE WHEN sum(length(trim(text, chr(10) || ' ' || chr(9))) + 1) - 1 <= 4000 THEN md5(string_agg(trim(text, chr(10) || ' ' || chr(9)), chr(10) ORDER BY turn)) END AS request, CASE WHEN sum(length(trim(text, chr(10) || ' ' || chr(9))) + 1) - 1 > 4000 THEN 'the request is longer than 4000 characters' END AS problem FROM conversations WHERE role = 'user' AND trim(text, chr(10) || ' ' || chr(9)) <> '' GROUP BY 1")
 def src13_chat(spark, sf):
     return T.chat_rules(load(spark, sf, "conversations")).withColumn("request", F.md5("request"))
 

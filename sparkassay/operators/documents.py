@@ -7,11 +7,9 @@ document; all windows and the grouping of lines into blocks reuse that partition
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as X
@@ -109,27 +107,26 @@ def line_blocks(line_rows: DataFrame) -> DataFrame:
                 F.when(F.col("opens"), F.col("raw")).otherwise(F.col("tidy")).alias("line")))
 
 
-def _pack_ranges(limit: int = fixed.MAX_CHUNK_CHARS):
-    """UDF: greedy packing of line lengths into ranges of at most ``limit`` characters, with one
-    line of overlap outside tables; null in, null out."""
-    def packs(lengths, table):
-        if lengths is None:
-            return None
-        ranges, first, used = [], 0, 0
-        for i, n in enumerate(lengths):
-            need = n + (1 if i > first else 0)
-            if i > first and used + need > limit:
-                ranges.append({"first": first + 1, "n": i - first})
-                first = i if table else i - 1
-                used = 0 if table else lengths[i - 1] + 1
-            used += need
-        return [*ranges, {"first": first + 1, "n": len(lengths) - first}]
+def _pack_ranges(lengths: Column, table: Column, limit: int = fixed.MAX_CHUNK_CHARS) -> Column:
+    """Greedy packing of line lengths into ranges (first, n) of at most ``limit`` characters, with one line of overlap
+    outside tables: a fold over the lengths."""
+    one = lambda first, end: F.array(F.struct((first + 1).alias("first"), (end - first).alias("n")))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), zero.alias("first"), zero.alias("used"), zero.alias("before"),
+                     F.expr("cast(array() as array<struct<first: int, n: int>>)").alias("ranges"))
 
-    def run(lengths: pd.Series, table: pd.Series) -> pd.Series:
-        return pd.Series([packs(a, t) for a, t in zip(lengths, table)], dtype=object)
+    def step(s: Column, n: Column) -> Column:
+        inner = s["i"] > s["first"]
+        need = n + F.when(inner, 1).otherwise(0)
+        full = inner & (s["used"] + need > limit)
+        return F.struct(
+            (s["i"] + 1).alias("i"),
+            F.when(full, F.when(table, s["i"]).otherwise(s["i"] - 1)).otherwise(s["first"]).alias("first"),
+            (F.when(full, F.when(table, 0).otherwise(s["before"] + 1)).otherwise(s["used"]) + need).alias("used"),
+            n.alias("before"),
+            F.when(full, F.concat(s["ranges"], one(s["first"], s["i"]))).otherwise(s["ranges"]).alias("ranges"))
 
-    item = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
-    return F.pandas_udf(run, T.ArrayType(item))
+    return F.aggregate(lengths, start, step, lambda s: F.concat(s["ranges"], one(s["first"], s["i"])))
 
 
 def chunks(line_rows: DataFrame) -> DataFrame:
@@ -139,10 +136,9 @@ def chunks(line_rows: DataFrame) -> DataFrame:
         F.first("section").alias("section"), F.first("clause").alias("clause"), F.first("table").alias("table"))
     sizes = F.transform("lines", lambda x: F.char_length(x["line"]))
     total = F.aggregate(sizes, F.lit(-1), lambda a, n: a + n + 1)
-    # Only oversized blocks carry their line lengths to Python; others pass a null.
-    ranges = _pack_ranges()(F.when(total > fixed.MAX_CHUNK_CHARS, sizes), F.col("table"))
     whole = F.array(F.struct(F.lit(1).alias("first"), F.size("lines").cast("int").alias("n")))
-    pieces = blocks.select("*", F.posexplode(F.coalesce(ranges, whole)).alias("piece", "range")).select(
+    ranges = F.when(total > fixed.MAX_CHUNK_CHARS, _pack_ranges(sizes, F.col("table"))).otherwise(whole)
+    pieces = blocks.select("*", F.posexplode(ranges).alias("piece", "range")).select(
         "document_id", "run", "part", "piece", "section", "clause", "table",
         F.slice("lines", F.col("range.first"), F.col("range.n")).alias("lines"))
     body = V.strip(F.array_join(F.transform("lines", lambda x: V.strip(x["line"])), "\n"))

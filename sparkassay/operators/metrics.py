@@ -116,8 +116,8 @@ def recognizable_format_anomaly_rate(cells: Cells) -> list[Probe]:
                                "未识别到可检查的日期、数值、URL 或邮箱字段。")]
 
 
-def _blocked(metric_id: str, reason: str, evidence=None) -> Probe:
-    return Probe({}, metric_row(metric_id, value=F.lit(None), blockers=[(F.lit(True), reason)]))
+def _blocked(metric_id: str, reason: str, basis=None) -> Probe:
+    return Probe({}, metric_row(metric_id, value=F.lit(None), blockers=[(F.lit(True), reason)], basis=basis))
 
 
 def _date_text(c):
@@ -279,8 +279,15 @@ def file_parse_rate(attempted: int = 1, successful: int = 1) -> Probe:
 
 
 def missing_basis(metric_id: str) -> Probe:
-    """A standard metric that one table alone cannot answer."""
-    return _blocked(metric_id, catalog.not_assessable_reason(catalog.METRICS[metric_id]))
+    """A standard metric that one table alone cannot answer, with what is missing and which metrics come near."""
+    m = catalog.METRICS[metric_id]
+    none = F.expr("array()").cast("array<string>")
+    proxies = F.array(*map(F.lit, m.proxies)) if m.proxies else none
+    return _blocked(metric_id, catalog.not_assessable_reason(m), evidence_json(
+        standard="DB31/T 1523-2024", standard_code=m.standard_code, standard_level=m.level, parent_metric_id=m.parent_id,
+        formula=m.formula, score_direction=m.direction, available_proxy_metric_ids=proxies,
+        proxy=F.struct(proxies.alias("metric_ids"), F.lit(False).alias("standard_equivalent")),
+        reason_code=m.reason_code, required_inputs=list(m.required_inputs), method="not_assessable_without_required_context"))
 
 
 def failed_metrics(spark, reason: str, ids: Iterable[str] | None = None) -> DataFrame:

@@ -67,15 +67,6 @@ def inferred_type_map(df: DataFrame) -> dict[str, str]:
     return {r["name"]: r["inferred_type"] for r in infer_types(df).collect()}
 
 
-def cast_numeric_text(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Text columns whose every value is a number become doubles, so that ``01`` equals ``1``."""
-    types = inferred_type_map(df) if types is None else types
-    dtypes = schema_types(df)
-    return df.select(*[
-        V.to_double(F.col(ref(c))).alias(c) if V.is_text(dtypes[c]) and types.get(c) == "numeric"
-        else F.col(ref(c)) for c in df.columns])
-
-
 def warnings(df: DataFrame) -> list[str]:
     found = []
     if df.isEmpty():

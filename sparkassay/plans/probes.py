@@ -62,9 +62,10 @@ def metric_row(
     metric_id: str, *, value: Column, scope: str = "dataset", field_name: str | None = None,
     checked: Column | None = None, issues: Column | None = None, evidence: Column | None = None,
     blockers: list[tuple[Column, str]] = (), name: str | None = None, category: str | None = None,
-    unit: str | None = None, position: int | None = None, key: str | None = None,
+    unit: str | None = None, position: int | None = None, key: str | None = None, basis: Column | None = None,
 ) -> Column:
-    """One metric as a struct.  ``blockers`` are (condition, reason) pairs checked in order."""
+    """One metric as a struct.  ``blockers`` are (condition, reason) pairs checked in order; ``basis`` is the
+    evidence of a metric that cannot be assessed."""
     known = METRICS.get(metric_id)
     open_, reason = None, _constant("reason", None)
     if blockers:
@@ -88,7 +89,7 @@ def metric_row(
         _constant("scope", scope), _constant("field", field_name),
         _constant("metric_key", key or names.metric_key(metric_id, field_name if scope == "field" else None)),
         if_open(checked, "checked_count", "bigint"), if_open(issues, "issue_count", "bigint"),
-        if_open(evidence, "evidence", "string"), reason,
+        if_open(evidence, "evidence", "string") if basis is None else basis.cast("string").alias("evidence"), reason,
         _constant("position", known.position if position is None else position, "bigint"))
 
 

@@ -143,28 +143,26 @@ def _number(value) -> Decimal | None:
     return number if number.is_finite() else None
 
 
+def _comparable(value) -> tuple | None:
+    """How a listed value compares with cells: as a truth value, a number whatever its notation, or text."""
+    if isinstance(value, (bool, str)):
+        return type(value).__name__, value
+    number = _number(value)
+    return None if number is None else ("number", number)
+
+
 def _list_problems(label: str, items) -> list[str]:
     items = list(items or ())
-    problems = []
-    if not 1 <= len(items) <= MAX_LIST_VALUES:
-        problems.append(f"{label} must hold 1 to {MAX_LIST_VALUES} values")
-    seen = set()
-    for v in items:
-        if isinstance(v, bool):
-            key = ("boolean", v)
-        elif isinstance(v, str):
-            key = ("string", v)
-            if label == "allowed_values" and not (v.strip() and len(v) <= MAX_VALUE_CHARS):
-                problems.append(f"text values must have 1 to {MAX_VALUE_CHARS} characters")
-        elif _number(v) is not None:
-            key = ("number", _number(v).normalize())
-        else:
-            problems.append("values must be finite numbers, text or booleans")
-            continue
-        if key in seen:
-            problems.append(f"{label} repeats a value")
-        seen.add(key)
-    return problems
+    classes = [_comparable(v) for v in items]
+    known = [c for c in classes if c is not None]
+    texts = [v for v in items if isinstance(v, str)] if label == "allowed_values" else []
+    found = {
+        f"{label} must hold 1 to {MAX_LIST_VALUES} values": not 1 <= len(items) <= MAX_LIST_VALUES,
+        f"text values must have 1 to {MAX_VALUE_CHARS} characters": any(not t.strip() or len(t) > MAX_VALUE_CHARS for t in texts),
+        "values must be finite numbers, text or booleans": None in classes,
+        f"{label} repeats a value": len(set(known)) < len(known),
+    }
+    return [problem for problem, there in found.items() if there]
 
 
 def _bounds_problems(rule: Rule) -> list[str]:

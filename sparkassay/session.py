@@ -69,12 +69,3 @@ def written(table, label: str):
     path = scratch_path(table.sparkSession, label)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
-
-
-def cut_lineage(df):
-    """Materialise a frame on reliable storage, so later jobs read it instead of recomputing it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)

@@ -58,11 +58,11 @@ def dialog_rules(texts: DataFrame, key: str, text: str) -> DataFrame:
     return cleaned.where("rule <> ''").groupBy(key, "rule").agg(F.min("line_number").alias("line_number"))
 
 
-def chat_rules(conversations: DataFrame) -> DataFrame:
-    """All user turns of a conversation as one request: (conv_id, turns, request).
+def chat_rules(conversations: DataFrame, max_chars: int = MAX_REQUEST_CHARS) -> DataFrame:
+    """All user turns of a conversation as one request: (conv_id, turns, request, problem).
 
-    A request may have 4000 characters.  Lengths are summed first, so the text of a longer
-    conversation is never brought together; its request is null.
+    Lengths are summed first, so the text of a conversation longer than ``max_chars`` is never brought
+    together; its request is null and the problem says so.
     """
     said = conversations.where(F.col("role") == "user")
     if "kind" in conversations.columns:
@@ -70,8 +70,9 @@ def chat_rules(conversations: DataFrame) -> DataFrame:
     said = said.select("conv_id", "turn", V.strip(F.col("text")).alias("text")).where("text <> ''")
     sizes = said.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("turns"), (F.sum(F.char_length("text") + 1) - 1).alias("chars"))
-    short = sizes.where(F.col("chars") <= MAX_REQUEST_CHARS).select("conv_id")
+    short = sizes.where(F.col("chars") <= max_chars).select("conv_id")
     parts = said.join(short, "conv_id", "left_semi").groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"))
     return sizes.join(parts, "conv_id", "left").select(
-        "conv_id", "turns", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("request"))
+        "conv_id", "turns", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("request"),
+        F.when(F.col("chars") > max_chars, f"the request is longer than {max_chars} characters").alias("problem"))
