@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions import values as V
-from ..plans.skew import spread_join
+from ..plans.skew import HOT_ROWS, SALTS, lookup_join
+from ..session import written
 
 # --- fixed values: words that may name a number -----------------------------------------
 METRIC_LABELS = {
@@ -104,56 +105,78 @@ def summary_claims(summary: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ numbers
-def mention_rows(statements: DataFrame) -> DataFrame:
-    """One row per number of a statement, with its place in the text."""
-    pattern = X.MENTION
-    found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split("text", pattern, -1)
-    # A number starts after all gaps up to its own and all numbers before it.
-    def length_upto(parts: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), count), F.lit(0), lambda n, t: n + F.char_length(t))
-    places = F.transform(found, lambda t, i: F.struct(
-        i.alias("place"), (length_upto(gaps, i + 1) + length_upto(found, i)).alias("start"), X.mention(t).alias("number")))
-    return statements.select("statement_id", "citation_ids", "text", F.explode(places).alias("m")).select(
-        "statement_id", "citation_ids", V.casefold(F.col("text")).alias("text"), "m.place", "m.start",
-        (F.col("m.start") + F.char_length("m.number.text")).alias("end"), "m.number.value", "m.number.tolerance")
-
-
-def label_distance(text: Column, start: Column, end: Column, label: Column) -> Column:
-    """Characters between a number and the nearest occurrence of a label; 0 if they overlap."""
+def mention_rows(statements: DataFrame, reach: Column) -> DataFrame:
+    """(statement_id, citation_ids, numbers): of each number its place, value and tolerance, and ``reach`` characters of
+    the case-folded text on either side of it.  No later step needs the text itself."""
+    # One pass of the pattern marks the numbers, so that pieces are gaps and numbers by turns.  The mark is no character.
+    free = F.translate("text", "\uffff", "\ufffe")
+    pieces = F.split(F.regexp_replace(free, X.MENTION, "\uffff$0\uffff"), "\uffff", -1)
+    marked = statements.select("statement_id", "citation_ids", V.casefold(F.col("text")).alias("folded"),
+                               F.coalesce(pieces, F.array()).alias("pieces"), reach.alias("reach"))
+    # A number starts after all pieces before it; one walk adds them up.
+    none = F.expr("cast(array() as array<struct<start: int, text: string>>)")
+    empty = F.struct(F.lit(False).alias("number"), F.lit(0).alias("at"), none.alias("found"))
+    found = F.aggregate("pieces", empty, lambda s, t: F.struct(
+        (~s["number"]).alias("number"), (s["at"] + F.char_length(t)).alias("at"),
+        F.when(s["number"], F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), t.alias("text"))))).otherwise(
+            s["found"]).alias("found")), lambda s: s["found"])
+
+    def near(m: Column, place: Column) -> Column:
+        end = m["start"] + F.char_length(m["text"])
+        first = F.greatest(m["start"] - F.col("reach"), F.lit(0))
+        parsed = X.mention(m["text"])
+        return F.struct(
+            place.alias("place"), F.substring("folded", first + 1, m["start"] - first).alias("left"),
+            F.substring("folded", m["start"] + 1, end - m["start"]).alias("inside"),
+            F.substring("folded", end + 1, F.col("reach")).alias("right"),
+            parsed["value"].alias("value"), parsed["tolerance"].alias("tolerance"))
+
+    return marked.select("statement_id", "citation_ids", "folded", "reach", found.alias("found")).select(
+        "statement_id", "citation_ids", F.transform("found", near).alias("numbers"))
+
+
+def label_distance(left: Column, inside: Column, right: Column, label: Column, backwards: Column) -> Column:
+    """Characters between a number and the nearest occurrence of a label in the text near it; 0 if they overlap, null if
+    there is none.  ``backwards`` is the label read from its end."""
     n = F.char_length(label)
-    left, right = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.char_length(text))
-    from_ = F.greatest(start - n + 2, F.lit(1))
-    around = F.substring(text, from_, end + n - from_)
-    before = F.nullif(F.instr(F.reverse(left), F.reverse(label)), F.lit(0)) - 1
+    around = F.concat(F.right(left, n - 1), inside, F.substring(right, F.lit(1), n - 1))
+    before = F.nullif(F.instr(F.reverse(left), backwards), F.lit(0)) - 1
     after = F.nullif(F.instr(right, label), F.lit(0)) - 1
-    return F.when(n > 0, F.when(F.instr(around, label) > 0, F.lit(0)).otherwise(F.least(before, after)))
+    return F.when(F.instr(around, label) > 0, F.lit(0)).otherwise(F.least(before, after))
 
 
-def grounded_numbers(statements: DataFrame, claims: DataFrame, salts: int = 16) -> DataFrame:
+def grounded_numbers(
+    statements: DataFrame, claims: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS,
+) -> DataFrame:
     """(statement_id, mentions, grounded): every number must equal, at its written precision, a
     claim of a cited source whose label is the nearest one and within twelve characters.
 
-    ``statements`` has (statement_id, text, citation_ids).  A source cited by very many
-    statements is spread over ``salts`` tasks; the matching is reduced to one row per number
-    before statements are judged.
+    ``statements`` has (statement_id, text, citation_ids).  A label further away than that decides nothing, so
+    a number takes along only the text near it, as far as the longest label and the distance reach.  Statements are
+    searched for numbers once and staged.  A source cited by very many statements is spread over ``salts`` tasks; only
+    numbers with a label in reach leave the join.  A null text has no numbers.
     """
-    mentions = mention_rows(statements)
-    cited = mentions.withColumn("citation_id", F.explode(F.array_distinct("citation_ids"))).drop("citation_ids")
-    claimed = claims.select("citation_id", F.col("value").alias("claim"), F.explode("labels").alias("label"))
-    pairs = spread_join(cited, claimed, "citation_id", salts=salts)
-    distance = label_distance(F.col("text"), F.col("start"), F.col("end"), V.casefold(F.col("label")))
+    limit = fixed.MAX_LABEL_DISTANCE
+    # Folding turns a character into three at most.
+    longest = claims.select(F.max(F.array_max(F.transform("labels", F.char_length))).alias("n")).scalar()
+    mentions = written(mention_rows(statements, F.coalesce(longest, F.lit(0)) * 3 + limit), "numbers")
+    # One row per label: expressions over plain columns are compiled, lambdas over arrays are not.
+    claimed = claims.select("citation_id", F.col("value").alias("claim"), F.explode(F.array_distinct("labels")).alias("label"))
+    claimed = claimed.select("citation_id", "claim", V.casefold(F.col("label")).alias("label")).where("label <> ''")
+    claimed = claimed.withColumn("backwards", F.reverse("label"))
+    cited = mentions.select("statement_id", F.explode(F.array_distinct("citation_ids")).alias("citation_id"), "numbers")
+    numbers = lookup_join(cited, claimed, "citation_id", hot_rows=hot_rows, salts=salts).select(
+        "statement_id", "claim", "label", "backwards", F.explode("numbers").alias("m")).select(
+        "statement_id", "claim", "label", "backwards", "m.*")
+    distance = label_distance(*[F.col(c) for c in ("left", "inside", "right", "label", "backwards")])
     wrong = F.abs(F.col("value") - F.col("claim")) > F.col("tolerance")
     nearest = (
-        pairs.select("statement_id", "place", distance.alias("distance"), wrong.alias("wrong"))
-        .where("distance is not null").groupBy("statement_id", "place")
+        numbers.select("statement_id", "place", distance.alias("distance"), wrong.alias("wrong"))
+        .where(F.col("distance") <= limit).groupBy("statement_id", "place")
         .agg(F.min(F.struct("distance", "wrong")).alias("best"))
     )
-    judged = nearest.select("statement_id", (
-        (F.col("best.distance") <= fixed.MAX_LABEL_DISTANCE) & ~F.col("best.wrong")).alias("ok"))
-    supported = judged.groupBy("statement_id").agg(F.count_if("ok").alias("supported"))
-    total = statements.select("statement_id", F.size(F.regexp_extract_all(
-        "text", F.lit(f"({X.MENTION})"), F.lit(1))).cast("bigint").alias("mentions"))
+    supported = nearest.groupBy("statement_id").agg(F.count_if(~F.col("best.wrong")).alias("supported"))
+    total = mentions.select("statement_id", F.size("numbers").cast("bigint").alias("mentions"))
     return total.join(supported, "statement_id", "left").select(
         "statement_id", "mentions", (F.coalesce("supported", F.lit(0)) == F.col("mentions")).alias("grounded"))
 
@@ -163,7 +186,7 @@ def invalid_citations(statements: DataFrame, citations: DataFrame) -> DataFrame:
     """(statement_id, citation_id) of citations that do not exist."""
     cited = statements.select("statement_id", F.explode(F.array_distinct("citation_ids")).alias("citation_id"))
     known = citations.select("citation_id").distinct().withColumn("known", F.lit(True))
-    return spread_join(cited, known, "citation_id", "left").where("known is null").select("statement_id", "citation_id")
+    return lookup_join(cited, known, "citation_id", "left").where("known is null").select("statement_id", "citation_id")
 
 
 def normalize_citations(statements: DataFrame, citations: DataFrame, fallback: str = SUMMARY_CITATION) -> DataFrame:
@@ -171,7 +194,7 @@ def normalize_citations(statements: DataFrame, citations: DataFrame, fallback: s
     cited = statements.select("statement_id", F.posexplode("citation_ids").alias("place", "citation_id"))
     known = citations.select("citation_id").distinct()
     kept = (
-        spread_join(cited, known, "citation_id")
+        lookup_join(cited, known, "citation_id")
         .groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("place", "citation_id"))).alias("kept")))
     ids = F.array_distinct(F.transform("kept", lambda k: k["citation_id"]))
     return statements.drop("citation_ids").join(kept, "statement_id", "left").withColumn(

@@ -10,7 +10,7 @@ from ..functions import values as V
 from ..plans.catalog import RULE_METRICS
 from ..plans.cells import flat_columns, ref, schema_types
 from ..plans.probes import METRIC_SCHEMA
-from ..plans.skew import digest, spread_join
+from ..plans.skew import digest, lookup_join
 
 LEVELS = ("warning", "attention", "info")
 _METRIC_COLUMNS = [f.name for f in METRIC_SCHEMA]
@@ -142,8 +142,8 @@ def risk_metric_links(risks: DataFrame, metrics: DataFrame) -> DataFrame:
     by_key = risks.where(named).select("risk_id", F.explode("related_metric_keys").alias("metric_key"))
     by_id = risks.where(~named).select("risk_id", F.explode("related_metrics").alias("metric_id"))
     return (
-        spread_join(by_key, keys.select("metric_key"), "metric_key").select("risk_id", "metric_key")
-        .unionByName(spread_join(by_id, keys, "metric_id").select("risk_id", "metric_key"))
+        lookup_join(by_key, keys.select("metric_key"), "metric_key").select("risk_id", "metric_key")
+        .unionByName(lookup_join(by_id, keys, "metric_id").select("risk_id", "metric_key"))
         .distinct())
 
 

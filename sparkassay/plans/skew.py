@@ -66,12 +66,20 @@ def join_back(
     return marked.join(groups.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+) -> DataFrame:
     """Join many rows with the few entries of each key when a key may be hot among ``rows``.
 
-    Each lookup entry is copied ``salts`` times and the rows of a key are dealt over the copies,
-    so no task receives all rows of one key.
+    One narrow pass counts the rows of each key.  Only keys of ``hot_rows`` rows or more are dealt over ``salts``
+    tasks, and only their entries are copied; at most rows / ``hot_rows`` keys are broadcast.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(ref(c)) for c in rows.columns if c != key]), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"], how).drop("__salt")
+    hot = rows.groupBy(F.col(key).alias("__hot_key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows).select("__hot_key")
+    dealt = F.pmod(F.xxhash64(*[F.col(ref(c)) for c in rows.columns if c != key]), F.lit(salts)).cast("int")
+    is_hot = F.col("__hot_key").isNotNull()
+    marked = (rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+              .withColumn("__salt", F.when(is_hot, dealt).otherwise(0)).drop("__hot_key"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    entries = (lookup.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left")
+               .withColumn("__salt", F.explode(copies)).drop("__hot_key"))
+    return marked.join(entries, [key, "__salt"], how).drop("__salt")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from sparkassay.operators import grounding as G
 from sparkassay.operators import logs as L
 from sparkassay.operators import report as RP
 from sparkassay.operators import scorecard as S
+from sparkassay.plans.skew import lookup_join
 from sparkassay.sources import rule_text as T
 from sparkassay.streaming import usage as U
 
@@ -132,6 +134,54 @@ def test_grounding(spark):
     assert G.normalize_citations(bad, claims.limit(0)).first().citation_ids == ["report:summary"]
 
 
+def plain_grounded(text, claims):
+    """Every number by nested loops over all claims, labels and their places in the folded text."""
+    folded, limit = text.casefold(), 12
+    for number in re.finditer(r"(?<![\w.])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?", text):
+        bare, scale = number.group().replace(",", "").replace("%", ""), 100 if number.group().endswith("%") else 1
+        value, tolerance = float(bare) / scale, max(1e-12, 0.5 * 10.0 ** -len(bare.partition(".")[2]) / scale + 1e-12)
+        found = []
+        for claim, labels in claims:
+            for label in (x.casefold() for x in labels):
+                for at in range(len(folded)) if label else ():
+                    if folded.startswith(label, at):
+                        gap = max(number.start() - at - len(label), at - number.end(), 0)
+                        found.append((gap, abs(value - claim) > tolerance))
+        if not found or min(found)[0] > limit or min(found)[1]:
+            return False
+    return True
+
+
+def test_grounding_equals_nested_loops(spark):
+    rng = random.Random(11)
+    words = ["Aa", "aaa", "rate", "Straße", "rate of", "1x", "数量", "x", " ", "  ", ", ", "￿", "𝒳 ", "."]
+    sources = {f"s{i}": [(float(rng.choice([5, 12, 0.5, 1000])), rng.sample(["aa", "RATE", "strasse", "rate of", "数", "", "5", "of 1"], rng.randint(0, 3)))
+                         for _ in range(rng.randint(1, 4))] for i in range(6)}
+    claims = [(c, v, labels) for c, pairs in sources.items() for v, labels in pairs] + [("s0", 1.0, None)]
+    statements = []
+    for i in range(300):
+        text = "".join(rng.choice(words + ["5", "12%", "1,000", "0.5", "-5", "50%"]) for _ in range(rng.randint(0, 14)))
+        statements.append((i, text, [rng.choice(["s0", "s0", *sources, "gone"]) for _ in range(rng.randint(0, 3))]))
+    statements += [(900, "far " * 60_000 + "rate 5", ["s0"]), (901, None, ["s0"]), (902, "5", None)]
+    df = spark.createDataFrame(statements, "statement_id int, text string, citation_ids array<string>")
+    table = spark.createDataFrame(claims, "citation_id string, value double, labels array<string>")
+    want = {i: plain_grounded(text or "", [c for s in set(cited or []) for c in sources.get(s, [])]) for i, text, cited in statements}
+    for hot_rows in (1, 50, 1_000_000):
+        rows = G.grounded_numbers(df, table, hot_rows=hot_rows, salts=4).collect()
+        assert {r.statement_id: r.grounded for r in rows} == want
+    assert 20 < sum(want.values()) < 280 and len(rows) == len(statements)
+    assert not any(r.grounded for r in G.grounded_numbers(df, table.limit(0)).collect() if r.mentions)
+    assert G.grounded_numbers(df.limit(0), table).count() == 0
+
+
+def test_only_hot_keys_are_copied(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(90)] + [("cold", 0), ("gone", 1), (None, 2)], "k string, n int")
+    lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3), ("none", 4)], "k string, v int")
+    for how in ("inner", "left"):
+        order = lambda df: sorted(map(str, df.select("k", "n", "v").collect()))
+        assert order(lookup_join(rows, lookup, "k", how, hot_rows=50, salts=8)) == order(rows.join(lookup, "k", how))
+
+
 def test_fingerprint_ignores_order(spark):
     df = spark.range(100).select("id", (F.col("id") * 2).cast("string").alias("s"))
     a, b = (RP.table_fingerprint(x).first() for x in (df, df.orderBy(F.desc("id")).repartition(5)))
