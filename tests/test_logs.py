@@ -174,7 +174,7 @@ def test_grounding_equals_nested_loops(spark):
     assert G.grounded_numbers(df.limit(0), table).count() == 0
 
 
-def test_only_hot_keys_are_copied(spark):
+def test_lookup_join_equals_a_plain_join(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(90)] + [("cold", 0), ("gone", 1), (None, 2)], "k string, n int")
     lookup = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3), ("none", 4)], "k string, v int")
     for how in ("inner", "left"):
