@@ -2,14 +2,18 @@
 
 Scores count substring matches.  A search term has no gaps, so it lies within one run of word
 characters of a text: chunks are indexed by their runs, a gram index over the distinct runs tells
-which of them contain a term, and joins lead from terms to runs to chunks.  One plan serves one
-query and a million.
+which of them contain a term, and joins lead from terms to runs to chunks.  Chunks and queries then
+meet in groups of many, where NumPy adds up the points and only pairs that can be among the best
+leave a task.  One plan serves one query and a million.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,11 +53,14 @@ def filter_chunks(chunks: DataFrame, documents: DataFrame, metric_id: str | None
 
 
 # ------------------------------------------------------------------ postings
-IN_TEXT, IN_TITLE, IN_PLACE = 1, 2, 4
+IN_TEXT, IN_TITLE, IN_PLACE, OF_TABLE = 1, 2, 4, 8
+HALF_POINTS = {IN_TEXT: 2, IN_TITLE: 4, IN_PLACE: 3}
 PHRASE_POINTS, TABLE_POINTS = 4.0, 0.15
 # A longer run of word characters is indexed in windows.  They overlap by more bytes than a folded query has,
 # and both numbers are multiples of three, the bytes of a CJK character.
 WINDOW, STEP = 24_576, 18_432
+# Scoring holds this many postings and queries at once, and the cells of so many terms.
+POSTINGS_AT_ONCE, QUERIES_AT_ONCE, TERMS_AT_ONCE = 500_000, 512, 8_192
 
 
 def _folded(c: str) -> Column:
@@ -76,7 +83,7 @@ class Index:
 
     ``chunks`` (no, document_id, ordinal, chunk_id, table_row) numbers them in the order of document and ordinal;
     ``postings`` (no, field, word) has the distinct runs of word characters and of CJK characters in a chunk's text,
-    title, section and clause; ``grams`` (gram, word, n) the runs of two and three characters (one and two of CJK) of each
+    title, section and clause, field being IN_TEXT, IN_TITLE or IN_PLACE, plus OF_TABLE for a table row; ``grams`` (gram, word, n) the runs of two and three characters (one and two of CJK) of each
     distinct word with the number of its postings.  Every search term lies within one word.
     """
     candidates: DataFrame
@@ -93,15 +100,16 @@ def index(candidates: DataFrame) -> Index:
     fields = {"text": (F.col("text"), IN_TEXT), "title": (F.col("title"), IN_TITLE), "place": (place, IN_PLACE)}
     runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([a-z0-9_./:-]{2,}|[㐀-鿿]+)"), F.lit(1)))
     # Step by step, so that nothing is computed twice.
-    rows = candidates.select("chunk_id", *[F.coalesce(c, F.lit("")).alias(n) for n, (c, _) in fields.items()])
+    kind = F.when(F.col("table_row"), OF_TABLE).otherwise(0).alias("kind")
+    rows = candidates.select("chunk_id", kind, *[F.coalesce(c, F.lit("")).alias(n) for n, (c, _) in fields.items()])
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Whole texts are fewer bytes than their words, so they are dealt before they are taken apart.
     rows = rows.join(chunks.select("chunk_id", "no"), "chunk_id").drop("chunk_id").repartition(parts, "no")
-    rows = rows.select("no", *[V.casefold(F.col(n)).alias(n) for n in fields])
-    rows = rows.select("no", *[runs(F.col(n)).alias(n) for n in fields])
+    rows = rows.select("no", "kind", *[V.casefold(F.col(n)).alias(n) for n in fields])
+    rows = rows.select("no", "kind", *[runs(F.col(n)).alias(n) for n in fields])
     long = lambda r: F.octet_length(r) > WINDOW
     cut = lambda c: F.flatten(F.transform(c, lambda r: F.when(long(r), _windows(r)).otherwise(F.array(r))))
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.exists(n, long), cut(F.col(n))).otherwise(F.col(n)).alias("words"))
+    each = F.array(*[F.struct((F.col("kind") + f).alias("field"), F.when(F.exists(n, long), cut(F.col(n))).otherwise(F.col(n)).alias("words"))
                      for n, (_, f) in fields.items()])
     found = rows.select("no", F.explode(each).alias("e")).select("no", "e.field", F.explode("e.words").alias("word"))
     postings = written(found, "search-postings")
@@ -148,49 +156,106 @@ def prepare_queries(queries: DataFrame, text: str = "query") -> DataFrame:
         V.strip(V.casefold(cleaned)).alias("phrase"), problem.alias("problem"))
 
 
-def score(prepared: DataFrame, index: Index) -> DataFrame:
-    """(query_id, no, score) of every pair of a query and a chunk with a term in common.
+def _group_scores(limit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Points of all pairs of a group of chunks (no, field, terms) and a group of queries (query_id, tids, parts, whole).
 
-    Whether a term occurs in a chunk is found once for all queries that ask for it.
+    Kept are each query's best ``limit`` chunks of this group, and those that can pass the last of them if their text holds the phrase (unsure).
+    """
+    def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        array = column.combine_chunks()
+        return array.value_lengths().to_numpy(zero_copy_only=False), array.flatten().to_numpy(zero_copy_only=False)
+
+    def compute(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if len(chunks) and len(queries):
+            numbers, row = np.unique(chunks["no"].to_numpy(), return_inverse=True)
+            field = chunks["field"].to_numpy()
+            table = np.zeros(len(numbers), dtype=bool)
+            table[row[field & OF_TABLE != 0]] = True
+            size, hits = lists(chunks["terms"])
+            row, field = np.repeat(row, size), np.repeat(field, size)
+            (asked, tids), (held, parts) = lists(queries["tids"]), lists(queries["parts"])
+            ids, whole = queries["query_id"].to_numpy(), queries["whole"].to_numpy(zero_copy_only=False)
+            ends, part_ends = np.cumsum(asked), np.cumsum(held)
+            first = 0
+            while first < len(ids):
+                before = ends[first] - asked[first]
+                last = max(int(np.searchsorted(ends, before + TERMS_AT_ONCE, "right")), first + 1)
+                known = np.unique(tids[before:ends[last - 1]])
+                at = np.minimum(np.searchsorted(known, hits), len(known) - 1)
+                of = known[at] == hits
+                inside = {f: np.zeros((len(known), len(numbers)), dtype=bool) for f in HALF_POINTS}
+                for f, cells in inside.items():
+                    here = of & (field & f != 0)
+                    cells[at[here], row[here]] = True
+                points = sum(cells * np.uint8(HALF_POINTS[f]) for f, cells in inside.items())
+                for i in range(first, last):
+                    mine = np.searchsorted(known, tids[ends[i] - asked[i]:ends[i]])
+                    phrase = inside[IN_TEXT][np.searchsorted(known, parts[part_ends[i] - held[i]:part_ends[i]])].all(axis=0)
+                    total = points[mine].sum(axis=0, dtype=np.int64)
+                    some = np.flatnonzero(total)
+                    phrase, total = phrase[some] & bool(held[i]), total[some]
+                    if whole[i]:
+                        total, phrase = total + phrase * int(2 * PHRASE_POINTS), np.zeros(len(some), dtype=bool)
+                    # In units of a twentieth, so that equal scores are equal.
+                    key = total * 10 + table[some] * int(20 * TABLE_POINTS)
+                    if len(some) > limit:
+                        least = np.partition(key, -limit)[-limit]
+                        sure = np.flatnonzero((key >= least) & ~phrase)
+                        sure = sure[np.lexsort((numbers[some[sure]], -key[sure]))[:limit]]
+                        kept = np.concatenate([sure, np.flatnonzero(phrase & (key + int(20 * PHRASE_POINTS) >= least))])
+                        some, total, phrase = some[kept], total[kept], phrase[kept]
+                    out.append((np.full(len(some), ids[i]), numbers[some], total / 2, table[some], phrase))
+                first = last
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)],
+                        names=["query_id", "no", "points", "table_row", "unsure"])
+
+    return compute
+
+
+def score(prepared: DataFrame, index: Index, limit: int) -> DataFrame:
+    """(query_id, no, score) of the pairs of a query and a chunk with a term in common that can be among the query's best ``limit``.
+
+    Whether a term occurs in a chunk is found once for all queries that ask for it.  Groups of chunks and of queries have bounded
+    sizes; a chunk's postings are copied once for each group of queries.
     """
     prepared = written(prepared.select("query_id", "phrase", "terms"), "queries")
     asked = prepared.select("query_id", "phrase", F.explode("terms").alias("term"))
     terms = written(asked.select("term").distinct().select(F.monotonically_increasing_id().alias("tid"), "term"), "terms")
     words = written(lookup(terms, index.grams), "term-words")
-    # A text that holds the phrase holds all terms that are parts of the phrase, so the rarest of them leads to it.
-    held = words.select(F.explode("terms").alias("tid"), "n").groupBy("tid").agg(F.sum("n").alias("rows"))
-    part = F.contains("phrase", "term")
-    lead = F.min(F.when(part, F.struct("rows", "term"))).over(W.partitionBy("query_id"))["term"]
-    asked = written(asked.join(terms, "term").join(held, "tid").withColumn("lead", lead.eqNullSafe(F.col("term"))).select(
-        "query_id", "tid", "lead", (F.col("phrase") == F.col("term")).alias("whole")), "asked")
-    matched = written(skew.join_back(index.postings, words, "word", size="n").select("no", "field", F.explode("terms").alias("tid")).groupBy(
-        "no", "tid").agg(F.bit_or("field").alias("fields")), "term-chunks")
-    has = lambda field: F.col("fields").bitwiseAND(F.lit(field)) != 0
-    given = lambda condition, points: F.when(condition, points).otherwise(0.0)
-    points = (given(has(IN_TEXT), 1.0) + given(has(IN_TITLE), 2.0) + given(has(IN_PLACE), 1.5)
-              + given(has(IN_TEXT) & F.col("whole"), PHRASE_POINTS))
-    by_terms = matched.join(asked, "tid").select("query_id", "no", points.alias("points"))
-    led = written(matched.where(has(IN_TEXT)).join(asked.where("lead and not whole"), "tid").join(
-        prepared.select("query_id", "phrase"), "query_id").select("query_id", "no", "phrase"), "led-chunks")
-    texts = index.chunks.select("no", "chunk_id").join(led.select("no").distinct(), "no").join(
-        index.candidates.select("chunk_id", "text"), "chunk_id")
-    phrases = led.join(texts, "no").where(_folded("text").contains(F.col("phrase"))).select(
-        "query_id", "no", F.lit(PHRASE_POINTS).alias("points"))
-    bonus = index.chunks.select("no", F.when(F.col("table_row"), F.lit(TABLE_POINTS)).otherwise(F.lit(0.0)).alias("bonus"))
-    total = by_terms.unionByName(phrases).groupBy("query_id", "no").agg(F.sum("points").alias("points"))
-    return total.join(bonus, "no").select("query_id", "no", (F.col("points") + F.col("bonus")).alias("score"))
+    # A text that holds the phrase holds all terms that are parts of the phrase.
+    part, whole = F.contains("phrase", "term"), F.col("phrase") == F.col("term")
+    grouped = written(asked.join(terms, "term").groupBy("query_id").agg(
+        F.collect_list("tid").alias("tids"), F.collect_list(F.when(part, F.col("tid"))).alias("parts"), F.some(whole).alias("whole")), "asked")
+    groups = max(1, -(-index.postings.count() // POSTINGS_AT_ONCE))
+    blocks = max(1, -(-grouped.count() // QUERIES_AT_ONCE))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hits = skew.join_back(index.postings, words, "word", size="n").select(
+        "no", "field", "terms", dealt("no", groups).alias("group"), every(blocks).alias("block"))
+    wanted = grouped.select("*", dealt("query_id", blocks).alias("block"), every(groups).alias("group"))
+    scored = written(hits.groupBy("group", "block").cogroup(wanted.groupBy("group", "block")).applyInArrow(
+        _group_scores(limit), "query_id bigint, no bigint, points double, table_row boolean, unsure boolean"), "scored")
+    led = written(scored.where("unsure").join(prepared.select("query_id", "phrase"), "query_id").join(
+        index.chunks.select("no", "chunk_id"), "no").select("query_id", "no", "chunk_id", "phrase"), "led-chunks")
+    phrases = led.join(index.candidates.select("chunk_id", "text"), "chunk_id").where(_folded("text").contains(F.col("phrase"))).select(
+        "query_id", "no", F.lit(PHRASE_POINTS).alias("phrase"))
+    bonus = F.when(F.col("table_row"), F.lit(TABLE_POINTS)).otherwise(F.lit(0.0))
+    return scored.join(phrases, ["query_id", "no"], "left").select(
+        "query_id", "no", (F.col("points") + F.coalesce("phrase", F.lit(0.0)) + bonus).alias("score"))
 
 
 def rank(prepared: DataFrame, candidates: DataFrame | Index, limit: int = 5) -> DataFrame:
     """The best ``limit`` chunks per query: score descending, then document id, then ordinal.
 
-    Spark applies the limit per query before it shuffles for the window, so at most ``limit`` rows per query leave a task.
+    Each group of chunks hands on its best, and Spark applies the limit per query again before it shuffles for the window.
     """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
     found = candidates if isinstance(candidates, Index) else index(candidates)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "no")
-    best = score(prepared, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = score(prepared, found, limit).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return best.join(found.chunks, "no").drop("no")
 
 

@@ -148,6 +148,27 @@ def test_limit_is_applied_before_the_shuffle(spark):
     assert not re.search("MapInPandas|MapInArrow|PythonUDF|EvalPython", plan)
 
 
+def test_only_the_best_pairs_leave_a_group(spark, monkeypatch):
+    """Common words match every chunk; of these pairs a group hands on ``limit`` and those whose text may hold the phrase."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "common"]
+    docs, chunks = (written(x, "kb") for x in kb(spark, [(f"{i}.md", "common " + " ".join(rng.choices(words, k=6))) for i in range(300)]))
+    queries = spark.createDataFrame([(1, "common"), (2, "alpha gamma"), (3, "common beta delta"), (4, "mma del"), (5, "nowhere")], "query_id long, query string")
+    candidates = R.filter_chunks(chunks, R.filter_documents(docs))
+    prepared, found = R.prepare_queries(queries), R.index(candidates)
+    assert R.score(prepared, found, 3).where("query_id = 1").count() == 3
+    scores = {}
+    for c in candidates.collect():
+        for q in queries.collect():
+            if s := brute_score(q.query, c):
+                scores.setdefault(q.query_id, []).append((-round(s, 6), c.document_id, c.ordinal, c.chunk_id))
+    want = {(q, i + 1, r[3]) for q, rows in scores.items() for i, r in enumerate(sorted(rows)[:4])}
+    assert len(scores[1]) >= 300 and 5 not in scores
+    monkeypatch.setattr(R, "POSTINGS_AT_ONCE", 700)
+    monkeypatch.setattr(R, "QUERIES_AT_ONCE", 2)
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in R.rank(prepared, found, 4).collect()} == want
+
+
 def test_long_runs_and_grams(spark):
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefgh./-") for _ in range(60_000))
