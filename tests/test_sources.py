@@ -227,3 +227,11 @@ def test_report_hash_covers_all_tables(spark):
     base = rows_fingerprint(df).first()
     assert base == rows_fingerprint(df.repartition(2)).first() != rows_fingerprint(df.where("i = 1")).first()
     assert base != rows_fingerprint(df.union(df.limit(1))).first()
+
+
+def test_a_geometry_is_taken_apart_once(spark):
+    plan = spark.range(1).select(F.parse_json(F.lit('{"type":"Point","coordinates":[1,2]}')).alias("g")).select(S.geometry_summary("g").alias("s"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.count("$.geometries") == 4  # one for each level of nesting
+    row = plan.first().s
+    assert (row.coordinate_count, row.min_x, row.max_y, row.valid) == (1, 1.0, 2.0, True)
