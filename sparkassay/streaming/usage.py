@@ -35,7 +35,9 @@ def rate_stream(
 
 
 _STATE = "pending binary, recent array<bigint>"
-_AT, _END = "__at", "__end"
+_AT, _END, _SLOT, _OWN = "__at", "__end", "__slot", "__own"
+#: A key's calls are dealt by slots of this length (at least the window).
+SLOT_SECONDS = 3_600
 
 
 def trailing_rate_stream(
@@ -43,15 +45,22 @@ def trailing_rate_stream(
 ) -> DataFrame:
     """The calls of a stream with calls_in_window and over_limit as ``trailing_rate`` has them, in output mode append.
 
-    The state of a key holds its calls above the watermark and the times of those in the window below it.  A call is
-    answered once the watermark has passed it, when no earlier call can follow, by the key's next batch or its timer.
+    The state of a key and slot of time holds its calls above the watermark and the times of those in the window below it.  A
+    call whose window reaches into the next slot is sent there too, to be counted but not answered, so no state grows with ``late``.  A call is
+    answered once the watermark has passed it, when no earlier call can follow, by the slot's next batch or its timer.
     A column ``__end`` marks rows that only move the watermark.  Calls without a time have no answers; calls that are
     later than ``late`` are dropped, as with any watermark.
     """
     width = seconds * 1_000_000
     if _END not in calls.columns:
         calls = calls.withColumn(_END, F.lit(False))
+    slot_width = max(SLOT_SECONDS * 1_000_000, width)
+    slot = F.floor(F.col(_AT) / F.lit(slot_width)).cast("bigint")
+    reaches = F.col(_AT) > (slot + 1) * F.lit(slot_width) - F.lit(width)
+    place = lambda at, own: F.struct(at.alias(_SLOT), F.lit(own).alias(_OWN))
     fed = calls.withColumn(_AT, F.unix_micros(ts)).withWatermark(ts, late)
+    fed = fed.select("*", F.explode(F.array_compact(F.array(place(slot, True), F.when(reaches, place(slot + 1, False))))).alias("__place")).select(
+        *fed.columns, f"__place.{_SLOT}", f"__place.{_OWN}")
     names = [c for c in calls.columns if c != _END]
     out = T.StructType([*calls.select(*names).schema.fields, T.StructField("calls_in_window", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
@@ -74,9 +83,11 @@ def trailing_rate_stream(
             if len(ready):
                 at = ready[_AT].to_numpy(np.int64)
                 times = np.sort(np.concatenate((recent, at)))
-                n = np.searchsorted(times, at, "right") - np.searchsorted(times, at - width, "right")
-                yield ready[names].assign(calls_in_window=n, over_limit=n > limit)
-                recent = times
+                recent, mine = times, ready[ready[_OWN]]
+                if len(mine):
+                    at = mine[_AT].to_numpy(np.int64)
+                    n = np.searchsorted(times, at, "right") - np.searchsorted(times, at - width, "right")
+                    yield mine[names].assign(calls_in_window=n, over_limit=n > limit)
             rows = rows[~timeless & (rows[_AT] >= below)]
         recent = recent[recent > below - width]
         waiting = rows is not None and len(rows) > 0
@@ -96,7 +107,7 @@ def trailing_rate_stream(
         due = int(rows[_AT].min()) if waiting else int(recent.max()) + width
         state.setTimeoutTimestamp(max(due // 1000 + 1, below // 1000 + 1))
 
-    return fed.groupBy(key).applyInPandasWithState(step, out, _STATE, "append", "EventTimeTimeout")
+    return fed.groupBy(key, _SLOT).applyInPandasWithState(step, out, _STATE, "append", "EventTimeTimeout")
 
 
 def trailing_rate_table(

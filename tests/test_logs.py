@@ -211,3 +211,19 @@ def test_stream_flags_equal_the_batch(spark, tmp_path):
     want = L.trailing_rate(calls, "k", "ts", 30)
     order = lambda df: sorted(map(tuple, df.select("id", "k", "ts", "calls_in_window", "over_limit").collect()))
     assert order(got) == order(want)
+
+
+def test_stream_state_is_held_by_slot(spark, tmp_path, monkeypatch):
+    """Windows that reach over a slot's edge count the calls on both sides."""
+    monkeypatch.setattr(U, "SLOT_SECONDS", 60)
+    rng, base = random.Random(3), dt.datetime(2026, 1, 1)
+    rows = [(i, rng.choice(["hot", None]), base + dt.timedelta(milliseconds=rng.randint(0, 200_000))) for i in range(200)] + [(900, "hot", None)]
+    calls = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    early = F.coalesce(F.col("ts") < F.lit(base + dt.timedelta(seconds=90)), F.lit(True))
+    calls.where(early).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    calls.where(~early).coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    answers = U.trailing_rate_stream(stream, "k", "ts", 30, late="10 seconds")
+    assert "__slot" in answers._jdf.queryExecution().analyzed().toString()
+    order = lambda df: sorted(map(str, df.select("id", "k", "ts", "calls_in_window", "over_limit").collect()))
+    assert order(U.trailing_rate_table(spark, stream, "k", "ts", 30, late="10 seconds")) == order(L.trailing_rate(calls, "k", "ts", 30))
