@@ -227,3 +227,11 @@ def test_stream_state_is_held_by_slot(spark, tmp_path, monkeypatch):
     assert "__slot" in answers._jdf.queryExecution().analyzed().toString()
     order = lambda df: sorted(map(str, df.select("id", "k", "ts", "calls_in_window", "over_limit").collect()))
     assert order(U.trailing_rate_table(spark, stream, "k", "ts", 30, late="10 seconds")) == order(L.trailing_rate(calls, "k", "ts", 30))
+
+
+def test_reordered_copy_has_no_fixed_number_of_tasks(spark, data):
+    from checks import registry, rules  # noqa: F401
+    made = registry.QUERIES["rpt11_fingerprints"](spark, data)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "RebalancePartitions" in plan and "RepartitionByExpression" not in plan
+    assert made.first().same_when_reordered
