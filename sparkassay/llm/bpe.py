@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16  # characters that are split into matches at once
-MEMO = 150_000  # entries of each memo of a worker (twice as many chunks); a full one starts anew
+MEMO = 150_000  # entries of each memo of a worker; a full one starts anew
 LEAF = 5  # bytes that are merged directly
 SHORT = 6  # bytes whose encoding is remembered; whole words are remembered as chunks
 #: The characters that the pattern's white space class matches.
@@ -168,7 +168,7 @@ class Encoder:
         else:
             found = self._matches(" " + chunk)
         if len(chunk) <= 64:
-            if len(self._packed) >= 2 * MEMO:
+            if len(self._packed) >= MEMO:
                 self._packed.clear()
             self._packed[chunk] = found
         return found

@@ -497,6 +497,21 @@ def test_pipeline_stages_keep_columns(spark, data):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() == count
 
 
+def test_pipeline_stages_bound_the_batches_of_python(spark):
+    import corpus_pipeline
+
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(conf), spark.range(4000).repartition(1)
+    sizes = F.arrow_udf(lambda ids: pa.array([len(ids)] * len(ids)), "bigint")
+    stage = corpus_pipeline.small_batches(lambda spark, docs, sf_dir: docs.select(sizes("id").alias("n")))
+    try:
+        for given, most in (("10000", corpus_pipeline.BATCH), ("0", corpus_pipeline.BATCH), ("300", 300)):
+            spark.conf.set(conf, given)
+            assert stage(spark, docs, "").agg(F.max("n"), F.count("n")).first() == (most, 4000)
+    finally:
+        spark.conf.set(conf, before)
+
+
 # ---------------------------------------------------------------- columns of any name
 def test_filters_keep_columns_of_any_name(spark):
     text = " ".join(_words(3, 60)) + "."
