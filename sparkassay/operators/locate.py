@@ -11,6 +11,7 @@ from ..functions import names
 from ..plans.cells import Cells, flat_columns, ref
 from ..plans.probes import Probe, Violation
 from ..plans.skew import HOT_ROWS, join_back, with_record_key
+from ..session import written
 
 RN = "record_number"
 LOCATION_COLUMNS = ("metric_key", RN, "fields", "issue_type", "related_record_numbers")
@@ -71,10 +72,15 @@ def duplicate_locations(
     df: DataFrame, normalized: bool = False, numbered: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every later copy of a record, related to the first one."""
+    """Every later copy of a record, related to the first one.
+
+    Records are dealt over all tasks before their keys are computed, however few splits the scan has, and the
+    (number, key) pairs are written once, so that no key is computed again for the groups or the hot ones.
+    """
     content = names.content_columns(flat_columns(df))
     numbered = with_record_number(df) if numbered is None else numbered
-    rows = with_record_key(numbered, content, normalized).select(RN, "key")
+    dealt = numbered.select(RN, *[F.col(ref(c)) for c in content]).repartition(RN)
+    rows = written(with_record_key(dealt, content, normalized).select(RN, "key"), "record-keys")
     groups = (
         rows.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(RN).alias("first_record"))
         .where("group_size > 1")

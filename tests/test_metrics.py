@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkassay.functions import names
+from sparkassay.operators import locate as L
 from sparkassay.operators import metrics as M
 from sparkassay.operators.quantiles import order_statistics, quartiles
 from sparkassay.plans import catalog
@@ -167,3 +168,12 @@ def test_failed_input(spark):
     got = M.failed_metrics(spark, "bad encoding").collect()
     assert [r.value for r in got if r.metric_id == "file_parse_rate"] == [0.0]
     assert sum(r.status == "not_assessable" for r in got) == 12
+
+
+def test_duplicate_locations_compute_each_key_once(spark):
+    df = spark.createDataFrame([(i, f"Name {i % 5}", i % 2) for i in range(40)], "record_number bigint, name string, size int").coalesce(1)
+    for normalized in (False, True):
+        found = L.duplicate_locations(df.drop("record_number"), normalized, df)
+        assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()  # the keys are read, not computed again
+        got = {(r.record_number, r.related_record_numbers[0]) for r in found.collect()}
+        assert got == {(i, i % 10) for i in range(10, 40)}
