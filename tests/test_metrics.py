@@ -177,3 +177,18 @@ def test_duplicate_locations_compute_each_key_once(spark):
         assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()  # the keys are read, not computed again
         got = {(r.record_number, r.related_record_numbers[0]) for r in found.collect()}
         assert got == {(i, i % 10) for i in range(10, 40)}
+
+
+def test_quartile_passes_read_numbers_parsed_once(spark, monkeypatch):
+    from sparkassay.operators import quantiles
+
+    plans = []
+
+    def passes(values, ranks):
+        plans.append(values._jdf.queryExecution().optimizedPlan().toString())
+        return order_statistics(values, ranks)
+
+    monkeypatch.setattr(quantiles, "order_statistics", passes)
+    q = quartiles(spark.createDataFrame([(f" {i}.0 ",) for i in range(1, 10)], "amount string"), ["amount"])[0]
+    assert (q.q1, q.q3) == (3.0, 7.0)
+    assert len(plans) == 1 and "transform" not in plans[0]
