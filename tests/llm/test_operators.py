@@ -415,6 +415,47 @@ def test_odd_pages_and_numbered_ids_do_not_spoil_a_template(spark):
     assert {r["page_id"]: r["text"] for r in page_template.extract(pages).collect()} == {r[0]: r[3] for r in rows}
 
 
+def _article(words, inside="", around=("<article>", "</article>")):
+    return f"<html><body><nav>Menu</nav>{around[0]}<p>{words}</p>{inside}{around[1]}<footer>foot</footer></body></html>"
+
+
+def test_words_of_a_template_and_names_of_furniture(spark):
+    own = [" ".join(random.Random(i).choices([f"w{n}" for n in range(500)], k=30)) for i in range(20)]
+    notice = "<div class='x'>We have changed our terms of use</div>"
+    rows = [(i, "http://notice.example/", _article(own[i], notice), own[i]) for i in range(20)]
+    rows += [(100 + i, "http://few.example/", _article(own[i], notice if i < 3 else ""), own[i] + ("\nWe have changed our terms of use" if i < 3 else "")) for i in range(20)]
+    rows += [(200 + i, "http://copies.example/", _article(own[0], notice), f"{own[0]}\nWe have changed our terms of use") for i in range(20)]
+    rows += [(300 + i, "http://form.example/", _article(own[i], around=("<form method='post'><div>", "</div></form>")), own[i]) for i in range(6)]
+    rows += [(400 + i, "http://plain-form.example/", _article(own[i], "<form><p>Your name</p></form>"), own[i]) for i in range(6)]
+    rows += [(500 + i, "http://head.example/", _article(own[i], f"<header><h1>Title {i}</h1><span>by me {i}</span></header>"), f"{own[i]}\nTitle {i}") for i in range(6)]
+    rows += [(600 + i, "http://names.example/", _article(own[i], f"<div class='social-policy'>Policy {i}</div><div id='comment-list-{i}'>Nice {i}</div>"), f"{own[i]}\nPolicy {i}")
+             for i in range(6)]
+    rows += [(700, "http://sign.example/", _article("<i title='a > b' class=c>Yes</i> <b title='x>y</b>No"), "Yes yNo")]
+    # An article nested in a wrapper that all pages have; another layout has a section there.
+    rows += [(800 + i, "http://nested.example/", _article(own[i], f"</{t}><p>Read on {i}</p>", (f"<main><{t}>", "</main>")), own[i])
+             for i in range(20) for t in (("article", "section")[i % 2],)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_template.extract(pages).collect()}
+    assert {i: t for i, t in got.items() if t != {r[0]: r[3] for r in rows}[i]} == {}
+
+
+def test_classes_agree_with_whole_occurrence_vectors(spark):
+    def page(i):
+        layout = "<article><div><p>{}</p></div></article>" if i % 3 else "<section><p>{}</p></section>"
+        odd = "" if i != 7 else "<main></main>"
+        return f"<html><body><main>{layout.format(' '.join(_words(i, 20)))}</main>{odd}</body></html>"
+
+    html = [page(i) for i in range(40)]
+    pages = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(html)], "page_id bigint, url string, html string")
+    got = page_template.host_slots(pages).collect()[0]["slots"]
+    on = {s["path"]: {i for i, p in enumerate(html) if s["path"] in page_template.occurrences(p)[0]} for s in got}
+    assert {"/html/body/main", "/html/body/main/article", "/html/body/main/article/div", "/html/body/main/section"} <= set(on)
+    for a in got:
+        for b in got:
+            alike = len(on[a["path"]] & on[b["path"]]) * 10 >= len(on[a["path"]] | on[b["path"]]) * 9
+            assert (a["nth"] == b["nth"]) == alike, (a["path"], b["path"])
+
+
 # ---------------------------------------------------------------- 10
 def test_toxicity_learns_words_and_sees_through_disguise(spark):
     rng = random.Random(12)
