@@ -83,6 +83,19 @@ def test_csv_folder_of_different_files(spark, tmp_path):
         S.read_csv(spark, str(tmp_path / "e.csv"))
 
 
+def test_lines_are_not_sorted_to_find_headers(spark, tmp_path):
+    put(tmp_path, "a.csv", "\n \t\nid,name\n1,a\n0,b\n")
+    put(tmp_path, "b.csv", "id,名称\n1,政务\n", "gbk")
+    put(tmp_path, "c.csv", "id\n\"two\nlines\"\n".encode() + b"\xff\xff\n")
+    put(tmp_path, "d.csv", "\n\n")
+    classes = S.file_classes(spark, str(tmp_path))
+    assert sorted((r.file[-5:], r.encoding, r.multi_line) for r in classes.collect()) == [
+        ("a.csv", "UTF-8", False), ("b.csv", "GBK", False), ("c.csv", None, True), ("d.csv", "UTF-8", False)]
+    assert {r.file[-5:]: r.header for r in classes.collect() if r.file[-5:] != "b.csv"} == {"a.csv": "id,name", "c.csv": "id", "d.csv": None}
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_typed_cells_reach_rules_and_metrics(spark, tmp_path):
     import datetime as dt
 
