@@ -189,3 +189,17 @@ def test_rule_validation():
     assert suggest_rules(types)["primary_key"] == ["id"]
     assert rule_from_dict({"rule_type": "required", "fields": ["a"], "parameters": "{}"}) == Rule("required", ("a",))
     assert pack_id(good) == pack_id(good) != pack_id(good[:1])
+
+
+def test_links_of_risks_are_distinct_without_grouping_them(spark):
+    from sparkassay.operators import report as RP
+
+    risks = spark.createDataFrame([
+        (1, ["a", "a", "no"], ["x"]), (1, [], ["x", "x", "y"]), (1, ["a"], []), (2, [], ["x", "none"]), (2, [], ["x"]), (None, ["a"], []), (None, [], ["x"]),
+        (3, ["c"], ["x"])], "risk_id int, related_metric_keys array<string>, related_metrics array<string>")
+    metrics = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("c", "y"), ("d", "z")], "metric_key string, metric_id string")
+    links = RP.risk_metric_links(risks, metrics)
+    assert sorted(map(tuple, links.collect()), key=repr) == sorted(
+        [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (None, "a"), (None, "b"), (3, "c")], key=repr)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union"), plan[:80]
