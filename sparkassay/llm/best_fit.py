@@ -16,9 +16,11 @@ table gives no pieces. Texts are tokenized whole, in blocks cut at white space.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from sparkassay.llm.storage import staged
 SIZE = 2048
 END = 0
 BLOCK = 1 << 18  # characters that are cut into chunks at once
-MEMO = 500_000  # chunks that a worker remembers; beyond, it starts anew
+MEMO = 500_000  # chunks of a generation; a worker remembers two, the older one as far as it was not asked for again
 LONG = 64  # characters; longer chunks are not remembered
 ROWS = 4096  # pieces of an output batch, and fewer where their ids take
 BYTES = 8 << 20
@@ -47,7 +49,8 @@ _PIECE_TYPES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc3
 class WordTokenizer:
     """A tokenizer whose matches never hold white space, behind a memo of what stands between blanks.
 
-    Unknown chunks go to the library as one text with a mark between them; the mark is a match of its own.
+    Unknown chunks go to the library as one text with a mark between them; the mark is a match of its own. Words of ASCII letters
+    are one match, so they go straight to its model, if that gives the ids of whole texts (looked at once).
     """
 
     def __init__(self, path: str):
@@ -58,20 +61,40 @@ class WordTokenizer:
 
         self._library = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+        self._model = self._library.model
+        self._lower = self._library.normalizer is not None and self._library.normalizer.normalize_str("A") == "a"
+        self._straight = not any(t.content.isalpha() for t in self._library.get_added_tokens_decoder().values()) and all(
+            self._word(w) == self._ids(w).tobytes() for w in (*ascii_letters, ascii_letters, "It", "straightforwardness", "XyzzY"))
         self._mark = self._ids(_MARK)
         self._signs = {c: self._ids(c).tobytes() for c in CLOSING}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self._model.tokenize(word.lower() if self._lower else word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Takes over what the older generation knows; the others."""
+        if not self._older:
+            return chunks
+        known = chunks & self._older.keys()
+        self._memo.update((c, self._older[c]) for c in known)
+        return chunks - known
+
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
         """The ids of chunks; those too long to remember are in the answer only."""
+        unknown = self._recall(unknown)
         memo, once = self._memo, {}
         closed = [c for c in unknown if c[-1] in CLOSING and c[:-1].isalpha()]  # a word, then a match of one sign
-        plain = unknown.difference(closed).union(c[:-1] for c in closed).difference(memo)
+        plain = self._recall(unknown.difference(closed).union(c[:-1] for c in closed).difference(memo))
         alone = [c for c in plain if _MARK in c or len(c) > LONG] if len(self._mark) == 1 else list(plain)
         once.update((c, self._ids(c).tobytes()) for c in alone)
-        if together := list(plain.difference(alone)):
+        words = [c for c in plain if len(c) <= LONG and c.isascii() and c.isalpha()] if self._straight else []
+        memo.update((c, self._word(c)) for c in words)
+        if together := list(plain.difference(alone, words)):
             ids = self._ids(f" {_MARK} ".join(together))
             data, ends = ids.tobytes(), (np.flatnonzero(ids == self._mark[0]) * 4).tolist()
             memo.update(zip(together, (data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)),
@@ -102,8 +125,8 @@ class WordTokenizer:
         found = list(map(self._memo.get, chunks))
         if None in found:
             if len(self._memo) > MEMO:
-                self._memo.clear()
-                self._memo[""] = b""
+                self._older, self._memo = self._memo, {"": b""}
+                found = list(map(self._memo.get, chunks))
             once = self._learn({c for c, f in zip(chunks, found, strict=True) if f is None})
             known = self._memo
             found = [known[c] if f is None and c in known else once[c] if f is None else f
