@@ -22,13 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.llm.bpe import chunks
-
 SAMPLE = 2000
 SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 65536
@@ -36,8 +35,16 @@ LEVEL = 3
 BLOB = 4 << 20
 END = 2
 MEMO = 600_000  # chunks that a worker remembers; beyond, it starts anew
-TOGETHER = 500  # texts
-CLOSING = ".,;:!?"
+LONG = 64  # bytes; longer chunks are not remembered
+TOGETHER = 8 << 20  # bytes of texts, or one text
+CHUNKS = 20_000  # that go to the library as one text
+BLANK, LINE_END = "\u0120", "\u010a"  # how the tokenizer's file writes them
+LINE = "\x00\n"  # no other chunk begins so: a line end behind \x00 is a cut
+#: The characters that the pattern's white space class matches.
+_SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LINE_CUT = f"([^{_SPACES}])\n"
+_BEFORE_BLANK = f"[{_SPACES}] "
+_SPACE_LAST = rf"(^|[{_SPACES}])\z"
 
 _BLOB_FIELDS = pa.schema([
     ("shard", pa.int32()), ("blob", pa.int32()), ("dictionary", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()),
@@ -47,11 +54,21 @@ _BLOB_TYPES = ("shard int, blob int, dictionary string, first_id bigint, last_id
                "offsets array<bigint>, n_tokens array<bigint>, starts array<bigint>, data binary")
 
 
+def _joined(chunks: pa.Array, separator: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), pa.scalar(separator, pa.large_string()))[0].as_py()
+
+
 class _Tokenizer:
-    """The tokenizers library behind a memo of chunks; see bpe.chunks for why chunks may be encoded apart.
+    """The tokenizers library behind a memo of chunks, for many texts at once.
 
-    Unknown chunks go to the library as one text, a blank in front of each. No chunk has a blank inside, so the tokens that begin
-    with one are the first of their chunks.
+    Texts are cut before every blank, and before every line end after a character that is not white space. Where no blank follows white
+    space, each cut is the end of a match, so the ids of the chunks are those of the text; other texts are encoded whole. Blanks at
+    cuts are left out of the chunks; one that begins with a line end has LINE in front. Arrow cuts the texts, numbers the different chunks,
+    looks them up in the memo and puts their ids together.
+
+    Unknown chunks go to the library as one text, lines as another. No chunk has a blank inside, so the tokens that begin with one
+    are the first of their chunks; so are those that begin with a line end, where lines have no other. The memo keeps what stands
+    twice in the texts of one call; the rest seldom comes again.
     """
 
     def __init__(self, path: str):
@@ -63,44 +80,85 @@ class _Tokenizer:
         self._library = Tokenizer.from_file(path)
         self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self._library.get_vocab()
-        self._begins = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
-        self._begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the file writes a blank
-        self._memo: dict[str, bytes] = {}
+        self._begins = {first: np.zeros(max(vocabulary.values(), default=-1) + 1, bool) for first in (BLANK, LINE_END)}
+        for first, begins in self._begins.items():
+            begins[[i for token, i in vocabulary.items() if token.startswith(first)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._chunks, self._known = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _arrays(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, unknown: set[str]) -> None:
-        memo = self._memo
-        ended = [c for c in unknown if c[-1:] in CLOSING and c[:-1].isalpha()]  # a word, then a match of one sign
-        plain = (unknown.difference(ended) | {c[:-1] for c in ended} | {""}).difference(memo)
-        alone = [c for c in plain if not c or c[-1].isspace()]
-        joined = list(plain.difference(alone))
-        memo.update(zip(alone, (i.tobytes() for i in self._ids([" " + c for c in alone])), strict=True))
-        if joined:
-            ids = self._ids([" " + " ".join(joined)])[0]
-            data, at = ids.tobytes(), (np.flatnonzero(self._begins[ids]) * self.width).tolist()
-            memo.update(zip(joined, (data[x:y] for x, y in zip(at, [*at[1:], len(data)], strict=True)), strict=True))
-        if ended:
-            signs = dict(zip(CLOSING, (i.tobytes() for i in self._ids(list(CLOSING))), strict=True))
-            memo.update((c, memo[c[:-1]] + signs[c[-1]]) for c in ended)
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, each of width bytes."""
-        if len(self._memo) > MEMO:
-            self._memo.clear()
-        cuts = [chunks(t) for t in texts]
-        if unknown := set().union(*(c[1:] for c in cuts if c is not None)).difference(self._memo):
-            self._learn(unknown)
-        get = self._memo.__getitem__
-        # What stands before the first cut, or the whole text where there is none.
-        heads = self._ids([t if c is None else c[0] for t, c in zip(texts, cuts, strict=True)])
-        return [h.tobytes() + b"".join(map(get, c[1:])) if c else h.tobytes() for h, c in zip(heads, cuts, strict=True)]
+    def _ids(self, texts: list[str]) -> pa.Array:
+        return pa.array([ids.tobytes() for ids in self._arrays(texts)], pa.large_binary())
+
+    def _together(self, chunks: pa.Array, first: str) -> pa.Array:
+        """The ids of chunks whose tokens begin with first, and none else."""
+        parts = [pa.array([], pa.large_binary())]
+        for at in range(0, len(chunks), CHUNKS):
+            some = chunks.slice(at, CHUNKS)
+            text = " " + _joined(some, " ") if first == BLANK else _joined(some, "").replace(LINE, "\n")
+            ids = self._arrays([text])[0]
+            offsets = (np.append(np.flatnonzero(self._begins[first][ids]), len(ids)) * self.width).astype("<i8")
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids)]
+            if len(offsets) != len(some) + 1:
+                raise ValueError("the tokenizer's tokens do not begin with their chunks")
+            parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), buffers))
+        return pa.concat_arrays(parts)
+
+    def _learned(self, unknown: pa.Array) -> pa.Array:
+        line = pc.starts_with(unknown, LINE)
+        alone = pc.or_(pc.match_substring_regex(unknown, _SPACE_LAST), pc.and_(line, pc.greater(pc.count_substring(unknown, "\n"), 1)))
+        kinds = np.select([alone, line], [0, 1], 2)
+        at = [np.flatnonzero(kinds == k) for k in range(3)]
+        each, lines, others = (unknown.take(pa.array(a)) for a in at)
+        parts = [self._ids([c[1:] if c.startswith(LINE) else " " + c for c in each.to_pylist()]),
+                 self._together(lines, LINE_END), self._together(others, BLANK)]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(at))))
+
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """The ids of whole texts (null: empty), each of width bytes."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if pc.any(odd := pc.match_substring_regex(texts, _BEFORE_BLANK)).as_py():
+            whole = iter(self._ids(texts.filter(odd).to_pylist()).to_pylist())
+            others = iter(self.packed(texts.filter(pc.invert(odd))))
+            return [next(whole if o else others) for o in odd.to_pylist()]
+        cut = pc.split_pattern(pc.replace_substring_regex(texts, _LINE_CUT, f"\\1 {LINE}"), " ")
+        coded = cut.flatten().dictionary_encode()
+        chunks, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False), dtype=np.int64))
+        first = offsets[:-1]
+        heads = self._ids(chunks.take(pa.array(numbers[first])).to_pylist())  # what stands before the first cut
+        times = np.bincount(numbers, minlength=len(chunks)) - np.bincount(numbers[first], minlength=len(chunks))
+        place = pc.fill_null(pc.index_in(chunks, self._chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero((place < 0) & (times > 0))
+        place[new] = len(self._known) + np.arange(len(new))
+        unknown = chunks.take(pa.array(new))
+        learned = self._learned(unknown)
+        places = place[numbers]
+        places[first] = len(self._known) + len(new) + np.arange(len(heads))
+        ids = pa.concat_arrays([self._known, learned, heads]).take(pa.array(places))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
+        out = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
+        kept = pc.and_(pa.array(times[new] > 1), pc.less_equal(pc.binary_length(unknown), LONG))
+        self._chunks = pa.concat_arrays([self._chunks, unknown.filter(kept)])
+        self._known = pa.concat_arrays([self._known, learned.filter(kept)])
+        if len(self._chunks) > MEMO:
+            self._forget()
+        return out
 
     def each(self, texts: pa.Array) -> Iterator[bytes]:
         """Some texts at a time."""
-        for at in range(0, len(texts), TOGETHER):
-            yield from self.packed([t or "" for t in texts.slice(at, TOGETHER).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+            yield from self.packed(texts.slice(at, stop - at))
+            at = stop
 
 
 @lru_cache(maxsize=2)
@@ -154,6 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
 
         size = 0
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # what earlier batches left in the worker
             for doc, packed in zip(batch.column(0).to_pylist(), own.each(batch.column(1)), strict=True):
                 packed += last
                 ids.append(doc)

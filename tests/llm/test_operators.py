@@ -178,6 +178,50 @@ def test_token_files_of_nothing(spark, odd):
     assert token_files.read(spark, path).count() == 0
 
 
+class _Spied:
+    """A library that notes what it is asked for."""
+
+    def __init__(self, library):
+        self.library, self.seen = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen.extend(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_token_files_ask_for_common_chunks_once(monkeypatch):
+    """Rare chunks, however many come between, neither empty the memo nor change an id."""
+    monkeypatch.setattr(token_files, "MEMO", 100)
+    own, rng = token_files._Tokenizer(tokenizer_path("byte_bpe_50k.json")), random.Random(8)
+    library = own._library
+    own._library = spied = _Spied(library)
+    for _ in range(60):
+        texts = [" ".join(["First", "usual,", "1st", *("".join(rng.choices("abcdeßé", k=8)) for _ in range(10)), "over-again", "end.\nNew"])
+                 for _ in range(2)]
+        for text, packed in zip(texts, own.each(pa.array(texts)), strict=True):
+            assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    asked = " ".join(spied.seen).replace("\n", " \n").split(" ")
+    assert [asked.count(c) for c in ("usual,", "1st", "over-again", "\nNew")] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize(("memo", "together"), [(600_000, 8 << 20), (40, 200), (5, 1)])
+def test_token_ids_equal_the_library(monkeypatch, memo, together):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MEMO", memo)
+    monkeypatch.setattr(token_files, "TOGETHER", together)
+    monkeypatch.setattr(token_files, "CHUNKS", 7)
+    library, rng = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), random.Random(memo)
+    own = token_files._Tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    spaced = [*PARTS, "\x00", "\x00\n", "x\n", "Word. ", "\x85", "foo\nbar", "x" * 70 + " "]
+    single = [p for p in spaced if not p.endswith(" ")] + [" w", " x,", " y.\nZ", " <|endoftext|>", "\n\n"] * 3
+    texts = [None, "", " ", "  ", "\n", " \nfoo", "\nfoo", "a b ", "x" * 70 + " " + "y" * 70 + ".", "ab" * 30000]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 40))) for parts in (spaced, single) for _ in range(1500)]
+    for text, packed in zip(texts, own.each(pa.array(texts)), strict=True):
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert list(own.each(pa.array([], pa.string()))) == []
+
+
 # ---------------------------------------------------------------- 5
 def test_cascade_is_exact_and_rules_win(spark):
     universe = spark.range(3000).selectExpr("concat('host', id) AS key", "id % 7 = 0 AS listed")
